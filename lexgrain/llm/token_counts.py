@@ -11,13 +11,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import map_batches
-from .bpe import _SPACES, END_OF_TEXT, Encoder, piece_counter
+from .bpe import Encoder, piece_counter
 
 
 @dataclass(frozen=True)
@@ -56,14 +55,15 @@ def count_texts(texts: list[str | None], v: Vocabulary) -> np.ndarray:
         pres += [" " + p for p in parts[1:]]
     if not pres:
         return out
-    codes, distinct = pd.factorize(np.array(pres, dtype=object))
+    table = pa.array(pres, pa.large_string()).dictionary_encode()
+    distinct = table.dictionary.to_pylist()
     memo, counts = enc._memo, np.empty(len(distinct), dtype=np.int64)
     for j, pre in enumerate(distinct):
         n = memo.get(pre)
         if n is None:
             n = enc._miss(pre)
         counts[j] = -1 if n is None else n
-    each = counts[codes]
+    each = counts[table.indices.to_numpy()]
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     out[owner] = np.add.reduceat(each, starts)
     for i in np.asarray(owner)[np.minimum.reduceat(each, starts) < 0]:
@@ -89,5 +89,3 @@ def token_counts(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", t
     counted = map_batches(docs.select(key, text), count, f"`{key}` {kind}, n_bytes long, n_tokens long")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
 
-
-__all__ = ["END_OF_TEXT", "_SPACES", "Vocabulary", "count_texts", "token_counts"]
