@@ -18,7 +18,7 @@ def bounded(spark: SparkSession) -> None:
         spark.conf.set(key, ROWS_PER_BATCH)
 
 
-def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema) -> DataFrame:
     """Apply ``f`` to each Arrow batch by itself; batches for which it returns None give no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
