@@ -24,8 +24,8 @@ _SPACES = frozenset(c for c in map(chr, range(0x110000)) if c.isspace())
 class Encoder:
     """Ids as the tokenizers library gives them for the .json file, special strings inside texts included.
 
-    ``json_path`` and ``ranks_path`` hold the same vocabulary. At most ``memo`` distinct chunks are remembered; beyond that the
-    memo starts anew, so memory is bounded and results do not change.
+    ``json_path`` and ``ranks_path`` hold the same vocabulary. At most ``memo`` distinct chunks are remembered in each of
+    two generations; chunks not seen for one generation are forgotten, so memory is bounded and results do not change.
     """
 
     def __init__(self, json_path: str, ranks_path: str, pattern: str, make: Callable[[list[int]], object], memo: int = 200_000):
@@ -37,6 +37,7 @@ class Encoder:
         self._fast = tiktoken.Encoding("bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self._slow = Tokenizer.from_file(json_path)
         self._memo: dict[str, object] = {}
+        self._old: dict[str, object] = {}
         self._make, self._max = make, memo
 
     def ids(self, text: str) -> list[int]:
@@ -55,10 +56,12 @@ class Encoder:
         body = chunk[1:] if chunk[:1] == " " else chunk
         if not body or body[0] in _SPACES or "<|" in chunk or "|>" in chunk:
             return None
-        value = self._make(self.ids(chunk))
+        value = self._old.pop(chunk, None)
+        if value is None:
+            value = self._make(self.ids(chunk))
         if len(chunk) <= LONG:
             if len(self._memo) >= self._max:
-                self._memo.clear()
+                self._old, self._memo = self._memo, {}
             self._memo[chunk] = value
         return value
 
