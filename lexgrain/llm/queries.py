@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.lineage import stored
-from . import language_id, packing, quality_rules
+from . import html_extract, language_id, ngram_jaccard, packing, piece_codec, quality_rules
 from .token_counts import Vocabulary, token_counts
 from .url_filters import filter_urls
 
@@ -41,6 +41,16 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(table(spark, sf_dir, "pages"))
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as p
+
+    return piece_codec.digest(table(spark, sf_dir, "documents"), piece_codec.PieceModel(p.path("piece_bpe_32k.model")))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     featured = stored(quality_rules.with_features(docs, carry=["doc_id"]).select("__row.doc_id", *quality_rules.COUNTS), "features")
@@ -48,6 +58,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.components(table(spark, sf_dir, "documents"))
+
+
 def held_out() -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, F.lit(False))
 
@@ -76,8 +90,20 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m W
 """
 
 
+OPERATORS = (
+    op2_token_counts,
+    op3_url_filters,
+    op4_html_extraction,
+    op5_sentencepiece,
+    op7_quality_rules,
+    op8_ngram_jaccard,
+    op9_language_id,
+    op10_best_fit_packing,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_counts, op3_url_filters, op7_quality_rules, op9_language_id, op10_best_fit_packing)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:
