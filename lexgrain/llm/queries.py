@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.lineage import stored
-from . import html_extract, language_id, ngram_jaccard, packing, piece_codec, quality_rules
+from . import html_extract, language_id, ngram_jaccard, packing, piece_codec, quality_rules, suffix_dedup
 from .token_counts import Vocabulary, token_counts
 from .url_filters import filter_urls
 
@@ -32,6 +32,10 @@ def bpe_vocabulary() -> Vocabulary:
     return Vocabulary(p.path("byte_bpe_50k.json"), p.path("byte_bpe_50k.tiktoken"), p.PATTERN)
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_report(table(spark, sf_dir, "documents"), length=400)
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), bpe_vocabulary(), limit=1024)
 
@@ -91,6 +95,7 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m W
 
 
 OPERATORS = (
+    op1_suffix_array_dedup,
     op2_token_counts,
     op3_url_filters,
     op4_html_extraction,
