@@ -179,3 +179,9 @@ def verdict(rules: list[Rule]) -> Column:
 def judge(featured: DataFrame, rules: list[Rule]) -> DataFrame:
     """``featured`` with base_failed and kept (false if base_failed, else the decision list's verdict)."""
     return featured.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & verdict(rules))
+
+
+def keep(docs: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that pass the base rules and the decision list."""
+    judged = judge(with_features(docs, text), rules).where("kept")
+    return judged.select(*[F.col("__row").getField(c).alias(c) for c in docs.columns])

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.lineage import stored
-from . import html_extract, language_id, ngram_jaccard, packing, piece_codec, quality_rules, suffix_dedup
+from . import embedding_neardup, html_extract, language_id, ngram_jaccard, packing, piece_codec, quality_rules, suffix_dedup
 from .token_counts import Vocabulary, token_counts
 from .url_filters import filter_urls
 
@@ -55,6 +55,10 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.digest(table(spark, sf_dir, "documents"), piece_codec.PieceModel(p.path("piece_bpe_32k.model")))
 
 
+def op6_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_neardup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     featured = stored(quality_rules.with_features(docs, carry=["doc_id"]).select("__row.doc_id", *quality_rules.COUNTS), "features")
@@ -100,6 +104,7 @@ OPERATORS = (
     op3_url_filters,
     op4_html_extraction,
     op5_sentencepiece,
+    op6_embedding_neardup,
     op7_quality_rules,
     op8_ngram_jaccard,
     op9_language_id,

@@ -289,3 +289,45 @@ def dedup_report(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
         F.when(gone, F.lit(1)).otherwise(F.coalesce("runs", F.lit(0))).cast("long").alias("n_spans"),
         F.when(gone, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("sha", "own")).alias("kept_sha256"),
     )
+
+
+def whole_characters(text: bytes, runs: list[list[int]]) -> list[list[int]]:
+    """``runs`` shrunk to whole UTF-8 characters."""
+    out = []
+    for s, e in runs:
+        while s < e and text[s] & 0xC0 == 0x80:
+            s += 1
+        while e > s and e < len(text) and text[e] & 0xC0 == 0x80:
+            e -= 1
+        if e > s:
+            out.append([s, e])
+    return out
+
+
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
+    """``docs``, all columns, with the repeated passages taken out of ``text``, whole characters only.
+
+    As for :func:`dedup_report`; texts of ``length`` bytes that rows share become empty. Null texts stay null.
+    """
+    spans, _, done = repeated_spans(docs, text, length)
+    spans = stored(spans, "spans")
+    for d in done:
+        discard(d)
+    own = classed(docs.select(F.col(text).alias("text")), "text").where(F.col("n") >= length).groupBy("cls", "n").agg(F.count("*").alias("copies"))
+    twice = own.where("copies > 1").select("cls", "n", F.array(F.array(F.lit(0).cast("long"), F.col("n"))).alias("spans"))
+    all_spans = spans.join(twice.select("cls", "n"), ["cls", "n"], "left_anti").unionByName(twice)
+    all_spans = all_spans.select(F.col("cls").alias("__cls"), F.col("n").alias("__n"), F.col("spans").alias("__spans"))
+    whole = F.coalesce(F.col(text), F.lit(""))
+    joined = docs.join(all_spans, (F.xxhash64(whole) == F.col("__cls")) & (F.octet_length(whole) == F.col("__n")), "left")
+    names, at = docs.columns, docs.columns.index(text)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = []
+        for t, s in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
+            if t and s:
+                raw = t.encode("utf-8", "surrogatepass")
+                t = without(raw, whole_characters(raw, merge(s))).decode("utf-8", "replace")
+            out.append(t)
+        return pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(out, pa.string()), *batch.columns[at + 1 : len(names)]], names=names)
+
+    return map_batches(joined.select(*[F.col(f"`{c}`") for c in names], "__spans"), run, docs.schema)
