@@ -17,6 +17,9 @@ from lexgrain.llm import language_id, ngram_jaccard, packing, quality_rules, suf
 from lexgrain.llm.queries import bpe_vocabulary, table
 from lexgrain.plans.lineage import stored
 
+#: Shortest repeated passage that is removed: about 35 words, so that any passage of over 50 words counts.
+PASSAGE_BYTES = 200
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose text has no letter or fits no language with half of the probability."""
@@ -36,8 +39,8 @@ def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes every 400-byte passage that also starts elsewhere out of the texts; n_chars follows."""
-    return suffix_dedup.remove_repeats(docs).where(F.length("text") > 0).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """Takes every passage of PASSAGE_BYTES that also starts elsewhere out of the texts; n_chars follows."""
+    return suffix_dedup.remove_repeats(docs, length=PASSAGE_BYTES).where(F.length("text") > 0).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
