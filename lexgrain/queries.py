@@ -1,10 +1,687 @@
-"""Registry of the engine's own queries and their SQL twins."""
+"""The engine's own queries over the test tables, and the same in SQL.
+
+Doubles are rounded to 6 places on both sides; arrays are given as joined strings; every order has a tie-break.
+"""
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from . import ports
+from .functions import celex, dates, fulltext, text
+from .operators import citations, dml, documents, evaluation, graph, metadata, reports, retrieval
+from .sources.readers import table
+from .streaming.incremental import index_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def r6(c: Column | str) -> Column:
+    return F.round(c, 6)
+
+
+# ---- shared inputs -------------------------------------------------------------------------------------------------
+
+
+def corpus(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
+
+
+def questions(spark: SparkSession, d: str, n: int) -> DataFrame:
+    """The first n vectors as questions: a fixed question set, compared with the whole corpus."""
+    return table(spark, d, "embeddings").where(F.col("vec_id") < n).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query_vector"))
+
+
+def docs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents")
+
+
+WORDS = {0: "the", 1: "of", 2: "de", 3: "und", 4: "la"}
+
+
+def keyword_scores(spark: SparkSession, d: str) -> DataFrame:
+    """(qid, id, score) for one-word questions: 0.1 for every occurrence."""
+    words = spark.createDataFrame(list(WORDS.items()), "qid long, lexeme string")
+    post = fulltext.postings(docs(spark, d), "doc_id", "text")
+    return post.join(F.broadcast(words), "lexeme").groupBy("qid", F.col("doc_id").alias("id")).agg(F.round(F.count("*") * 0.1, 6).alias("score"))
+
+
+def arms(spark: SparkSession, d: str, k: int = retrieval.PER_ARM) -> DataFrame:
+    vector = retrieval.vector_arm(corpus(spark, d), questions(spark, d, 5), k).withColumn("score", r6("score"))
+    return retrieval.merge_arms(vector, retrieval.keyword_arm(keyword_scores(spark, d), k))
+
+
+def edges(spark: SparkSession, d: str) -> DataFrame:
+    """Mentions between parts that follow each other in an order: src, dst, source, rel."""
+    line = table(spark, d, "lineitem")
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate", "l_discount", "l_tax")
+    out = line.select(
+        F.col("l_partkey").alias("src"), F.lead("l_partkey").over(order).alias("dst"),
+        F.when(F.col("l_linestatus") == "O", "text").otherwise("cellar").alias("source"), F.when(F.col("l_linestatus") == "O", F.col("l_returnflag")).alias("rel"),
+    )
+    return out.where(F.col("dst").isNotNull() & (F.col("src") != F.col("dst")))
+
+
+def merged(spark: SparkSession, d: str) -> DataFrame:
+    return citations.merge_edges(edges(spark, d))
+
+
+def citing_text(spark: SparkSession, d: str) -> DataFrame:
+    line = table(spark, d, "lineitem")
+    number, yr = F.pmod(F.col("l_partkey"), F.lit(999)) + 1, F.date_format("l_shipdate", "yy")
+    t = F.concat(F.lit("(see Case C-"), number.cast("string"), F.lit("/"), yr, F.lit(", paragraph "), F.col("l_linenumber").cast("string"), F.lit(")"))
+    return line.select(F.col("l_orderkey").cast("string").alias("celex"), F.col("l_linenumber").alias("paragraph_number"), t.alias("text"))
+
+
+SQL_DOCS = "toks AS (SELECT doc_id, lang, source, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+')) AS lexeme FROM documents)"
+SQL_COS = "list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))))"
+SQL_VECTOR = f"""
+sims AS (SELECT b.vec_id AS qid, a.vec_id AS id, {SQL_COS} AS raw FROM embeddings a, embeddings b WHERE b.vec_id < 5),
+v AS (SELECT * FROM (SELECT qid, id, round(raw, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY raw DESC, id) AS rank FROM sims) WHERE rank <= 40)"""
+SQL_WORDS = "words(qid, lexeme) AS (VALUES (0, 'the'), (1, 'of'), (2, 'de'), (3, 'und'), (4, 'la'))"
+SQL_KEYWORD = f"""{SQL_DOCS}, {SQL_WORDS},
+kw AS (SELECT qid, doc_id AS id, round(count(*) * 0.1, 6) AS score FROM toks JOIN words USING (lexeme) GROUP BY 1, 2),
+k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM kw) WHERE rank <= 40)"""
+SQL_MERGED = f"""{SQL_VECTOR}, {SQL_KEYWORD},
+m AS (SELECT coalesce(v.qid, k.qid) AS qid, coalesce(v.id, k.id) AS id, coalesce(v.score, 0) AS vector_score, v.rank AS vector_rank, coalesce(k.score, 0) AS keyword_score, k.rank AS keyword_rank,
+  CASE WHEN v.id IS NOT NULL AND k.id IS NOT NULL THEN 'both' WHEN v.id IS NOT NULL THEN 'vector' ELSE 'keyword' END AS source FROM v FULL JOIN k ON v.qid = k.qid AND v.id = k.id),
+s AS (SELECT *, coalesce(1.0 / (60.0 + vector_rank), 0) + coalesce(1.0 / (60.0 + keyword_rank), 0) AS rrf FROM m),
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rrf DESC, vector_rank ASC NULLS LAST, keyword_rank ASC NULLS LAST, id) AS pool_rank FROM s) WHERE pool_rank <= 50)"""
+SQL_EDGES = """raw AS (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate, l_discount, l_tax) AS dst,
+  CASE WHEN l_linestatus = 'O' THEN 'text' ELSE 'cellar' END AS source, CASE WHEN l_linestatus = 'O' THEN l_returnflag END AS rel FROM lineitem),
+edges AS (SELECT src, dst, count(*) FILTER (WHERE source = 'text') AS mention_count, mode() WITHIN GROUP (ORDER BY rel) AS dominant_relation_type,
+  bool_or(source = 'text') AS from_text, bool_or(source = 'cellar') AS from_cellar FROM raw WHERE dst IS NOT NULL AND src <> dst GROUP BY 1, 2)"""
+
+
+# ---- vector search -------------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT qid, id, score, rank FROM (WITH {SQL_VECTOR} SELECT * FROM v WHERE qid = 0)")
+def vector_topk_cosine(spark: SparkSession, d: str) -> DataFrame:
+    one = questions(spark, d, 1)
+    return retrieval.vector_arm(corpus(spark, d), one, 40).select("qid", "id", r6("score").alias("score"), "rank")
+
+
+@query("""WITH s AS (SELECT a.vec_id AS id, list_sum(list_transform(list_zip(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS raw
+FROM embeddings a, embeddings b WHERE b.vec_id = 0) SELECT id, round(raw, 6) AS distance FROM s ORDER BY raw, id LIMIT 8""")
+def vector_topk_l2(spark: SparkSession, d: str) -> DataFrame:
+    hits = retrieval.vector_arm(corpus(spark, d), questions(spark, d, 1), 8, metric="l2")
+    return hits.select("id", r6("score").alias("distance"))
+
+
+@query(f"""WITH s AS (SELECT b.vec_id AS qid, a.vec_id AS id, {SQL_COS} AS raw FROM embeddings a, embeddings b WHERE b.vec_id < 20 AND a.vec_id <> b.vec_id)
+SELECT qid, id, score, rank FROM (SELECT qid, id, round(raw, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY raw DESC, id) AS rank FROM s) WHERE rank <= 10""")
+def vector_topk_batch(spark: SparkSession, d: str) -> DataFrame:
+    hits = retrieval.vector_arm(corpus(spark, d), questions(spark, d, 20), 10, exclude_self=True)
+    return hits.select("qid", "id", r6("score").alias("score"), "rank")
+
+
+@query(f"""WITH c AS (SELECT e.* FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id WHERE d.lang IN ('en', 'fr')),
+s AS (SELECT b.vec_id AS qid, a.vec_id AS id, {SQL_COS} AS raw FROM c a, embeddings b WHERE b.vec_id < 5)
+SELECT qid, id, score, rank FROM (SELECT qid, id, round(raw, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY raw DESC, id) AS rank FROM s) WHERE rank <= 10""")
+def vector_topk_filtered(spark: SparkSession, d: str) -> DataFrame:
+    facets = docs(spark, d).select(F.col("doc_id").alias("id"), "lang")
+    own = retrieval.with_facets(corpus(spark, d), facets, "id", retrieval.facet(equal={"lang": ["en", "fr"]}))
+    return retrieval.vector_arm(own, questions(spark, d, 5), 10).select("qid", "id", r6("score").alias("score"), "rank")
+
+
+# ---- full text -----------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {SQL_KEYWORD} SELECT qid, id, score, rank FROM k")
+def keyword_topk_single_term(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.keyword_arm(keyword_scores(spark, d)).select("qid", "id", "score", "rank")
+
+
+@query("""WITH t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') AS ts FROM documents)
+SELECT doc_id, len(ts) AS n_tokens FROM t WHERE list_contains(ts, 'the') AND list_contains(ts, 'of') AND list_contains(ts, 'with')""")
+def keyword_and_terms(spark: SparkSession, d: str) -> DataFrame:
+    own = docs(spark, d).select("doc_id", fulltext.tokens(F.col("text")).alias("ts"))
+    return own.where(fulltext.matches_all(["the", "of", "with"], F.col("ts"))).select("doc_id", F.size("ts").alias("n_tokens"))
+
+
+@query("""WITH t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') AS ts FROM documents),
+u AS (SELECT *, ' ' || array_to_string(ts, ' ') || ' ' AS flat FROM t)
+SELECT doc_id FROM u WHERE (contains(flat, ' of the ') AND NOT list_contains(ts, 'from')) OR (list_contains(ts, 'und') AND list_contains(ts, 'mit'))""")
+def keyword_web_query(spark: SparkSession, d: str) -> DataFrame:
+    return docs(spark, d).where(fulltext.matches('"of the" -from or und mit', fulltext.tokens(F.col("text")))).select("doc_id")
+
+
+@query("""WITH t AS (SELECT doc_id, unnest(ts) AS lexeme, generate_subscripts(ts, 1) AS pos FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') AS ts FROM documents)),
+o AS (SELECT *, lag(lexeme) OVER (PARTITION BY doc_id ORDER BY pos) AS before, pos - lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS gap FROM t WHERE lexeme IN ('with', 'from'))
+SELECT doc_id, round(sum(0.1 / gap), 6) AS rank FROM o WHERE before <> lexeme GROUP BY doc_id""")
+def cover_density_two_terms(spark: SparkSession, d: str) -> DataFrame:
+    post = fulltext.postings(docs(spark, d), "doc_id", "text")
+    return fulltext.cover_density(post, "doc_id", ["with", "from"]).select("doc_id", r6("rank").alias("rank"))
+
+
+@query(f"WITH {SQL_DOCS} SELECT lexeme, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM toks GROUP BY lexeme")
+def postings_stats(spark: SparkSession, d: str) -> DataFrame:
+    return fulltext.postings(docs(spark, d), "doc_id", "text").groupBy("lexeme").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"))
+
+
+@query()
+def postings_english(spark: SparkSession, d: str) -> DataFrame:
+    """Stop words out, the rest stemmed; held against the published examples in the tests."""
+    return fulltext.postings(docs(spark, d), "doc_id", "text", "english").groupBy("lexeme").agg(F.count("*").alias("n"))
+
+
+# ---- fusion and reranking ------------------------------------------------------------------------------------------
+
+FUSED = ("qid", "id", "source", "vector_rank", "keyword_rank")
+
+
+@query(f"WITH {SQL_MERGED} SELECT qid, id, source, vector_rank, keyword_rank, round(rrf, 6) AS hybrid_score, pool_rank FROM f WHERE pool_rank <= 8")
+def hybrid_rrf(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.fuse_rrf(arms(spark, d), pool=8).select(*FUSED, r6("hybrid_score").alias("hybrid_score"), "pool_rank")
+
+
+@query(f"""WITH {SQL_MERGED}, w AS (SELECT *, 0.7 * vector_score + 0.3 * keyword_score AS ws FROM m)
+SELECT qid, id, source, vector_rank, keyword_rank, round(ws, 6) AS hybrid_score, pr AS pool_rank FROM
+(SELECT *, row_number() OVER (PARTITION BY qid ORDER BY ws DESC, vector_rank ASC NULLS LAST, keyword_rank ASC NULLS LAST, id) AS pr FROM w) WHERE pr <= 15""")
+def hybrid_weighted(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.fuse_weighted(arms(spark, d), 15).select(*FUSED, r6("hybrid_score").alias("hybrid_score"), "pool_rank")
+
+
+@query(f"""WITH {SQL_MERGED}, g AS (SELECT f0.* FROM s f0 JOIN documents d ON d.doc_id = f0.id WHERE d.lang IN ('en', 'de') AND d.n_chars BETWEEN 200 AND 5000)
+SELECT qid, id, source, vector_rank, keyword_rank, round(rrf, 6) AS hybrid_score, pr AS pool_rank FROM
+(SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rrf DESC, vector_rank ASC NULLS LAST, keyword_rank ASC NULLS LAST, id) AS pr FROM g) WHERE pr <= 50""")
+def hybrid_rrf_faceted(spark: SparkSession, d: str) -> DataFrame:
+    condition = retrieval.facet(equal={"lang": ["en", "de"], "source": []}, between={"n_chars": (200, 5000)})
+    own = retrieval.with_facets(arms(spark, d), docs(spark, d).withColumnRenamed("doc_id", "id"), "id", condition)
+    return retrieval.fuse_rrf(own).select(*FUSED, r6("hybrid_score").alias("hybrid_score"), "pool_rank")
+
+
+@query(f"""WITH {SQL_MERGED}, t AS (SELECT CASE WHEN qid < 3 THEN 0 ELSE 1 END AS question, id, sum(rrf) AS total FROM f GROUP BY 1, 2)
+SELECT question, id, round(total, 6) AS hybrid_score, pool_rank FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY round(total, 12) DESC, id) AS pool_rank FROM t) WHERE pool_rank <= 50""")
+def multi_query_rrf(spark: SparkSession, d: str) -> DataFrame:
+    variant = spark.createDataFrame([(0, 0), (1, 0), (2, 0), (3, 1), (4, 1)], "qid long, question long")
+    summed = retrieval.fuse_rrf(arms(spark, d)).join(F.broadcast(variant), "qid").groupBy("question", "id").agg(F.round(F.sum("hybrid_score"), 12).alias("hybrid_score"))
+    out = retrieval.ranked(summed, "question", F.col("hybrid_score").desc(), F.col("id"), name="pool_rank", top=50)
+    return out.select("question", "id", r6("hybrid_score").alias("hybrid_score"), "pool_rank")
+
+
+def injected(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pool, scores by position (quality labels stand in for a reranker), and authority (length)."""
+    pool = retrieval.fuse_rrf(arms(spark, d))
+    labels = table(spark, d, "labels").select(F.col("doc_id").alias("id"), "quality")
+    scores = pool.join(labels, "id").select("qid", F.col("pool_rank").alias("position"), F.col("quality").cast("double").alias("score"))
+    return pool, scores, docs(spark, d).select(F.col("doc_id").alias("id"), F.col("n_chars").alias("authority"))
+
+
+@query(f"""WITH {SQL_MERGED}, r AS (SELECT f.qid, f.id, f.pool_rank, f.rrf, coalesce(l.quality, 0) AS score, coalesce(d.n_chars, 0) AS authority FROM f LEFT JOIN labels l ON l.doc_id = f.id LEFT JOIN documents d ON d.doc_id = f.id)
+SELECT qid, id, pool_rank, CAST(score AS DOUBLE) AS rerank_score, final_rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, authority DESC, rrf DESC, pool_rank) AS final_rank FROM r) WHERE final_rank <= 8""")
+def rerank_injected(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.rerank(*injected(spark, d)).select("qid", "id", "pool_rank", "rerank_score", "final_rank")
+
+
+@query(f"WITH {SQL_MERGED} SELECT qid, id, pool_rank, CAST(0 AS DOUBLE) AS rerank_score, 'Fallback to hybrid order' AS reason, pool_rank AS final_rank FROM f WHERE pool_rank <= 8")
+def rerank_fallback(spark: SparkSession, d: str) -> DataFrame:
+    pool, _, authority = injected(spark, d)
+    none = spark.createDataFrame([], "qid long, position int, score double")
+    return retrieval.rerank(pool, none, authority).select("qid", "id", "pool_rank", "rerank_score", "reason", "final_rank")
+
+
+@query(f"""WITH {SQL_MERGED}, j AS (SELECT s.*, coalesce(l.quality, 1) AS ok FROM s LEFT JOIN labels l ON l.doc_id = s.id)
+SELECT qid, id, ok AS is_judgment, pr AS pool_rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY ok DESC, rrf DESC, vector_rank ASC NULLS LAST, keyword_rank ASC NULLS LAST, id) AS pr FROM j) WHERE pr <= 50""")
+def demoted_ranking(spark: SparkSession, d: str) -> DataFrame:
+    kind = table(spark, d, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("is_judgment"))
+    own = arms(spark, d).join(kind, "id", "left").withColumn("is_judgment", F.coalesce("is_judgment", F.lit(1)))
+    return retrieval.fuse_rrf(own, 50, 60, F.col("is_judgment").desc()).select("qid", "id", "is_judgment", "pool_rank")
+
+
+@query(f"""WITH {SQL_MERGED} SELECT qid, string_agg('[' || pool_rank || ']\nid: ' || id || '\nscore: ' || printf('%.4f', rrf) || '\ntext: ' || substr(d.text, 1, 200), '\n\n' ORDER BY pool_rank) AS context
+FROM f JOIN documents d ON d.doc_id = f.id WHERE pool_rank <= 8 GROUP BY qid""")
+def rerank_context_blocks(spark: SparkSession, d: str) -> DataFrame:
+    top = retrieval.fuse_rrf(arms(spark, d), pool=8).join(docs(spark, d).select(F.col("doc_id").alias("id"), F.substring("text", 1, 200).alias("text")), "id")
+    own = top.withColumn("shown", F.format_string("%.4f", "hybrid_score"))
+    return retrieval.context_blocks(own, ("id", "id"), ("score", "shown"), ("text", "text"), rank="pool_rank")
+
+
+SQL_WINDOW = """SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY k DESC) AS context FROM
+(SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role, text) AS k FROM conversations) WHERE k <= {n} GROUP BY conv_id"""
+
+
+@query(SQL_WINDOW.format(n=10))
+def conversation_window(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.last_messages(table(spark, d, "conversations"), 10)
+
+
+@query(SQL_WINDOW.format(n=3))
+def conversation_window_short(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.last_messages(table(spark, d, "conversations"), 3)
+
+
+@query("""SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS id, CAST(json_extract(props, '$.k') AS INTEGER) / 10.0 AS score FROM events""")
+def json_scores_parse(spark: SparkSession, d: str) -> DataFrame:
+    k = F.get_json_object("props", "$.k")
+    answer = F.concat(F.lit('```json\n[{"id": '), k, F.lit(', "score": '), (k.cast("int") / 10.0).cast("string"), F.lit(', "reason": "x"}]\n```'))
+    return table(spark, d, "events").select("event_id", F.inline(retrieval.parse_scores(answer))).select("event_id", "id", "score")
+
+
+# ---- reports -------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT count(*) AS n_rows, count(DISTINCT source) AS n_documents FROM documents")
+def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
+    return reports.corpus_stats(docs(spark, d), "source")
+
+
+@query("SELECT source AS value, count(*) AS n FROM documents WHERE source IS NOT NULL GROUP BY 1")
+def facet_counts_scalar(spark: SparkSession, d: str) -> DataFrame:
+    return reports.facet_counts(docs(spark, d), "source")
+
+
+@query("SELECT value, count(*) AS n FROM (SELECT unnest([lang, source]) AS value FROM documents) WHERE value IS NOT NULL GROUP BY 1")
+def facet_counts_array(spark: SparkSession, d: str) -> DataFrame:
+    return reports.facet_counts_array(docs(spark, d).select(F.array("lang", "source").alias("tags")), "tags")
+
+
+@query("SELECT strftime(o_orderdate, '%Y') AS period, count(DISTINCT o_custkey) AS n_documents, count(*) AS n_rows FROM orders WHERE regexp_matches(o_orderpriority, '^[0-9]-') GROUP BY 1")
+def coverage_by_year(spark: SparkSession, d: str) -> DataFrame:
+    own = table(spark, d, "orders").where(F.col("o_orderpriority").rlike("^[0-9]-"))
+    return reports.coverage(own, celex.decision_year(F.concat(F.lit("6"), F.date_format("o_orderdate", "yyyy-MM-dd"))), "o_custkey")
+
+
+@query("SELECT sum(a) AS n_documents, sum(b) AS n_rows FROM (SELECT count(DISTINCT o_custkey) AS a, count(*) AS b FROM orders GROUP BY year(o_orderdate))")
+def coverage_totals(spark: SparkSession, d: str) -> DataFrame:
+    return reports.totals(reports.coverage(table(spark, d, "orders"), F.year("o_orderdate"), "o_custkey"))
+
+
+@query("SELECT l_orderkey, count(*) AS n_rows FROM lineitem GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+def largest_decisions(spark: SparkSession, d: str) -> DataFrame:
+    return reports.largest(table(spark, d, "lineitem"), "l_orderkey")
+
+
+# ---- citations -----------------------------------------------------------------------------------------------------
+
+
+@query("""WITH t AS (SELECT l_returnflag AS reg, l_partkey % 9999 + 1 AS num, year(l_shipdate) % 100 AS yr, l_orderkey, l_linenumber FROM lineitem)
+SELECT DISTINCT reg, num, yr, '6' || CASE WHEN yr >= 53 THEN 1900 + yr ELSE 2000 + yr END || CASE reg WHEN 'R' THEN 'TJ' WHEN 'A' THEN 'FJ' ELSE 'CJ' END || lpad(CAST(num AS VARCHAR), 4, '0') AS celex FROM t""")
+def celex_construct(spark: SparkSession, d: str) -> DataFrame:
+    own = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("reg"), (F.pmod("l_partkey", F.lit(9999)) + 1).alias("num"), F.pmod(F.year("l_shipdate"), F.lit(100)).alias("yr")).distinct()
+    registry = F.when(F.col("reg") == "R", "T").when(F.col("reg") == "A", "F").otherwise("C")
+    return own.withColumn("celex", celex.candidate(registry, F.col("num"), F.col("yr")))
+
+
+@query("""WITH t AS (SELECT '6' || o_orderkey || CASE o_orderkey % 4 WHEN 1 THEN '_SUM' WHEN 2 THEN '_RES' WHEN 3 THEN '_INF' ELSE '' END AS celex, '6' || o_orderkey AS base, o_orderkey % 4 AS m FROM orders)
+SELECT celex, base, CASE m WHEN 1 THEN 'summary' WHEN 2 THEN 'resolution' WHEN 3 THEN 'info' ELSE 'judgment' END AS kind FROM t""")
+def celex_classify(spark: SparkSession, d: str) -> DataFrame:
+    suffix = F.element_at(F.array(*map(F.lit, ["", "_SUM", "_RES", "_INF"])), (F.pmod("o_orderkey", F.lit(4)) + 1).cast("int"))
+    own = table(spark, d, "orders").select(F.concat(F.lit("6"), F.col("o_orderkey").cast("string"), suffix).alias("celex"))
+    base, kind = celex.classify(F.col("celex"))
+    return own.select("celex", base.alias("base"), kind.alias("kind"))
+
+
+SQL_MENTIONS = """m AS (SELECT CAST(l_orderkey AS VARCHAR) AS celex, l_linenumber AS paragraph_number,
+'6' || CASE WHEN year(l_shipdate) % 100 >= 53 THEN 1900 + year(l_shipdate) % 100 ELSE 2000 + year(l_shipdate) % 100 END || 'CJ' || lpad(CAST(l_partkey % 999 + 1 AS VARCHAR), 4, '0') AS candidate_celex,
+l_linenumber AS cited_paragraph_number, 'see' AS relation_type, '(see' AS signal_phrase FROM lineitem)"""
+
+
+@query(f"WITH {SQL_MENTIONS} SELECT * FROM m")
+def citation_extract(spark: SparkSession, d: str) -> DataFrame:
+    return citations.extract(citing_text(spark, d)).drop("raw_reference")
+
+
+SQL_KNOWN = "known AS (SELECT DISTINCT candidate_celex AS cited_celex FROM m WHERE substr(candidate_celex, 8) < '0500')"
+
+
+def known(mentions: DataFrame) -> DataFrame:
+    return mentions.where(F.substring("candidate_celex", 8, 4) < "0500").select(F.col("candidate_celex").alias("id")).distinct()
+
+
+@query(f"""WITH {SQL_MENTIONS}, {SQL_KNOWN} SELECT m.celex, m.candidate_celex, k.cited_celex, count(*) AS n,
+CAST(round(max(0.5 + CASE WHEN k.cited_celex IS NOT NULL THEN 0.3 ELSE 0 END + 0.1 + 0.1), 2) AS FLOAT) AS confidence FROM m LEFT JOIN known k ON k.cited_celex = m.candidate_celex GROUP BY 1, 2, 3""")
+def citation_resolve_confidence(spark: SparkSession, d: str) -> DataFrame:
+    found = citations.extract(citing_text(spark, d))
+    out = citations.resolve(found, known(found))
+    return out.groupBy("celex", "candidate_celex", "cited_celex").agg(F.count("*").alias("n"), F.max("confidence").alias("confidence"))
+
+
+@query(f"""WITH {SQL_MENTIONS}, {SQL_KNOWN} SELECT count(*) AS citations, count(k.cited_celex) AS resolved, count(*) - count(k.cited_celex) AS unresolved, round(count(k.cited_celex) / count(*), 6) AS resolution_rate
+FROM m LEFT JOIN known k ON k.cited_celex = m.candidate_celex""")
+def citation_stats(spark: SparkSession, d: str) -> DataFrame:
+    found = citations.extract(citing_text(spark, d))
+    return citations.mention_stats(found, known(found)).withColumn("resolution_rate", r6("resolution_rate"))
+
+
+@query(f"WITH {SQL_EDGES} SELECT * FROM edges")
+def mention_edges_merge(spark: SparkSession, d: str) -> DataFrame:
+    return merged(spark, d)
+
+
+@query("""WITH c AS (SELECT l_orderkey AS celex, unnest(list(l_partkey)) AS dst FROM lineitem GROUP BY 1)
+SELECT DISTINCT celex AS src, dst, 1 AS mention_count, 'cites' AS dominant_relation_type, false AS from_text, true AS from_cellar FROM c WHERE celex <> dst AND dst IN (SELECT l_orderkey FROM lineitem)""")
+def authoritative_edges(spark: SparkSession, d: str) -> DataFrame:
+    own = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("celex")).agg(F.collect_list("l_partkey").alias("cites"))
+    return citations.authoritative_edges(own)
+
+
+@query("""SELECT DISTINCT l_partkey AS src, l_suppkey AS dst, 'cellar' AS source, CAST(0.9 AS FLOAT) AS confidence FROM lineitem WHERE l_partkey <> l_suppkey AND l_suppkey IN (SELECT p_partkey FROM part) AND l_partkey IN (SELECT p_partkey FROM part)""")
+def cellar_import(spark: SparkSession, d: str) -> DataFrame:
+    pairs = table(spark, d, "lineitem").select(F.col("l_partkey").alias("citing_celex"), F.col("l_suppkey").alias("cited_celex"))
+    return citations.import_pairs(pairs, table(spark, d, "part").select("p_partkey")).select("src", "dst", "source", "confidence")
+
+
+@query(f"""WITH {SQL_EDGES} SELECT count(*) FILTER (WHERE from_text AND NOT from_cellar) AS text_only, count(*) FILTER (WHERE from_cellar AND NOT from_text) AS cellar_only,
+count(*) FILTER (WHERE from_text AND from_cellar) AS both, count(*) AS total FROM edges""")
+def edge_source_report(spark: SparkSession, d: str) -> DataFrame:
+    return citations.source_report(merged(spark, d))
+
+
+# ---- graph ---------------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {SQL_EDGES}, i AS (SELECT dst AS id, count(*) AS n FROM edges GROUP BY 1), o AS (SELECT src AS id, count(*) AS n FROM edges GROUP BY 1)
+SELECT coalesce(i.id, o.id) AS id, coalesce(i.n, 0) AS in_degree, coalesce(o.n, 0) AS out_degree FROM i FULL JOIN o ON i.id = o.id""")
+def graph_degrees(spark: SparkSession, d: str) -> DataFrame:
+    return graph.degrees(merged(spark, d))
+
+
+SQL_GRAPH = f"""{SQL_EDGES}, w AS MATERIALIZED (SELECT src, dst, CAST(CASE WHEN mention_count = 0 THEN 1 ELSE mention_count END AS DOUBLE) AS weight FROM edges),
+n AS MATERIALIZED (SELECT DISTINCT id FROM (SELECT src AS id FROM w UNION ALL SELECT dst FROM w))"""
+_STEP = """r{i} AS MATERIALIZED (SELECT n.id, 0.15 / (SELECT count(*) FROM n) + 0.85 * (coalesce(g.got, 0)
++ coalesce((SELECT sum(r) FROM r{p} WHERE id NOT IN (SELECT src FROM w)), 0) / (SELECT count(*) FROM n)) AS r
+FROM n LEFT JOIN (SELECT s.dst, sum(p.r * s.share) AS got FROM s JOIN r{p} p ON p.id = s.src GROUP BY 1) g ON g.dst = n.id)"""
+SQL_PAGERANK = f"""WITH {SQL_GRAPH}, s AS MATERIALIZED (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS share FROM w), r0 AS MATERIALIZED (SELECT id, 1.0 / (SELECT count(*) FROM n) AS r FROM n),
+{", ".join(_STEP.format(i=i, p=i - 1) for i in range(1, 11))} SELECT id, round(r * 1000, 6) AS pagerank FROM r10"""
+
+
+@query(SQL_PAGERANK)
+def pagerank_fixed_iter(spark: SparkSession, d: str) -> DataFrame:
+    ranks = graph.pagerank(graph.weighted(merged(spark, d)), iterations=10, tolerance=None)
+    return ranks.select("id", r6(F.col("pagerank") * 1000).alias("pagerank"))
+
+
+_HITS = """a{i} AS MATERIALIZED (SELECT w.dst AS id, sum(h.v * w.weight) AS v FROM w JOIN h{p} h ON h.id = w.src GROUP BY 1),
+h{i} AS MATERIALIZED (SELECT w.src AS id, sum(a.v * w.weight) / (SELECT sum(v) FROM a{i}) AS v FROM w JOIN a{i} a ON a.id = w.dst GROUP BY 1)"""
+SQL_HITS = f"""WITH {SQL_GRAPH}, h0 AS MATERIALIZED (SELECT id, 1.0 AS v FROM n), {", ".join(_HITS.format(i=i, p=i - 1) for i in range(1, 5))}
+SELECT n.id, round(1000 * coalesce(h.v, 0) / (SELECT sum(v) FROM h4), 6) AS hub, round(1000 * coalesce(a.v, 0) / (SELECT sum(v) FROM a4), 6) AS authority FROM n LEFT JOIN h4 h ON h.id = n.id LEFT JOIN a4 a ON a.id = n.id"""
+
+
+@query(SQL_HITS)
+def hits_fixed_iter(spark: SparkSession, d: str) -> DataFrame:
+    out = graph.hits(graph.weighted(merged(spark, d)), iterations=4, tolerance=None)
+    return out.select("id", r6(F.col("hub") * 1000).alias("hub"), r6(F.col("authority") * 1000).alias("authority"))
+
+
+@query()
+def graph_communities(spark: SparkSession, d: str) -> DataFrame:
+    """Not expressible in SQL; the tests check the partition and its modularity."""
+    return graph.communities(graph.weighted(merged(spark, d)), rounds=4, passes=2)
+
+
+SQL_POOL = "pool AS (SELECT p_partkey AS id FROM part WHERE p_size = 1)"
+
+
+@query(f"""WITH {SQL_EDGES}, {SQL_POOL}, deg AS (SELECT dst AS id, count(*) AS in_degree FROM edges GROUP BY 1),
+c AS (SELECT e.dst AS id, deg.in_degree, count(DISTINCT e.src) AS support FROM edges e JOIN deg ON deg.id = e.dst WHERE e.src IN (SELECT id FROM pool) AND e.dst NOT IN (SELECT id FROM pool) GROUP BY 1, 2 HAVING count(DISTINCT e.src) >= 2)
+SELECT id, in_degree, support FROM c ORDER BY support DESC, in_degree DESC NULLS LAST, id LIMIT 5""")
+def foundational_authorities(spark: SparkSession, d: str) -> DataFrame:
+    e = merged(spark, d)
+    pool = table(spark, d, "part").where("p_size = 1").select(F.col("p_partkey").alias("id"))
+    return graph.foundational(pool, e, graph.degrees(e))
+
+
+@query(f"WITH {SQL_EDGES}, {SQL_POOL} SELECT dst AS id, count(*) AS n FROM edges WHERE dominant_relation_type = 'R' AND dst IN (SELECT id FROM pool) GROUP BY 1")
+def later_treatment(spark: SparkSession, d: str) -> DataFrame:
+    pool = table(spark, d, "part").where("p_size = 1").select(F.col("p_partkey").alias("id"))
+    return graph.later_treatment(pool, merged(spark, d), "R")
+
+
+# ---- evaluation ----------------------------------------------------------------------------------------------------
+
+SQL_HITS_20 = f"""raw AS (SELECT b.vec_id AS qid, a.vec_id AS paragraph, a.vec_id // 3 AS case_id, b.label AS ql, a.label AS al, {SQL_COS} AS sim FROM embeddings a, embeddings b WHERE b.vec_id < 20 AND a.vec_id <> b.vec_id),
+ret AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, paragraph) AS rank FROM raw) WHERE rank <= 40),
+gold AS (SELECT DISTINCT qid, case_id FROM raw WHERE ql = al AND paragraph < 60),
+rk AS (SELECT qid, case_id, row_number() OVER (PARTITION BY qid ORDER BY min(rank), case_id) AS rank FROM ret GROUP BY qid, case_id)"""
+SQL_SCORES = f"""{SQL_HITS_20}, j AS (SELECT g.qid, g.case_id, rk.rank FROM gold g LEFT JOIN rk ON rk.qid = g.qid AND rk.case_id = g.case_id),
+sc AS (SELECT qid, count(*) FILTER (WHERE rank <= 10) / count(*) AS recall, coalesce(1.0 / min(rank), 0) AS mrr, coalesce(sum(CASE WHEN rank <= 10 THEN 1.0 / log2(rank + 1) END), 0) AS dcg, count(*) FILTER (WHERE rank <= 10) AS h FROM j GROUP BY qid),
+scored AS (SELECT qid, recall, mrr, CASE WHEN h = 0 THEN 0 ELSE dcg / (SELECT sum(1.0 / log2(i + 1)) FROM range(1, 11) t(i) WHERE i <= h) END AS ndcg FROM sc)"""
+
+
+def retrieved(spark: SparkSession, d: str) -> DataFrame:
+    hits = retrieval.vector_arm(corpus(spark, d), questions(spark, d, 20), 40, exclude_self=True)
+    return hits.select("qid", F.col("id").alias("paragraph"), F.floor(F.col("id") / 3).alias("case_id"), "rank")
+
+
+def label_gold(spark: SparkSession, d: str) -> DataFrame:
+    """Paragraphs of the same label among the first sixty vectors count as relevant."""
+    e = corpus(spark, d)
+    q = e.where("id < 20").select(F.col("id").alias("qid"), "label")
+    return e.where("id < 60").join(F.broadcast(q), "label").where("id <> qid").select("qid", F.floor(F.col("id") / 3).alias("case_id"), F.col("id").alias("paragraph"))
+
+
+@query(f"WITH {SQL_SCORES} SELECT qid, round(recall, 6) AS recall, round(mrr, 6) AS mrr, round(ndcg, 6) AS ndcg FROM scored")
+def eval_recall_mrr_ndcg(spark: SparkSession, d: str) -> DataFrame:
+    scores = evaluation.score_cases(evaluation.case_ranking(retrieved(spark, d)), label_gold(spark, d).select("qid", "case_id").distinct())
+    return scores.select("qid", r6("recall").alias("recall"), r6("mrr").alias("mrr"), r6("ndcg").alias("ndcg"))
+
+
+@query(f"WITH {SQL_SCORES} SELECT count(*) AS n_questions, round(avg(recall), 6) AS recall, round(avg(mrr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg FROM scored WHERE qid % 5 <> 0")
+def eval_macro_average(spark: SparkSession, d: str) -> DataFrame:
+    scores = evaluation.score_cases(evaluation.case_ranking(retrieved(spark, d)), label_gold(spark, d).select("qid", "case_id").distinct())
+    gaps = scores.where("qid % 5 = 0").select("qid")
+    out = evaluation.macro_average(scores, "recall", "mrr", "ndcg", gaps=gaps)
+    return out.select("n_questions", *[r6(c).alias(c) for c in ("recall", "mrr", "ndcg")])
+
+
+@query(f"""WITH {SQL_HITS_20}, g AS (SELECT DISTINCT qid, case_id, paragraph FROM raw WHERE ql = al AND paragraph < 60), q AS (SELECT vec_id AS qid FROM embeddings WHERE vec_id < 25),
+s AS (SELECT g.qid, count(*) AS n, count(r.paragraph) AS hit FROM g LEFT JOIN ret r ON r.qid = g.qid AND r.paragraph = g.paragraph AND r.rank <= 8 GROUP BY 1)
+SELECT q.qid, round(coalesce(s.hit, 0) / greatest(coalesce(s.n, 0), 1), 6) AS paragraph_recall FROM q LEFT JOIN s ON s.qid = q.qid""")
+def eval_paragraph_recall(spark: SparkSession, d: str) -> DataFrame:
+    out = evaluation.paragraph_recall(retrieved(spark, d).where("rank <= 8"), label_gold(spark, d), questions(spark, d, 25))
+    return out.select("qid", r6("paragraph_recall").alias("paragraph_recall"))
+
+
+@query(f"""WITH {SQL_SCORES}, sb AS (SELECT qid, count(*) FILTER (WHERE rank <= 3) / count(*) AS recall FROM j GROUP BY qid)
+SELECT a.qid, round(b.recall, 6) AS old, round(a.recall, 6) AS new, CASE WHEN a.recall > b.recall THEN 'WIN' WHEN a.recall < b.recall THEN 'LOSS' ELSE 'SAME' END AS flag FROM scored a JOIN sb b USING (qid)""")
+def eval_two_corpora(spark: SparkSession, d: str) -> DataFrame:
+    rank, gold = evaluation.case_ranking(retrieved(spark, d)), label_gold(spark, d).select("qid", "case_id").distinct()
+    out = evaluation.compare(evaluation.score_cases(rank, gold, k=3), evaluation.score_cases(rank, gold, k=10), "recall")
+    return out.select("qid", r6("old").alias("old"), r6("new").alias("new"), "flag")
+
+
+@query(f"""WITH {SQL_HITS_20}, c AS (SELECT ret.* FROM ret JOIN (SELECT qid, min(case_id) AS case_id FROM gold GROUP BY 1) g USING (qid, case_id))
+SELECT qid, min(rank) AS first_rank, min(paragraph) FILTER (WHERE rank = fr) AS best, bool_or(rank <= 20) AS in_top FROM (SELECT *, min(rank) OVER (PARTITION BY qid) AS fr FROM c) GROUP BY qid""")
+def eval_case_probe(spark: SparkSession, d: str) -> DataFrame:
+    case = label_gold(spark, d).groupBy("qid").agg(F.min("case_id").alias("case_id"))
+    return evaluation.probe(retrieved(spark, d), case, 20).select("qid", "first_rank", F.col("best")[0]["paragraph"].alias("best"), "in_top")
+
+
+# ---- documents -----------------------------------------------------------------------------------------------------
+
+
+@query("""WITH p AS (SELECT doc_id, unnest(ls) AS raw, generate_subscripts(ls, 1) - 1 AS chunk_index FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL AND text <> '')),
+c AS (SELECT doc_id, chunk_index, substr(regexp_replace(raw, '^\\s+|\\s+$', '', 'g'), 1, 6000) AS chunk FROM p)
+SELECT doc_id, chunk_index, doc_id || '_p_' || chunk_index AS chunk_id, length(chunk) AS n_chars, md5(chunk) AS chunk_md5 FROM c WHERE length(chunk) >= 80""")
+def chunk_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    out = text.chunks(docs(spark, d), "doc_id", "text", "\n", 80, 6000)
+    return out.select("doc_id", "chunk_index", "chunk_id", F.length("chunk").alias("n_chars"), F.md5("chunk").alias("chunk_md5"))
+
+
+@query("SELECT page_id, md5(trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))) AS text_md5 FROM pages")
+def html_strip(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", F.md5(text.strip_tags(F.col("html"))).alias("text_md5"))
+
+
+SQL_PROSE = """WITH p AS (SELECT page_id, unnest(ps) AS raw, generate_subscripts(ps, 1) AS pos FROM (SELECT page_id, regexp_extract_all(html, '(?is)<p\\b[^>]*>(.*?)</p>', 1) AS ps FROM pages)),
+t AS (SELECT page_id, pos, trim(regexp_replace(regexp_replace(raw, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) AS text FROM p)
+SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS number, md5(text) AS text_md5 FROM t WHERE length(text) >= 40"""
+
+
+@query(SQL_PROSE)
+def html_prose_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    return documents.parse_prose_native(table(spark, d, "pages"), "page_id", "html").select("page_id", "number", F.md5("text").alias("text_md5"))
+
+
+@query()
+def html_era_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    """Every era's parser over the pages (offsets and look-ahead have no SQL form); fixtures of each era are in the tests."""
+    return documents.parse_html(table(spark, d, "pages"), "page_id", "html")
+
+
+@query("""SELECT user_id AS entity, min(CASE WHEN event_type = 'click' THEN v END) AS click, array_to_string(list_sort(list_distinct(list(v) FILTER (WHERE event_type = 'view'))), ',') AS views
+FROM (SELECT CAST(user_id AS VARCHAR) AS user_id, event_type, json_extract_string(props, '$.k') AS v FROM events) GROUP BY 1""")
+def metadata_pivot(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "events").select(F.col("user_id").cast("string").alias("entity"), F.col("event_type").alias("field"), F.get_json_object("props", "$.k").alias("value"))
+    return metadata.pivot(rows, ["click"], ["view"]).select("entity", "click", F.nullif(F.array_join("view", ","), F.lit("")).alias("views"))
+
+
+@query("""SELECT l_orderkey, NOT bool_or(coalesce(l_suppkey < b, false)) AS monotonic FROM (SELECT l_orderkey, l_suppkey, lag(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY k) AS b
+FROM (SELECT *, l_linenumber * 1000000 + l_partkey AS k FROM (SELECT l_orderkey, l_linenumber, l_partkey, min(l_suppkey) AS l_suppkey FROM lineitem GROUP BY 1, 2, 3))) GROUP BY 1""")
+def numbering_monotonic(spark: SparkSession, d: str) -> DataFrame:
+    own = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber", "l_partkey").agg(F.min("l_suppkey").alias("n"))
+    return documents.monotonic(own.withColumn("k", F.col("l_linenumber") * 1000000 + F.col("l_partkey")), "l_orderkey", "n", "k")
+
+
+@query("""WITH p AS (SELECT l_orderkey, l_partkey AS at FROM lineitem), m AS (SELECT l_orderkey, l_suppkey AS at, min(l_returnflag) AS label FROM lineitem GROUP BY 1, 2)
+SELECT p.l_orderkey, p.at, m.label FROM p ASOF LEFT JOIN m ON p.l_orderkey = m.l_orderkey AND p.at >= m.at""")
+def section_as_of(spark: SparkSession, d: str) -> DataFrame:
+    line = table(spark, d, "lineitem")
+    markers = line.groupBy("l_orderkey", F.col("l_suppkey").alias("at")).agg(F.min("l_returnflag").alias("label"))
+    return documents.section_as_of(line.select("l_orderkey", F.col("l_partkey").alias("at")), markers, "l_orderkey")
+
+
+@query("""WITH t AS (SELECT n_nationkey, 'Judgment.#' || n_name || ' v ' || r_name || '.#Request#Case ' || n_nationkey AS raw, n_name, r_name FROM nation JOIN region ON r_regionkey = n_regionkey)
+SELECT n_nationkey, replace(raw, '#', ' ') AS title, n_name || '|' || r_name AS parties FROM t""")
+def title_parties(spark: SparkSession, d: str) -> DataFrame:
+    own = table(spark, d, "nation").join(F.broadcast(table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    raw = F.concat(F.lit("Judgment.#"), "n_name", F.lit(" v "), "r_name", F.lit(".#Request#Case "), F.col("n_nationkey").cast("string"))
+    title, parties = text.title_fields(raw)
+    return own.select("n_nationkey", title.alias("title"), F.array_join(parties, "|").alias("parties"))
+
+
+# ---- metadata triples ----------------------------------------------------------------------------------------------
+
+
+def triples(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers as subjects: identifier, name and nation; nations with labels."""
+    s = table(spark, d, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("s"), "s_name", F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("n"))
+    rows = F.array(*[F.struct(F.lit(p).alias("p"), F.col(c).alias("o")) for p, c in (("id", "s"), ("name", "s_name"), ("country", "n"))])
+    n = table(spark, d, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("s"), F.lit("label").alias("p"), F.col("n_name").alias("o"))
+    return s.select("s", F.inline(rows)).unionByName(n).withColumn("lang", F.lit("en"))
+
+
+@query("SELECT 's' || s_suppkey AS value FROM supplier WHERE s_nationkey = 7 AND 's' || s_suppkey LIKE 's%'")
+def triples_list(spark: SparkSession, d: str) -> DataFrame:
+    return metadata.list_entities(triples(spark, d), "id", {"country": "n7"}, "s")
+
+
+@query("SELECT 's' || s_suppkey AS entity, 'title' AS field, s_name AS value FROM supplier UNION ALL SELECT 's' || s_suppkey, 'country_origin', n_name FROM supplier JOIN nation ON n_nationkey = s_nationkey")
+def triples_fields(spark: SparkSession, d: str) -> DataFrame:
+    mapping = spark.createDataFrame([("name", "title", False), ("country", "country_origin", True)], "p string, field string, hop boolean")
+    t = triples(spark, d)
+    return metadata.as_fields(t, mapping, t.where("p = 'label'"))
+
+
+@query("SELECT 's' || s_suppkey AS entity FROM supplier WHERE s_nationkey IN (SELECT n_nationkey FROM nation)")
+def triples_ask(spark: SparkSession, d: str) -> DataFrame:
+    t = triples(spark, d)
+    return metadata.exists_chain(t, t.where("p = 'id'").select(F.col("o").alias("entity")), "country", "label")
+
+
+# ---- data changes --------------------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, lang FROM documents WHERE doc_id % 3 = 0 AND doc_id % 2 <> 0")
+def incremental_new_rows(spark: SparkSession, d: str) -> DataFrame:
+    all_docs = docs(spark, d)
+    return dml.new_rows(all_docs.where("doc_id % 3 = 0"), all_docs.where("doc_id % 2 = 0"), "doc_id").select("doc_id", "lang")
+
+
+@query("""WITH o AS (SELECT * FROM customer WHERE c_custkey % 3 <> 0), n AS (SELECT c_custkey, c_name || '!' AS c_name, c_nationkey, c_acctbal + 1 AS c_acctbal, c_mktsegment FROM customer WHERE c_custkey % 2 = 0)
+SELECT coalesce(o.c_custkey, n.c_custkey) AS c_custkey, coalesce(o.c_name, n.c_name) AS c_name, coalesce(o.c_nationkey, n.c_nationkey) AS c_nationkey, round(coalesce(n.c_acctbal, o.c_acctbal), 2) AS c_acctbal,
+coalesce(o.c_mktsegment, n.c_mktsegment) AS c_mktsegment FROM o FULL JOIN n ON o.c_custkey = n.c_custkey""")
+def upsert_subset_columns(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "customer")
+    new = c.where("c_custkey % 2 = 0").withColumns({"c_name": F.concat("c_name", F.lit("!")), "c_acctbal": F.col("c_acctbal") + 1})
+    return dml.upsert(c.where("c_custkey % 3 <> 0"), new, "c_custkey", ["c_acctbal"]).withColumn("c_acctbal", F.round("c_acctbal", 2))
+
+
+@query("""SELECT l_orderkey, l_partkey, l_quantity FROM lineitem WHERE l_orderkey % 5 <> 0 UNION ALL SELECT DISTINCT l_orderkey, 0 AS l_partkey, CAST(1 AS DOUBLE) FROM lineitem WHERE l_orderkey % 5 = 0""")
+def replace_children(spark: SparkSession, d: str) -> DataFrame:
+    line = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
+    new = line.where("l_orderkey % 5 = 0").select("l_orderkey").distinct().select("l_orderkey", F.lit(0).cast("long").alias("l_partkey"), F.lit(1.0).alias("l_quantity"))
+    return dml.replace_children(line, new, "l_orderkey")
+
+
+@query("""WITH r AS (SELECT l_partkey AS src, l_suppkey AS dst, CASE WHEN l_linestatus = 'O' THEN 'text' ELSE 'cellar' END AS source FROM lineitem)
+SELECT * FROM r WHERE source <> 'text' UNION ALL SELECT dst AS src, src AS dst, source FROM r WHERE source = 'text'""")
+def replace_source(spark: SparkSession, d: str) -> DataFrame:
+    old = table(spark, d, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"), F.when(F.col("l_linestatus") == "O", "text").otherwise("cellar").alias("source"))
+    return dml.replace_source(old, old.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "source"), "source", "text")
+
+
+@query("""SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events) WHERE k = 1""")
+def collection_upsert(spark: SparkSession, d: str) -> DataFrame:
+    return dml.last_write(table(spark, d, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id")
+
+
+@query("""WITH f AS (SELECT user_id, event_id, CASE WHEN value >= 50 THEN 1 ELSE -1 END AS feedback, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events WHERE event_type = 'click')
+SELECT c_custkey AS user_id, feedback FROM customer LEFT JOIN f ON f.user_id = c_custkey AND k = 1""")
+def latest_feedback(spark: SparkSession, d: str) -> DataFrame:
+    clicks = table(spark, d, "events").where("event_type = 'click'").select("user_id", "event_id", F.when(F.col("value") >= 50, 1).otherwise(-1).alias("feedback"))
+    return dml.with_feedback(table(spark, d, "customer").select(F.col("c_custkey").alias("user_id")), clicks, "user_id", "event_id")
+
+
+@query("SELECT d.doc_id, coalesce(l.quality, -1) AS quality FROM documents d LEFT JOIN (SELECT doc_id, quality FROM labels WHERE toxic = 0) l USING (doc_id)")
+def fill_missing(spark: SparkSession, d: str) -> DataFrame:
+    old = docs(spark, d).select("doc_id", F.lit(-1).alias("quality"))
+    return dml.fill(old, table(spark, d, "labels").where("toxic = 0"), "doc_id", "quality")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 10 <> 0)")
+def integrity_orphans(spark: SparkSession, d: str) -> DataFrame:
+    return dml.orphans(table(spark, d, "lineitem"), table(spark, d, "orders").where("o_orderkey % 10 <> 0"), "l_orderkey", "o_orderkey").select("l_orderkey", "l_linenumber", "l_partkey")
+
+
+@query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
+def duplicate_keys(spark: SparkSession, d: str) -> DataFrame:
+    return dml.duplicate_keys(table(spark, d, "lineitem"), "l_orderkey", "l_linenumber")
+
+
+@query("""SELECT 'month' AS unit, CAST(g AS DATE) AS window_start, CAST(g + INTERVAL 1 MONTH - INTERVAL 1 DAY AS DATE) AS window_end FROM generate_series(DATE '2023-01-01', DATE '2024-12-01', INTERVAL 1 MONTH) t(g)
+UNION ALL SELECT 'quarter', CAST(g AS DATE), CAST(g + INTERVAL 3 MONTH - INTERVAL 1 DAY AS DATE) FROM generate_series(DATE '2020-01-01', DATE '2024-12-01', INTERVAL 3 MONTH) t(g)
+UNION ALL SELECT 'decade', CAST(g AS DATE), CAST(g + INTERVAL 120 MONTH - INTERVAL 1 DAY AS DATE) FROM generate_series(DATE '1950-01-01', DATE '2024-12-01', INTERVAL 120 MONTH) t(g)""")
+def date_windows(spark: SparkSession, d: str) -> DataFrame:
+    parts = [("month", "2023-01-01"), ("quarter", "2020-01-01"), ("decade", "1950-01-01")]
+    frames = [dates.windows(spark, first, "2024-12-01", unit).select(F.lit(unit).alias("unit"), "window_start", "window_end") for unit, first in parts]
+    return frames[0].unionByName(frames[1]).unionByName(frames[2])
+
+
+# ---- services and streams ------------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, 64 AS dimensions FROM documents")
+def embed_backfill(spark: SparkSession, d: str) -> DataFrame:
+    return ports.embed(docs(spark, d), "doc_id", "text", ports.HashedEmbedder(64)).select("doc_id", F.size("embedding").alias("dimensions"))
+
+
+@query("SELECT doc_id, lang FROM documents")
+def stream_incremental_index(spark: SparkSession, d: str) -> DataFrame:
+    """The stream runs twice over the same files; the second run adds nothing."""
+    from .plans.lineage import shared_dir
+
+    base = f"{shared_dir(spark)}/{tempfile.mktemp(prefix='stream-', dir='')}"
+    schema = docs(spark, d).schema
+    for _ in range(2):
+        index_stream(spark, d, schema, f"{base}/index", f"{base}/state", "doc_id", pattern="documents.parquet").awaitTermination()
+    return spark.read.parquet(f"{base}/index").select("doc_id", "lang")
+
+
