@@ -213,8 +213,10 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH) ->
     """((cls, n, spans) of the texts with repeats, (cls, n, text) of them, tables to discard once both were read).
 
     spans is an array of [start, end) bytes that strings of ``length`` bytes cover which start anywhere else; texts that occur
-    twice as a whole are not among them.
+    twice as a whole are not among them. ``length`` is 16 at least: an anchor takes 8 bytes.
     """
+    if length < 16:
+        raise ValueError("length must be 16 at least")
     src = classed(docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")))
     found = stored(_anchor_rows(src, length), "anchors")
     place = F.struct("cls", "n", "a")
