@@ -48,6 +48,23 @@ def vector_arm(corpus: DataFrame, questions: DataFrame, k: int = PER_ARM, metric
     return ranked(scored, "qid", first, F.col("id"), top=k)
 
 
+def lsh_arm(corpus: DataFrame, questions: DataFrame, k: int = PER_ARM, tables: int = 12, length: float = 1.0, seed: int = 1) -> DataFrame:
+    """The vector arm on a random-projection index: candidates share a bucket with the question and are reranked exactly.
+
+    Approximate: a question may get fewer than k, and recall depends on ``tables`` and bucket ``length``.
+    """
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    own = corpus.where(F.col("embedding").isNotNull()).select("id", "embedding", array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
+    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=length, numHashTables=tables, seed=seed).fit(own)
+    bucket = lambda df, *keep: model.transform(df).select(*keep, F.posexplode("h").alias("t", "h")).select(*keep, "t", vector_to_array("h")[0].alias("h"))
+    asked = questions.select("qid", "query_vector", array_to_vector(F.col("query_vector").cast("array<double>")).alias("v"))
+    pairs = bucket(own, "id").join(F.broadcast(bucket(asked, "qid")), ["t", "h"]).select("qid", "id").distinct()
+    scored = pairs.join(own.select("id", "embedding"), "id").join(F.broadcast(questions), "qid").select("qid", "id", cosine(F.col("embedding"), F.col("query_vector")).alias("score"))
+    return ranked(scored, "qid", F.col("score").desc_nulls_last(), F.col("id"), top=k)
+
+
 def keyword_arm(scored: DataFrame, k: int = PER_ARM) -> DataFrame:
     """(qid, id, score, rank) from full-text scores (qid, id, score)."""
     return ranked(scored, "qid", F.col("score").desc_nulls_last(), F.col("id"), top=k)
@@ -84,10 +101,11 @@ def fuse_queries(fused: DataFrame, variant_of: DataFrame, top: int = POOL) -> Da
     return ranked(summed, "question", F.col("hybrid_score").desc(), F.col("id"), name="pool_rank", top=top)
 
 
-def rerank(pool: DataFrame, scores: DataFrame, authority: DataFrame | None = None, final: int = FINAL) -> DataFrame:
+def rerank(pool: DataFrame, scores: DataFrame, authority: DataFrame | None = None, final: int = FINAL, fallback: str = "pool") -> DataFrame:
     """Injected scores (qid, position, score[, reason]) joined to the pool by position; missing ones count 0.
 
-    Order: score, authority (0 if unknown), hybrid score, pool order. A question without any score keeps its pool order.
+    Order: score, authority (0 if unknown), hybrid score, pool order. A question without any score keeps its pool order; with
+    ``fallback="authority"`` (as evaluation runs do it) it is ordered like one whose scores are all 0.
     """
     s = scores.select("qid", F.col("position").alias("pool_rank"), F.col("score").cast("double").alias("rerank_score"), *([F.col("reason")] if "reason" in scores.columns else [F.lit(None).cast("string").alias("reason")]))
     out = pool.join(s.dropDuplicates(["qid", "pool_rank"]), ["qid", "pool_rank"], "left")
@@ -103,7 +121,7 @@ def rerank(pool: DataFrame, scores: DataFrame, authority: DataFrame | None = Non
         out = out.withColumn("authority", F.lit(0.0))
     else:
         out = out.join(authority.select("id", F.col("authority").cast("double")), "id", "left").withColumn("authority", F.coalesce("authority", F.lit(0.0)))
-    used = lambda c: F.when(F.col("has_scores"), F.col(c)).otherwise(F.lit(0.0))
+    used = lambda c: F.when(F.col("has_scores") | F.lit(fallback == "authority"), F.col(c)).otherwise(F.lit(0.0))
     order = (used("rerank_score").desc(), used("authority").desc(), used("hybrid_score").desc(), F.col("pool_rank"))
     return ranked(out, "qid", *order, name="final_rank", top=final).drop("has_scores")
 

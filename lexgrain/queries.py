@@ -140,6 +140,12 @@ def vector_topk_filtered(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.vector_arm(own, questions(spark, d, 5), 10).select("qid", "id", r6("score").alias("score"), "rank")
 
 
+@query()
+def vector_topk_lsh(spark: SparkSession, d: str) -> DataFrame:
+    """Approximate; its recall against the exact arm is measured in the tests."""
+    return retrieval.lsh_arm(corpus(spark, d), questions(spark, d, 5), 10).select("qid", "id", r6("score").alias("score"), "rank")
+
+
 # ---- full text -----------------------------------------------------------------------------------------------------
 
 
@@ -237,6 +243,23 @@ def rerank_fallback(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.rerank(pool, none, authority).select("qid", "id", "pool_rank", "rerank_score", "reason", "final_rank")
 
 
+@query(f"""WITH {SQL_MERGED}, r AS (SELECT f.*, coalesce(d.n_chars, 0) AS authority FROM f LEFT JOIN documents d ON d.doc_id = f.id)
+SELECT qid, id, pool_rank, final_rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY authority DESC, rrf DESC, pool_rank) AS final_rank FROM r) WHERE final_rank <= 8""")
+def rerank_fallback_evaluation(spark: SparkSession, d: str) -> DataFrame:
+    pool, _, authority = injected(spark, d)
+    none = spark.createDataFrame([], "qid long, position int, score double")
+    return retrieval.rerank(pool, none, authority, fallback="authority").select("qid", "id", "pool_rank", "final_rank")
+
+
+@query(f"""WITH {SQL_MERGED}, q AS (SELECT qid, count(*) AS candidate_count FROM f GROUP BY 1)
+SELECT qid, candidate_count, least(candidate_count, 8) AS source_count, qid <> 3 AS retrieval_success FROM q""")
+def query_log(spark: SparkSession, d: str) -> DataFrame:
+    """Log rows of a batch; the answer of question 3 is taken to have failed."""
+    sizes = retrieval.fuse_rrf(arms(spark, d)).groupBy("qid").agg(F.count("*").alias("candidate_count"))
+    own = sizes.select("qid", "candidate_count", F.least("candidate_count", F.lit(8)).alias("source_count"), F.when(F.col("qid") == 3, "timeout").alias("error_message"), F.lit(1.23456).alias("response_time_seconds"))
+    return dml.log_rows(own).select("qid", "candidate_count", "source_count", "retrieval_success")
+
+
 @query(f"""WITH {SQL_MERGED}, j AS (SELECT s.*, coalesce(l.quality, 1) AS ok FROM s LEFT JOIN labels l ON l.doc_id = s.id)
 SELECT qid, id, ok AS is_judgment, pr AS pool_rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY ok DESC, rrf DESC, vector_rank ASC NULLS LAST, keyword_rank ASC NULLS LAST, id) AS pr FROM j) WHERE pr <= 50""")
 def demoted_ranking(spark: SparkSession, d: str) -> DataFrame:
@@ -536,6 +559,14 @@ def html_era_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     return documents.parse_html(table(spark, d, "pages"), "page_id", "html")
 
 
+@query()
+def ingest_report(spark: SparkSession, d: str) -> DataFrame:
+    """Totals of parsing the pages (the parse has no SQL form)."""
+    pages = table(spark, d, "pages")
+    out = documents.ingest_report(pages.select("page_id", F.col("html").alias("content")), documents.parse_html(pages, "page_id", "html"), "page_id")
+    return out.withColumn("per_decision", r6("per_decision"))
+
+
 @query("""SELECT user_id AS entity, min(CASE WHEN event_type = 'click' THEN v END) AS click, array_to_string(list_sort(list_distinct(list(v) FILTER (WHERE event_type = 'view'))), ',') AS views
 FROM (SELECT CAST(user_id AS VARCHAR) AS user_id, event_type, json_extract_string(props, '$.k') AS v FROM events) GROUP BY 1""")
 def metadata_pivot(spark: SparkSession, d: str) -> DataFrame:
