@@ -44,8 +44,13 @@ HINTS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promotion banner banners cookie cookies consent gdpr notice notices "
     "notification notifications alert popup modal overlay newsletter subscribe subscription signup sidebar sidebars aside menu menus nav navbar navigation "
     "breadcrumb breadcrumbs footer masthead topbar toolbar comment comments commentlist respond reply replies disqus discussion share sharing social related "
-    "recommended recommendations widget widgets login search form pagination pager paywall toc skip hidden".split()
+    "recommended recommendations widget widgets login search form pagination pager paywall toc skip hidden teaser teasers rail crumb crumbs subnav sidenav blogroll copyright colophon "
+    "adbox adslot adsbygoogle outbrain taboola feedback rating ratings print tagcloud".split()
 )
+#: Words that say so only outside an article.
+OUTER_HINTS = frozenset("header head top bottom logo branding".split())
+#: Layout classes name parts that an element has or lacks, not what it is.
+_LAYOUT = re.compile(r"\b(?:no|has|with|without|hide|show)[-_]\w+|\b\w+[-_](?:open|closed|enabled|disabled|on|off|layout|visible)\b", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 #: What an opening tag closes first, up to the given containers.
 IMPLIED = {
@@ -86,8 +91,9 @@ class _State:
     link: bool = False
 
 
-def _hinted(value: str) -> bool:
-    return not HINTS.isdisjoint(_WORD.findall(_CAMEL.sub(" ", value).lower()))
+def _hinted(value: str, inside: bool) -> bool:
+    words = set(_WORD.findall(_CAMEL.sub(" ", _LAYOUT.sub(" ", value)).lower()))
+    return bool(words & HINTS) or not inside and bool(words & OUTER_HINTS)
 
 
 def blocks(html: str) -> list[Block]:
@@ -162,9 +168,9 @@ def blocks(html: str) -> list[Block]:
                 elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
                     drop = True
         root = tag in ("article", "main") or role in ("main", "article") or itemprop == "articlebody"
-        if tag not in ("html", "body", "main") and (role in ROLES or names and _hinted(names)):
-            drop = True
         inside = any(e.root for e in stack)
+        if tag not in ("html", "body", "main") and (role in ROLES or names and _hinted(names, inside)):
+            drop = True
         drop |= tag == "header" and not inside
         first = names.split()[0] if names.split() else ""
         stack.append(_Element(tag, f"{stack[-1].path}/{tag}" + (f".{first}" if first else ""), number, drop, root, tag == "header" and inside))

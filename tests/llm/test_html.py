@@ -18,6 +18,17 @@ def test_notices_within_the_article_go():
     assert h.extract(PAGE % f"<article>{inner}</article>") == TEXT
 
 
+def test_layout_classes_and_outer_headers():
+    page = f'<body><div class="site-header"><p>The site, its name, and its motto.</p></div><div class="content with-sidebar comments-open">{ARTICLE}</div><div class="rightRail"><p>More, and more.</p></div><div id="respondForm">Reply, now.</div></body>'
+    assert h.extract(page) == TEXT
+    assert h.extract('<article><div class="article-header"><h1>T</h1></div><p>Some text, here.</p></article>') == "T\nSome text, here."
+
+
+def test_unnamed_link_lists_go():
+    page = f'<body><div><a href="#">Home page</a> <a href="#">All the news</a></div><div><div>{ARTICLE}</div></div><div><ul><li><a href="#">Other story, one</a></li><li><a href="#">Other story, two</a></li></ul></div></body>'
+    assert h.extract(page) == TEXT
+
+
 def test_edges():
     assert h.extract(None) == h.extract("") == h.extract("<p>") == h.extract("<nav>x</nav>") == ""
     assert h.extract("plain text, only.") == "plain text, only."
