@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..plans.components import connected_components
 from ..plans.lineage import discard, stored
-from .batches import bounded
+from .batches import bounded, bounded_sample
 
 THRESHOLD = 0.9
 #: Vectors that centroids, codebooks, slack and score bound are fitted on, at most.
@@ -147,7 +147,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     src = vectors.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"))
     rows = src.select("id", F.when(usable(F.col("v")), F.xxhash64(F.transform("v", lambda e: e + F.lit(0.0)))).alias("cls"), "v")
     each = stored(rows.where("cls is not null").groupBy("cls").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.any_value("v").alias("v")), "vectors")
-    sample = [r["v"] for r in each.orderBy(F.xxhash64("cls"), "cls").limit(SAMPLE).select("v").collect()]
+    sample = [r["v"] for r in bounded_sample(each, SAMPLE, "cls").select("v").collect()]
     if not sample:
         return src.select(F.col("id").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     sizes = np.bincount([len(v) for v in sample])

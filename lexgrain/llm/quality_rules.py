@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .batches import map_batches
+from .batches import bounded_sample, map_batches
 
 SYMBOLS = "#*$%&|<>"
 WHITE = " \t\n\x0b\x0c\r"
@@ -145,14 +145,8 @@ def fit(featured: DataFrame, labels: DataFrame, key: str = "doc_id", quality: st
     Of several labels of one id the lowest counts; null labels and ids are left out. Without labels there are no rules.
     """
     one = labels.select(F.col(key).alias("__id"), F.col(quality).alias("__q")).dropna().groupBy("__id").agg(F.min("__q").alias("__q"))
-    rows = (
-        featured.where(~base_failed())
-        .join(one, F.col(key) == F.col("__id"))
-        .select("__id", "__q", *COUNTS)
-        .orderBy(F.xxhash64("__id"), *COUNTS)
-        .limit(sample)
-        .toPandas()
-    )
+    rated = featured.where(~base_failed()).join(one, F.col(key) == F.col("__id")).select("__id", "__q", *COUNTS)
+    rows = bounded_sample(rated, sample, "__id", *COUNTS).toPandas()
     if rows.empty:
         return []
     x = ratios({c: rows[c].to_numpy(dtype=float) for c in COUNTS})
