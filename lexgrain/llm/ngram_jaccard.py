@@ -29,7 +29,7 @@ WORDS, NUM, DEN = 5, 80, 100
 COUNTERS, SLICE = 1 << 20, 1 << 10
 #: A shingle counted more often than this is dealt to several tasks.
 HOT = 2_000
-#: Orders by which buckets choose their pivot.
+#: Orders by which buckets choose their pivot among their most central classes.
 PIVOTS = 4
 #: Classes whose prefixes a task remembers having sent.
 SENT = 200_000
@@ -87,7 +87,11 @@ def _rarity(slices: DataFrame) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, text: str, words: int, num: int, den: int, rarity) -> DataFrame:
-    """(h, salt, cls, n, pos): the rare-first prefix of each class, once per task that meets the class."""
+    """(h, salt, cls, np, mid): the rare-first prefix of each class, once per task that meets the class.
+
+    np packs the set's size and the place in the prefix. mid is how often the prefix's shingles are counted (log2, in eighths):
+    of near copies the one with the fewest changes of its own has the largest.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -104,43 +108,62 @@ def _prefixes(docs: DataFrame, text: str, words: int, num: int, den: int, rarity
                 order = np.lexsort((s, often))[: prefix_length(len(s), num, den)]
                 h, n = s[order], len(order)
                 parts = often[order] // HOT + 1
-                for col, v in zip(cols, (h.view(np.int64), np.where(parts > 1, c % parts.astype(np.int64), 0), np.full(n, c), np.full(n, len(s)), np.arange(n)), strict=True):
+                mid = int(8 * np.log2(1.0 + often[order]).mean())
+                salt = np.where(parts > 1, 1 + c % parts.astype(np.int64), 0)  # 0: not frequent
+                for col, v in zip(cols, (h.view(np.int64), salt, np.full(n, c), (len(s) << 32) + np.arange(n), np.full(n, mid)), strict=True):
                     col.append(v)
             if cols[0]:
                 v = [np.concatenate(c) for c in cols]
-                yield pa.RecordBatch.from_arrays([pa.array(v[0]), pa.array(v[1].astype(np.int32)), pa.array(v[2]), pa.array(v[3].astype(np.int32)), pa.array(v[4].astype(np.int32))], names=["h", "salt", "cls", "n", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(v[0]), pa.array(v[1].astype(np.int32)), pa.array(v[2]), pa.array(v[3]), pa.array(v[4].astype(np.int32))], names=["h", "salt", "cls", "np", "mid"])
 
     bounded(docs.sparkSession)
-    return docs.select(text).mapInArrow(run, "h long, salt int, cls long, n int, pos int")
+    return docs.select(text).mapInArrow(run, "h long, salt int, cls long, np long, mid int")
 
 
 def _shared(prefixes: DataFrame) -> DataFrame:
-    """The prefix rows whose shingle at least two classes have, each once. Rows stream in order; nothing is gathered."""
+    """(h, cls, n, pos, mid) of the prefix rows whose shingle at least two classes have, each once.
+
+    Rows stream in order; nothing is gathered. A frequent shingle is dealt to several tasks and its rows all stay.
+    """
+
+    def settle(table: pa.Table, held: list) -> pa.Table:
+        """What can be decided of rows in order; the last one is held back, as the next may be its partner or its copy."""
+        h, salt, cls, packed = (table.column(k).to_numpy() for k in ("h", "salt", "cls", "np"))
+        new = np.ones(len(h), dtype=bool)
+        new[1:] = (h[1:] != h[:-1]) | (cls[1:] != cls[:-1]) | (packed[1:] != packed[:-1])
+        at = np.flatnonzero(new)
+        same = h[at][1:] == h[at][:-1]
+        paired = (salt[at] > 0) | np.append(False, same) | np.append(same, False)
+        paired[0] |= held[1] and held[0] is not None
+        held[0], held[1] = table.slice(int(at[-1]), 1), bool(paired[-1])
+        return table.take(pa.array(at[:-1][paired[:-1]]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held: list = [None, False]
+        waiting, rows = [], 0
+
+        def out(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            if table.num_rows:
+                packed = table.column("np").to_numpy()
+                n, pos = (packed >> 32).astype(np.int32), (packed & 0xFFFFFFFF).astype(np.int32)
+                columns = [table.column("h"), table.column("cls"), pa.array(n), pa.array(pos), table.column("mid")]
+                yield from pa.Table.from_arrays(columns, names=["h", "cls", "n", "pos", "mid"]).combine_chunks().to_batches()
+
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            if held is not None:
-                table = pa.concat_tables([held, table])
-            h, cls, n = (table.column(k).to_numpy() for k in ("h", "cls", "n"))
-            new = np.ones(len(h), dtype=bool)
-            new[1:] = (h[1:] != h[:-1]) | (cls[1:] != cls[:-1]) | (n[1:] != n[:-1])
-            table = table.filter(pa.array(new))
-            h = h[new]
-            same = h[1:] == h[:-1]
-            paired = table.column("paired").to_numpy() | np.append(False, same) | np.append(same, False)
-            # the last row waits for the next batch, which may hold its partner or its copy
-            last = len(h) - 1
-            out = table.slice(0, last).filter(pa.array(paired[:last])).drop_columns(["paired"]).combine_chunks()
-            yield from out.to_batches()
-            held = table.slice(last, 1).set_column(table.schema.get_field_index("paired"), "paired", pa.array([bool(paired[last])]))
-        if held is not None and held.column("paired")[0].as_py():
-            yield from held.drop_columns(["paired"]).combine_chunks().to_batches()
-
-    # a salted shingle is frequent by its count; its rows stay even where a task sees only one
-    rows = prefixes.withColumn("paired", F.col("salt") > 0).repartition("h", "salt").sortWithinPartitions("h", "cls", "n")
-    return rows.mapInArrow(run, "h long, salt int, cls long, n int, pos int").drop("salt")
+            waiting.append(batch)
+            rows += batch.num_rows
+            if rows >= 100_000:
+                table = pa.Table.from_batches(waiting)
+                yield from out(settle(pa.concat_tables([held[0], table]) if held[0] is not None else table, held))
+                waiting, rows = [], 0
+        if waiting:
+            table = pa.Table.from_batches(waiting)
+            yield from out(settle(pa.concat_tables([held[0], table]) if held[0] is not None else table, held))
+        if held[1]:
+            yield from out(held[0])
+
+    rows = prefixes.repartition("h", "salt").sortWithinPartitions("h", "cls", "np")
+    return rows.mapInArrow(run, "h long, cls long, n int, pos int, mid int")
 
 
 def _could_link(na: Column, nb: Column, pa_: Column, pb: Column, num: int, den: int) -> Column:
@@ -168,13 +191,13 @@ def linked(a: np.ndarray, b: np.ndarray, num: int = NUM, den: int = DEN) -> bool
 
 
 def _of_class(rows: DataFrame, words: int) -> DataFrame:
-    """(cls, n, text) of the rows whose text is of the class that their id stands for; an id may have several texts."""
+    """(cls, n, text) of the rows whose text is of the class that their id stands for; an id that is not ``sure`` has several texts."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ok = [t is not None and set_id(shingles(t, words)) == c for c, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-        return batch.filter(pa.array(ok, pa.bool_()))
+        ok = [s or t is not None and set_id(shingles(t, words)) == c for c, t, s in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3)), strict=True)]
+        return batch.select([0, 1, 2]).filter(pa.array(ok, pa.bool_()))
 
-    return map_batches(rows.select("cls", "n", "text"), run, "cls long, n int, text string")
+    return map_batches(rows.select("cls", "n", "text", "sure"), run, "cls long, n int, text string")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
@@ -215,11 +238,13 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
 
     # one text per class that meets another; classes are named by (cls, n)
     named = rows.where("n > 0").groupBy("cls", "n").agg(F.min("id").alias("id"))
+    several = rows.groupBy("id").agg(F.min(F.struct("cls", "n")).eqNullSafe(F.max(F.struct("cls", "n"))).alias("sure")).withColumnRenamed("id", "sid")
     wanted = named.join(met.select("cls", "n").distinct(), ["cls", "n"], "left_semi")
+    wanted = wanted.join(several, F.col("id").eqNullSafe(F.col("sid"))).drop("sid")
     texts = stored(_of_class(src.join(wanted.withColumnRenamed("id", "wid"), F.col("id").eqNullSafe(F.col("wid"))), words).dropDuplicates(["cls", "n"]), "texts")
 
     turn = F.pmod(F.col("h"), F.lit(PIVOTS))
-    member = F.struct(F.xxhash64("cls", "n", turn).alias("o"), F.col("cls").alias("b"), F.col("n").alias("bn"), F.col("pos").alias("bp"))
+    member = F.struct((-F.col("mid")).alias("m"), F.xxhash64("cls", "n", turn).alias("o"), F.col("cls").alias("b"), F.col("n").alias("bn"), F.col("pos").alias("bp"))
     pivots = met.groupBy("h").agg(F.min(member).alias("p")).select("h", "p.b", "p.bn", "p.bp")
     star = (
         met.join(pivots, "h")
