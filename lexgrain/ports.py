@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from typing import Protocol
 
 import numpy as np
@@ -31,6 +32,29 @@ class HashedEmbedder:
         return (out / np.where(size > 0, size, 1)).tolist()
 
 
+class RetryingEmbedder:
+    """Calls another embedder again after a failure, waiting longer each time; the last failure is raised."""
+
+    def __init__(self, inner: Embedder, attempts: int = 5, wait_seconds: float = 2.0):
+        self.inner, self.attempts, self.wait_seconds = inner, attempts, wait_seconds
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        for attempt in range(1, self.attempts + 1):
+            try:
+                return self.inner.embed(texts)
+            except Exception:
+                if attempt == self.attempts:
+                    raise
+                time.sleep(self.wait_seconds * attempt)
+        return []
+
+
+def without_embedding(paragraphs: DataFrame, year: int | None = None) -> DataFrame:
+    """Rows whose embedding is missing, of one year's decisions if given (a prefix filter that reaches the scan)."""
+    out = paragraphs.where(F.col("embedding").isNull())
+    return out if year is None else out.where(F.col("celex").startswith(f"6{year}CJ"))
+
+
 def embed(rows: DataFrame, key: str, text: str, embedder: Embedder, batch: int = 300, most: int = 8000) -> DataFrame:
     """(key, embedding) of texts cut to ``most`` characters, in batches; a task retry repeats only its own."""
     kind = rows.schema[key].dataType.simpleString()

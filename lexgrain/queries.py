@@ -449,6 +449,17 @@ def graph_communities(spark: SparkSession, d: str) -> DataFrame:
     return graph.communities(graph.weighted(merged(spark, d)), rounds=4, passes=2)
 
 
+@query(f"""{SQL_PAGERANK.rsplit(" SELECT id", 1)[0]} SELECT id, round(r * 1000, 6) AS pagerank, 'https://eur-lex.europa.eu/legal-content/EN/TXT/?uri=CELEX:' || id AS url FROM r10 ORDER BY round(r * 1000, 6) DESC, id LIMIT 10""")
+def top_authorities(spark: SparkSession, d: str) -> DataFrame:
+    ranks = graph.pagerank(graph.weighted(merged(spark, d)), iterations=10, tolerance=None).select("id", r6(F.col("pagerank") * 1000).alias("pagerank"))
+    return ranks.orderBy(F.desc("pagerank"), "id").limit(10).withColumn("url", celex.document_url(F.col("id").cast("string")))
+
+
+@query(f"WITH {SQL_EDGES} SELECT count(*) AS n_edges, count(DISTINCT dst) AS n_cited FROM edges")
+def edge_totals(spark: SparkSession, d: str) -> DataFrame:
+    return merged(spark, d).agg(F.count("*").alias("n_edges"), F.countDistinct("dst").alias("n_cited"))
+
+
 SQL_POOL = "pool AS (SELECT p_partkey AS id FROM part WHERE p_size = 1)"
 
 
@@ -696,6 +707,13 @@ def date_windows(spark: SparkSession, d: str) -> DataFrame:
     return frames[0].unionByName(frames[1]).unionByName(frames[2])
 
 
+@query("SELECT user_id, count(*) AS missing FROM events WHERE event_type <> 'view' AND CAST(user_id AS VARCHAR) LIKE '1%' GROUP BY 1")
+def pending_embeddings(spark: SparkSession, d: str) -> DataFrame:
+    """Events that are no views stand in for paragraphs without an embedding."""
+    e = table(spark, d, "events").select("user_id", F.concat(F.lit("6"), F.col("user_id").cast("string"), F.lit("CJ")).alias("celex"), F.when(F.col("event_type") == "view", F.array(F.lit(1.0))).alias("embedding"))
+    return ports.without_embedding(e).where(F.col("celex").like("61%")).groupBy("user_id").agg(F.count("*").alias("missing"))
+
+
 # ---- services and streams ------------------------------------------------------------------------------------------
 
 

@@ -1,3 +1,5 @@
+import pytest
+
 from lexgrain.operators import dml, metadata
 from lexgrain.sources import readers, writers
 from lexgrain.streaming.incremental import windowed_counts
@@ -57,3 +59,27 @@ def test_pivot_drops_self_and_sorts(spark):
 def test_windowed_counts(spark):
     df = spark.sql("select timestamp'2024-01-01 00:01:00' as ts, 'a' as kind union all select timestamp'2024-01-01 00:06:00', 'a'")
     assert windowed_counts(df, "ts", "kind", "5 minutes", "1 hour").count() == 2
+
+
+def test_retrying_embedder():
+    from lexgrain.ports import HashedEmbedder, RetryingEmbedder
+
+    class Flaky:
+        calls = 0
+
+        def embed(self, texts):
+            self.calls += 1
+            if self.calls < 3:
+                raise OSError
+            return HashedEmbedder(4).embed(texts)
+
+    assert len(RetryingEmbedder(Flaky(), 3, 0.0).embed(["a", "b"])) == 2
+    with pytest.raises(OSError):
+        RetryingEmbedder(Flaky(), 2, 0.0).embed(["a"])
+
+
+def test_missing_embeddings_of_a_year(spark):
+    from lexgrain.ports import without_embedding
+
+    df = spark.createDataFrame([("61999CJ0001", None), ("61999CJ0002", [1.0]), ("62000CJ0001", None)], "celex string, embedding array<float>")
+    assert [r.celex for r in without_embedding(df, 1999).collect()] == ["61999CJ0001"] and without_embedding(df).count() == 2
