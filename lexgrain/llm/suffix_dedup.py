@@ -220,16 +220,18 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH) ->
     src = classed(docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")))
     found = stored(_anchor_rows(src, length), "anchors")
     place = F.struct("cls", "n", "a")
-    again = found.groupBy("key").agg(F.min(place).alias("x"), F.max(place).alias("y")).where("x != y").select("key")
+    # stored, so that the join's sides come straight from their shuffles and a frequent key can be split
+    again = stored(found.groupBy("key").agg(F.min(place).alias("x"), F.max(place).alias("y")).where("x != y").select("key"), "keys")
     shared = stored(found.join(again, "key", "left_semi"), "shared")
     discard(found)
+    discard(again)
 
     per_content = shared.groupBy("key", "hc").agg(F.min(F.struct("cls", "n", "a", "lo", "hi")).alias("one"), F.min(place).alias("x"), F.max(place).alias("y"))
     per_content = stored(per_content.select("key", "hc", "one", (F.col("x") != F.col("y")).alias("whole")), "contents")
     whole = shared.join(per_content.where("whole").select("key", "hc"), ["key", "hc"], "left_semi")
     covered = whole.select("cls", "n", F.col("lo").alias("s"), (F.col("hi") + length).alias("e"))
 
-    open_keys = per_content.groupBy("key").agg(F.count("*").alias("k"), F.max(~F.col("whole")).alias("part")).where("k > 1 and part")
+    open_keys = stored(per_content.groupBy("key").agg(F.count("*").alias("k"), F.max(~F.col("whole")).alias("part")).where("k > 1 and part"), "open")
     chosen = per_content.join(open_keys, "key").select("one.cls", "one.n", F.struct("key", "one.lo", "one.hi", (F.col("k") > MOST).alias("hot")).alias("w"))
 
     wanted = shared.select("cls", "n").distinct()
@@ -238,7 +240,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH) ->
     repeats = _sorted_repeats(contexts, length).unionByName(_counted_repeats(contexts, length))
     covered = covered.unionByName(repeats.select("cls", "n", F.col("start").alias("s"), (F.col("start") + F.col("bytes")).alias("e")))
     spans = covered.distinct().groupBy("cls", "n").agg(F.array_sort(F.collect_list(F.array("s", "e"))).alias("spans"))
-    return spans, texts, [shared, per_content, texts, contexts]
+    return spans, texts, [shared, per_content, open_keys, texts, contexts]
 
 
 def merge(spans: list[list[int]]) -> list[list[int]]:
