@@ -8,14 +8,15 @@ cut there, and each distinct chunk is encoded once while it stays in the memo.
 from __future__ import annotations
 
 import base64
+import re
+import sys
+from array import array
 from collections.abc import Callable
 
-import numpy as np
-
 END_OF_TEXT = "<|endoftext|>"
 END_ID = 50256
-#: Characters up to here are encoded by the fast library; others by the one that reads the .json file, whose Unicode tables count.
-LATIN_END = 0x250
+#: Text with other characters is encoded by the library that reads the .json file, whose Unicode tables count.
+_OTHER = re.compile("[^\x00-\u024f]")
 #: Chunks longer than this are encoded without being kept.
 LONG = 64
 _SPACES = frozenset(c for c in map(chr, range(0x110000)) if c.isspace())
@@ -42,7 +43,9 @@ class Encoder:
 
     def ids(self, text: str) -> list[int]:
         """The ids of a text, without the memo."""
-        if text.isascii() or max(map(ord, text)) < LATIN_END:
+        if text.isascii() or _OTHER.search(text) is None:
+            if END_OF_TEXT not in text:
+                return self._fast(text)
             out: list[int] = []
             for i, part in enumerate(text.split(END_OF_TEXT)):
                 if i:
@@ -89,4 +92,11 @@ def piece_counter(json_path: str, ranks_path: str, pattern: str, memo: int = 400
 
 def id_encoder(json_path: str, ranks_path: str, pattern: str, memo: int = 200_000) -> Encoder:
     """An encoder that keeps a chunk's ids as little-endian unsigned 32-bit integers."""
-    return Encoder(json_path, ranks_path, pattern, lambda ids: np.asarray(ids, dtype="<u4").tobytes(), memo)
+    return Encoder(json_path, ranks_path, pattern, _as_bytes, memo)
+
+
+def _as_bytes(ids: list[int]) -> bytes:
+    a = array("I", ids)
+    if sys.byteorder == "big":
+        a.byteswap()
+    return a.tobytes()
