@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.sizes import broadcast_if_small
+
 
 def list_entities(triples: DataFrame, identifier: str, conditions: dict[str, str], prefix: str = "") -> DataFrame:
     """(value) distinct identifiers of subjects that have all of the given (predicate, object) pairs, in order."""
@@ -16,7 +18,7 @@ def list_entities(triples: DataFrame, identifier: str, conditions: dict[str, str
 
 def as_fields(triples: DataFrame, mapping: DataFrame, labels: DataFrame | None = None, lang: str = "en") -> DataFrame:
     """(entity, field, value): triples whose predicate is in mapping (p, field, hop); with ``hop`` the value is the object's label."""
-    own = triples.join(F.broadcast(mapping), "p").select(F.col("s").alias("entity"), "field", F.col("o").alias("value"), "hop")
+    own = triples.join(broadcast_if_small(mapping), "p").select(F.col("s").alias("entity"), "field", F.col("o").alias("value"), "hop")
     direct = own.where(~F.col("hop")).select("entity", "field", "value")
     if labels is None:
         return direct

@@ -1,6 +1,6 @@
 """Hybrid retrieval for batches of questions: vector arm, keyword arm, facets and fusion.
 
-A question is a row (qid, ...); the batch is broadcast when Spark finds it small and the corpus is scanned once. Every ranking
+A question is a row (qid, ...); a batch of checked size is broadcast and the corpus is scanned once. Every ranking
 breaks ties explicitly.
 """
 
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine, l2
+from ..plans.sizes import broadcast_if_small
 
 # RRF constant, candidates per arm, rerank pool, results, fusion weights.
 RRF_K, PER_ARM, POOL, FINAL = 60, 40, 50, 8
@@ -42,7 +43,7 @@ def ranked(scored: DataFrame, by: str, *order: Column, name: str = "rank", top:
 def vector_arm(corpus: DataFrame, questions: DataFrame, k: int = PER_ARM, metric: str = "cosine", exclude_self: bool = False) -> DataFrame:
     """(qid, id, score, rank): the k nearest of corpus (id, embedding) for questions (qid, query_vector), exact."""
     measure = cosine if metric == "cosine" else l2
-    pairs = corpus.where(F.col("embedding").isNotNull()).join(F.broadcast(questions), F.col("id") != F.col("qid") if exclude_self else F.lit(True))
+    pairs = corpus.where(F.col("embedding").isNotNull()).join(broadcast_if_small(questions), F.col("id") != F.col("qid") if exclude_self else F.lit(True))
     scored = pairs.select("qid", "id", measure(F.col("embedding"), F.col("query_vector")).alias("score"))
     first = F.col("score").desc_nulls_last() if metric == "cosine" else F.col("score").asc_nulls_last()
     return ranked(scored, "qid", first, F.col("id"), top=k)
@@ -60,8 +61,8 @@ def lsh_arm(corpus: DataFrame, questions: DataFrame, k: int = PER_ARM, tables: i
     model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=length, numHashTables=tables, seed=seed).fit(own)
     bucket = lambda df, *keep: model.transform(df).select(*keep, F.posexplode("h").alias("t", "h")).select(*keep, "t", vector_to_array("h")[0].alias("h"))
     asked = questions.select("qid", "query_vector", array_to_vector(F.col("query_vector").cast("array<double>")).alias("v"))
-    pairs = bucket(own, "id").join(F.broadcast(bucket(asked, "qid")), ["t", "h"]).select("qid", "id").distinct()
-    scored = pairs.join(own.select("id", "embedding"), "id").join(F.broadcast(questions), "qid").select("qid", "id", cosine(F.col("embedding"), F.col("query_vector")).alias("score"))
+    pairs = bucket(own, "id").join(bucket(asked, "qid"), ["t", "h"]).select("qid", "id").distinct()
+    scored = pairs.join(own.select("id", "embedding"), "id").join(questions, "qid").select("qid", "id", cosine(F.col("embedding"), F.col("query_vector")).alias("score"))
     return ranked(scored, "qid", F.col("score").desc_nulls_last(), F.col("id"), top=k)
 
 

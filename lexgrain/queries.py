@@ -603,7 +603,7 @@ def section_as_of(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH t AS (SELECT n_nationkey, 'Judgment.#' || n_name || ' v ' || r_name || '.#Request#Case ' || n_nationkey AS raw, n_name, r_name FROM nation JOIN region ON r_regionkey = n_regionkey)
 SELECT n_nationkey, replace(raw, '#', ' ') AS title, n_name || '|' || r_name AS parties FROM t""")
 def title_parties(spark: SparkSession, d: str) -> DataFrame:
-    own = table(spark, d, "nation").join(F.broadcast(table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    own = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     raw = F.concat(F.lit("Judgment.#"), "n_name", F.lit(" v "), "r_name", F.lit(".#Request#Case "), F.col("n_nationkey").cast("string"))
     title, parties = text.title_fields(raw)
     return own.select("n_nationkey", title.alias("title"), F.array_join(parties, "|").alias("parties"))
