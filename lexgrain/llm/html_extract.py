@@ -3,9 +3,9 @@
 A page is cut into blocks, each with its root-to-leaf path of block tags. Per path, the text length and the punctuation per
 block are aggregated (text ratio, punctuation ratio), smoothed over the blocks in page order, and fused by multiplication;
 paths whose fused ratio passes a threshold set by the page's own spread are content. The content's container is the article
-or main element, or else the smallest element, that holds most of it; its other blocks (short paragraphs, headings, list items)
-belong to the text unless they are mostly links or stand in an element that names itself a menu, header, footer, sidebar,
-notice, advert, form or comments.
+or main element that holds most of it, or else the smallest element that holds all of it and more than a single run of text; its
+other blocks (short paragraphs, headings, list items) belong to the text unless they are mostly links or stand in an element that
+names itself a menu, header, footer, sidebar, notice, advert, form or comments.
 """
 
 from __future__ import annotations
@@ -196,6 +196,18 @@ def path_ratios(found: list[Block]) -> dict[str, float]:
     return {p: float(fused[k]) for p, k in index.items()}
 
 
+def _container(found: list[Block], content: np.ndarray) -> int:
+    """The lowest element that holds every content block. Elements that hold nothing but their own text (p, li, h1) are passed over."""
+    parents = {e for b in found for e in b.chain[:-1]}
+    common: tuple[int, ...] | None = None
+    for b, c in zip(found, content, strict=True):
+        if c:
+            own = b.chain if b.chain[-1] in parents else b.chain[:-1] or b.chain
+            n = len(own) if common is None else next((k for k, (x, y) in enumerate(zip(common, own)) if x != y), min(len(common), len(own)))
+            common = own[:n]
+    return common[-1]
+
+
 def extract(html: str | None) -> str:
     """The article's blocks joined by line feeds; empty for null, empty and contentless pages."""
     if not html:
@@ -223,12 +235,7 @@ def extract(html: str | None) -> str:
         chosen = {e for e, w in weight.items() if w >= 0.3 * most}
         inside = [bool(chosen & set(b.roots)) for b in found]
     else:
-        held: dict[int, int] = {}
-        for b, c in zip(found, content, strict=True):
-            if c:
-                for e in b.chain:
-                    held[e] = held.get(e, 0) + len(b.text) - b.linked
-        container = max(e for e, w in held.items() if w >= 0.7 * total)
+        container = _container(found, content)
         inside = [container in b.chain for b in found]
     keep = []
     for b, c, i in zip(found, content, inside, strict=True):

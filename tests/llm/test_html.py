@@ -29,6 +29,16 @@ def test_unnamed_link_lists_go():
     assert h.extract(page) == TEXT
 
 
+def test_plain_containers_with_one_dominant_part():
+    long, short = "A long text, with words and commas. " * 22, "A short text, with a comma. " * 7
+    two = ["Title", long.strip(), short.strip()]
+    for page in ("<div id=content><h1>%s</h1><p>%s</p><p>%s</p></div>", "<div id=content><h1>%s</h1><p class=lead>%s</p><p>%s</p></div>", "<div><h1>%s</h1><div class=lead>%s</div><div>%s</div></div>"):
+        assert h.extract(PAGE % (page % tuple(two))).split("\n") == two, page
+    parts = f"<div class=a>{f'<p>{short}</p>' * 9}</div>", f"<div class=b>{f'<p>{short}</p>' * 3}</div>"
+    for page in ("".join(parts), "".join(parts[::-1])):
+        assert h.extract(PAGE % f"<div>{page}</div>").split("\n") == [short.strip()] * 12
+
+
 def test_edges():
     assert h.extract(None) == h.extract("") == h.extract("<p>") == h.extract("<nav>x</nav>") == ""
     assert h.extract("plain text, only.") == "plain text, only."
