@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from . import ports
 from .functions import celex, dates, fulltext, text
 from .operators import citations, dml, documents, evaluation, graph, metadata, reports, retrieval
+from .plans.sizes import broadcast_if_small
 from .sources.readers import table
 from .streaming.incremental import index_stream
 
@@ -47,6 +48,11 @@ def questions(spark: SparkSession, d: str, n: int) -> DataFrame:
     return table(spark, d, "embeddings").where(F.col("vec_id") < n).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query_vector"))
 
 
+def every_question(spark: SparkSession, d: str) -> DataFrame:
+    """Every fiftieth vector as a question: the set grows with the table."""
+    return table(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query_vector"))
+
+
 def docs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents")
 
@@ -66,6 +72,15 @@ def arms(spark: SparkSession, d: str, k: int = retrieval.PER_ARM) -> DataFrame:
     return retrieval.merge_arms(vector, retrieval.keyword_arm(keyword_scores(spark, d), k))
 
 
+def arms_all(spark: SparkSession, d: str, k: int = retrieval.PER_ARM) -> DataFrame:
+    """The arms of every question; the words are dealt to the questions in turn."""
+    asked = every_question(spark, d)
+    vector = retrieval.vector_arm(corpus(spark, d), asked, k).withColumn("score", r6("score"))
+    turn = broadcast_if_small(asked.select(F.col("qid").alias("asked"), F.expr("qid div 50 % 5").alias("qid")))
+    keyword = retrieval.keyword_arm(keyword_scores(spark, d), k).join(turn, "qid").select(F.col("asked").alias("qid"), "id", "score", "rank")
+    return retrieval.merge_arms(vector, keyword)
+
+
 def edges(spark: SparkSession, d: str) -> DataFrame:
     """Mentions between parts that follow each other in an order: src, dst, source, rel."""
     line = table(spark, d, "lineitem")
@@ -102,6 +117,9 @@ m AS (SELECT coalesce(v.qid, k.qid) AS qid, coalesce(v.id, k.id) AS id, coalesce
   CASE WHEN v.id IS NOT NULL AND k.id IS NOT NULL THEN 'both' WHEN v.id IS NOT NULL THEN 'vector' ELSE 'keyword' END AS source FROM v FULL JOIN k ON v.qid = k.qid AND v.id = k.id),
 s AS (SELECT *, coalesce(1.0 / (60.0 + vector_rank), 0) + coalesce(1.0 / (60.0 + keyword_rank), 0) AS rrf FROM m),
 f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rrf DESC, vector_rank ASC NULLS LAST, keyword_rank ASC NULLS LAST, id) AS pool_rank FROM s) WHERE pool_rank <= 50)"""
+SQL_MERGED_ALL = SQL_MERGED.replace("b.vec_id < 5", "b.vec_id % 50 = 0").replace("\nk AS (", "\nkq AS (").replace(
+    "\nm AS (", "\nk AS (SELECT b.vec_id AS qid, kq.id, kq.score, kq.rank FROM kq JOIN embeddings b ON b.vec_id % 50 = 0 AND b.vec_id // 50 % 5 = kq.qid),\nm AS ("
+)
 SQL_EDGES = """raw AS (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate, l_discount, l_tax) AS dst,
   CASE WHEN l_linestatus = 'O' THEN 'text' ELSE 'cellar' END AS source, CASE WHEN l_linestatus = 'O' THEN l_returnflag END AS rel FROM lineitem),
 edges AS (SELECT src, dst, count(*) FILTER (WHERE source = 'text') AS mention_count, mode() WITHIN GROUP (ORDER BY rel) AS dominant_relation_type,
@@ -143,7 +161,35 @@ def vector_topk_filtered(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def vector_topk_lsh(spark: SparkSession, d: str) -> DataFrame:
     """Approximate; its recall against the exact arm is measured in the tests."""
-    return retrieval.lsh_arm(corpus(spark, d), questions(spark, d, 5), 10).select("qid", "id", r6("score").alias("score"), "rank")
+    return retrieval.lsh_arm(corpus(spark, d), every_question(spark, d), 10).select("qid", "id", r6("score").alias("score"), "rank")
+
+
+# The same for every question of the table.
+
+
+@query(ORACLE_SQL["vector_topk_cosine"].replace("b.vec_id < 5", "b.vec_id % 50 = 0").replace(" WHERE qid = 0", ""))
+def vector_topk_cosine_all(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.vector_arm(corpus(spark, d), every_question(spark, d), 40).select("qid", "id", r6("score").alias("score"), "rank")
+
+
+@query("""WITH s AS (SELECT b.vec_id AS qid, a.vec_id AS id, list_sum(list_transform(list_zip(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS raw
+FROM embeddings a, embeddings b WHERE b.vec_id % 50 = 0) SELECT qid, id, distance, rank FROM (SELECT qid, id, round(raw, 6) AS distance, row_number() OVER (PARTITION BY qid ORDER BY raw, id) AS rank FROM s) WHERE rank <= 8""")
+def vector_topk_l2_all(spark: SparkSession, d: str) -> DataFrame:
+    hits = retrieval.vector_arm(corpus(spark, d), every_question(spark, d), 8, metric="l2")
+    return hits.select("qid", "id", r6("score").alias("distance"), "rank")
+
+
+@query(ORACLE_SQL["vector_topk_batch"].replace("b.vec_id < 20", "b.vec_id % 50 = 0"))
+def vector_topk_batch_all(spark: SparkSession, d: str) -> DataFrame:
+    hits = retrieval.vector_arm(corpus(spark, d), every_question(spark, d), 10, exclude_self=True)
+    return hits.select("qid", "id", r6("score").alias("score"), "rank")
+
+
+@query(ORACLE_SQL["vector_topk_filtered"].replace("b.vec_id < 5", "b.vec_id % 50 = 0"))
+def vector_topk_filtered_all(spark: SparkSession, d: str) -> DataFrame:
+    facets = docs(spark, d).select(F.col("doc_id").alias("id"), "lang")
+    own = retrieval.with_facets(corpus(spark, d), facets, "id", retrieval.facet(equal={"lang": ["en", "fr"]}))
+    return retrieval.vector_arm(own, every_question(spark, d), 10).select("qid", "id", r6("score").alias("score"), "rank")
 
 
 # ---- full text -----------------------------------------------------------------------------------------------------
@@ -213,6 +259,23 @@ def hybrid_rrf_faceted(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.fuse_rrf(own).select(*FUSED, r6("hybrid_score").alias("hybrid_score"), "pool_rank")
 
 
+@query(ORACLE_SQL["hybrid_rrf"].replace(SQL_MERGED, SQL_MERGED_ALL))
+def hybrid_rrf_all(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.fuse_rrf(arms_all(spark, d), pool=8).select(*FUSED, r6("hybrid_score").alias("hybrid_score"), "pool_rank")
+
+
+@query(ORACLE_SQL["hybrid_weighted"].replace(SQL_MERGED, SQL_MERGED_ALL))
+def hybrid_weighted_all(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.fuse_weighted(arms_all(spark, d), 15).select(*FUSED, r6("hybrid_score").alias("hybrid_score"), "pool_rank")
+
+
+@query(ORACLE_SQL["hybrid_rrf_faceted"].replace(SQL_MERGED, SQL_MERGED_ALL))
+def hybrid_rrf_faceted_all(spark: SparkSession, d: str) -> DataFrame:
+    condition = retrieval.facet(equal={"lang": ["en", "de"], "source": []}, between={"n_chars": (200, 5000)})
+    own = retrieval.with_facets(arms_all(spark, d), docs(spark, d).withColumnRenamed("doc_id", "id"), "id", condition)
+    return retrieval.fuse_rrf(own).select(*FUSED, r6("hybrid_score").alias("hybrid_score"), "pool_rank")
+
+
 @query(f"""WITH {SQL_MERGED}, t AS (SELECT CASE WHEN qid < 3 THEN 0 ELSE 1 END AS question, id, sum(rrf) AS total FROM f GROUP BY 1, 2)
 SELECT question, id, round(total, 6) AS hybrid_score, pool_rank FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY round(total, 12) DESC, id) AS pool_rank FROM t) WHERE pool_rank <= 50""")
 def multi_query_rrf(spark: SparkSession, d: str) -> DataFrame:
