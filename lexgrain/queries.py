@@ -601,6 +601,62 @@ def eval_case_probe(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.probe(retrieved(spark, d), case, 20).select("qid", "first_rank", F.col("best")[0]["paragraph"].alias("best"), "in_top")
 
 
+# The same for every question of the table, with every other vector of the question's label as gold.
+
+
+def _all(sql: str) -> str:
+    return sql.replace("b.vec_id < 20", "b.vec_id % 50 = 0").replace("vec_id < 25", "vec_id % 50 = 0").replace(" AND paragraph < 60", "").replace("qid % 5 <> 0", "qid // 50 % 5 <> 0")
+
+
+def retrieved_all(spark: SparkSession, d: str) -> DataFrame:
+    hits = retrieval.vector_arm(corpus(spark, d), every_question(spark, d), 40, exclude_self=True)
+    return hits.select("qid", F.col("id").alias("paragraph"), F.floor(F.col("id") / 3).alias("case_id"), "rank")
+
+
+def label_gold_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every other vector of the question's label."""
+    e = corpus(spark, d).select("id", "label")
+    q = e.where("id % 50 = 0").select(F.col("id").alias("qid"), "label")
+    return e.join(broadcast_if_small(q), "label").where("id <> qid").select("qid", F.floor(F.col("id") / 3).alias("case_id"), F.col("id").alias("paragraph"))
+
+
+def scores_all(spark: SparkSession, d: str, *ks: int) -> list[DataFrame]:
+    rank, gold = evaluation.case_ranking(retrieved_all(spark, d)), label_gold_all(spark, d).select("qid", "case_id").distinct()
+    return [evaluation.score_cases(rank, gold, k=k) for k in ks]
+
+
+@query(_all(ORACLE_SQL["eval_recall_mrr_ndcg"]))
+def eval_recall_mrr_ndcg_all(spark: SparkSession, d: str) -> DataFrame:
+    (scores,) = scores_all(spark, d, 10)
+    return scores.select("qid", r6("recall").alias("recall"), r6("mrr").alias("mrr"), r6("ndcg").alias("ndcg"))
+
+
+@query(_all(ORACLE_SQL["eval_macro_average"]))
+def eval_macro_average_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every fifth question is a gap."""
+    (scores,) = scores_all(spark, d, 10)
+    out = evaluation.macro_average(scores, "recall", "mrr", "ndcg", gaps=scores.where("qid div 50 % 5 = 0").select("qid"))
+    return out.select("n_questions", *[r6(c).alias(c) for c in ("recall", "mrr", "ndcg")])
+
+
+@query(_all(ORACLE_SQL["eval_paragraph_recall"]))
+def eval_paragraph_recall_all(spark: SparkSession, d: str) -> DataFrame:
+    out = evaluation.paragraph_recall(retrieved_all(spark, d).where("rank <= 8"), label_gold_all(spark, d), every_question(spark, d))
+    return out.select("qid", r6("paragraph_recall").alias("paragraph_recall"))
+
+
+@query(_all(ORACLE_SQL["eval_two_corpora"]))
+def eval_two_corpora_all(spark: SparkSession, d: str) -> DataFrame:
+    out = evaluation.compare(*scores_all(spark, d, 3, 10), "recall")
+    return out.select("qid", r6("old").alias("old"), r6("new").alias("new"), "flag")
+
+
+@query(_all(ORACLE_SQL["eval_case_probe"]))
+def eval_case_probe_all(spark: SparkSession, d: str) -> DataFrame:
+    case = label_gold_all(spark, d).groupBy("qid").agg(F.min("case_id").alias("case_id"))
+    return evaluation.probe(retrieved_all(spark, d), case, 20).select("qid", "first_rank", F.col("best")[0]["paragraph"].alias("best"), "in_top")
+
+
 # ---- documents -----------------------------------------------------------------------------------------------------
 
 
