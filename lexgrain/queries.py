@@ -339,6 +339,14 @@ def rerank_context_blocks(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.context_blocks(own, ("id", "id"), ("score", "shown"), ("text", "text"), rank="pool_rank")
 
 
+@query(ORACLE_SQL["rerank_context_blocks"].replace(SQL_MERGED, SQL_MERGED_ALL).replace("substr(d.text, 1, 200)", "d.text"))
+def rerank_context_blocks_all(spark: SparkSession, d: str) -> DataFrame:
+    """Whole texts, for every question of the table."""
+    top = retrieval.fuse_rrf(arms_all(spark, d), pool=8).join(docs(spark, d).select(F.col("doc_id").alias("id"), "text"), "id")
+    own = top.withColumn("shown", F.format_string("%.4f", "hybrid_score"))
+    return retrieval.context_blocks(own, ("id", "id"), ("score", "shown"), ("text", "text"), rank="pool_rank")
+
+
 SQL_WINDOW = """SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY k DESC) AS context FROM
 (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role, text) AS k FROM conversations) WHERE k <= {n} GROUP BY conv_id"""
 
