@@ -7,7 +7,8 @@ to each meeting, the suffix filter before the one exact verification of a pair.
 
 Links are needed for connectivity, so a bucket of m classes is not expanded to m^2 pairs: first every class is verified
 against a few pivots of its bucket (linear in m), and then, exactly, all pairs that meet and are not yet connected. No link
-between components is lost, and a group of near copies costs a star.
+between components is lost, and a group of near copies costs a star. The result is components only: most links within a
+component are never looked for, so neither links nor a number of links per document can be had from it.
 """
 
 from __future__ import annotations
