@@ -1,7 +1,8 @@
 """Token counts from distinct pre-tokens.
 
 The pieces of a pre-token depend on nothing around it, so each distinct pre-token of a batch is counted once, by the library's
-BPE, and the counts are joined to the documents' pre-token frequencies and summed; the ids of a text are never put together.
+BPE, and the counts are joined to the documents' pre-token frequencies and summed. Texts that a cut at spaces may not cut at true
+pre-tokens (double or trailing spaces, spaces before line breaks or tabs, "<|") are encoded whole, and their ids counted.
 Frequency table, dictionary and join live in the task that reads the documents: the join needs no shuffle, a pre-token that
 holds a third of all occurrences is one dictionary entry, and memory is bounded by the memo and one Arrow batch.
 """
