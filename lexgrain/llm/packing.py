@@ -108,11 +108,11 @@ def pieces(docs: DataFrame, vocabulary: Vocabulary, capacity: int = CAPACITY, en
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if vocabulary not in _ENCODERS:
             _ENCODERS[vocabulary] = id_encoder(vocabulary.json_path, vocabulary.ranks_path, vocabulary.pattern)
-        chunks, task, seen = _ENCODERS[vocabulary].chunks, TaskContext.get().partitionId(), [0] * (capacity + 1)
+        values, task, seen = _ENCODERS[vocabulary].values, TaskContext.get().partitionId(), [0] * (capacity + 1)
         for batch in batches:
             rows: list[tuple[int, ...]] = []
             for i, t in enumerate(batch.column(1).to_pylist()):
-                ids = b"".join(chunks(t or "")) + tail
+                ids = b"".join(values(t or "")) + tail
                 for p, (start, length) in enumerate(cuts(len(ids) // 4, capacity)):
                     rows.append((i, p, start, length, zlib.crc32(memoryview(ids)[4 * start : 4 * (start + length)]), seen[length]))
                     seen[length] += 1

@@ -1,14 +1,15 @@
 """Token counts from distinct pre-tokens.
 
-The pieces of a pre-token depend on nothing around it, so each distinct pre-token of a batch is counted once, by the library's
-BPE, and the counts are joined to the documents' pre-token frequencies and summed. Texts that a cut at spaces may not cut at true
-pre-tokens (double or trailing spaces, spaces before line breaks or tabs, "<|") are encoded whole, and their ids counted.
-Frequency table, dictionary and join live in the task that reads the documents: the join needs no shuffle, a pre-token that
-holds a third of all occurrences is one dictionary entry, and memory is bounded by the memo and one Arrow batch.
+The pieces of a pre-token depend on nothing around it. Each document gives a table of its pre-tokens' frequencies; each distinct
+pre-token of a batch is counted once by the tokenizer's merges (and kept in a bounded memo), the counts are joined to the
+frequencies, and their products are summed per document. Ids are never put together, whatever a text holds.
+The join lives in the task that reads the documents, so it needs no shuffle, a pre-token that holds a third of all occurrences
+is one dictionary entry, and memory is bounded by the memo and TOGETHER entries of frequency tables.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,6 +30,8 @@ class Vocabulary:
     pattern: str
 
 
+#: Entries of frequency tables that are joined to counts together.
+TOGETHER = 500_000
 _COUNTERS: dict[Vocabulary, Encoder] = {}
 
 
@@ -39,36 +42,34 @@ def _counter(v: Vocabulary) -> Encoder:
 
 
 def count_texts(texts: list[str | None], v: Vocabulary) -> np.ndarray:
-    """Tokens of each text: pre-token frequencies of the batch joined to one count per distinct pre-token."""
-    enc = _counter(v)
-    out = np.zeros(len(texts), dtype=np.int64)
+    """Tokens of each text: pre-token frequencies joined to one count per distinct pre-token."""
+    enc, out = _counter(v), np.zeros(len(texts), dtype=np.int64)
     pres: list[str] = []
+    often: list[int] = []
     owner: list[int] = []
-    sizes: list[int] = []
+    starts: list[int] = []
+
+    def join() -> None:
+        table = pa.array(pres, pa.large_string()).dictionary_encode()
+        pieces = np.array([enc.value(p) for p in table.dictionary.to_pylist()], dtype=np.int64)
+        out[owner] = np.add.reduceat(pieces[table.indices.to_numpy()] * np.array(often, dtype=np.int64), starts)
+
     for i, text in enumerate(texts):
         if not text:
             continue
-        parts = text.split(" ")
-        first = parts[:1] if parts[0] else []
+        frequency: Counter[str] = Counter()
+        for part in enc.pre_tokens(text):
+            frequency.update(part)
         owner.append(i)
-        sizes.append(len(first) + len(parts) - 1)
-        pres += first
-        pres += [" " + p for p in parts[1:]]
-    if not pres:
-        return out
-    table = pa.array(pres, pa.large_string()).dictionary_encode()
-    distinct = table.dictionary.to_pylist()
-    memo, counts = enc._memo, np.empty(len(distinct), dtype=np.int64)
-    for j, pre in enumerate(distinct):
-        n = memo.get(pre)
-        if n is None:
-            n = enc._miss(pre)
-        counts[j] = -1 if n is None else n
-    each = counts[table.indices.to_numpy()]
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    out[owner] = np.add.reduceat(each, starts)
-    for i in np.asarray(owner)[np.minimum.reduceat(each, starts) < 0]:
-        out[i] = len(enc.ids(texts[i]))
+        starts.append(len(pres))
+        pres += frequency
+        often += frequency.values()
+        if len(pres) >= TOGETHER:
+            join()
+            for x in (pres, often, owner, starts):
+                x.clear()
+    if pres:
+        join()
     return out
 
 

@@ -42,7 +42,26 @@ def test_ids_are_the_librarys_with_a_small_memo(library):
     v = queries.bpe_vocabulary()
     enc = id_encoder(v.json_path, v.ranks_path, v.pattern, memo=50)
     for t in nasty(2000, 2)[1:]:
-        assert np.frombuffer(b"".join(enc.chunks(t)), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
+        assert np.frombuffer(b"".join(enc.values(t)), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("text", [" " * 2_000_000, "one" + "\n" * 2_000_000 + "two", "one" + "\t" * 2_000_000 + " two.", "a" + " \n" * 600_000, "x" * 1_500_000, "中文" * 200_000 + "。" * 9])
+def test_very_long_runs_are_the_librarys(library, text):
+    v = queries.bpe_vocabulary()
+    want = library.encode(text, add_special_tokens=False).ids
+    assert token_counts.count_texts([text, "and"], v).tolist() == [len(want), 1]
+    assert np.array_equal(np.frombuffer(b"".join(id_encoder(v.json_path, v.ranks_path, v.pattern).values(text)), "<u4"), want)
+
+
+def test_slabs_and_pieces_of_frequency_tables_change_nothing(library, monkeypatch):
+    from lexgrain.llm import bpe
+
+    monkeypatch.setattr(bpe, "SLAB", 20)
+    monkeypatch.setattr(token_counts, "TOGETHER", 30)
+    texts = [" ".join(map(str, t)) for t in zip(nasty(900, 5)[2:], nasty(900, 6)[2:], nasty(900, 7)[2:])]
+    assert all("".join(bpe.slabs(t)) == t for t in texts)
+    want = [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert token_counts.count_texts(texts, queries.bpe_vocabulary()).tolist() == want
 
 
 def test_packing_places_every_id_once(spark, library):
