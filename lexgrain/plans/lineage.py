@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a temporary one where it is unset (local runs)."""
+    """The folder the cluster names in spark.checkpoint.dir; a temporary one of this machine only where the master is local."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lexgrain-"))
         current = spark.sparkContext.getCheckpointDir()
     return current.rstrip("/")
@@ -26,18 +28,27 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back: a compact, columnar lineage cut."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def _file_system(spark: SparkSession, name: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
 
 
-def discard(df: DataFrame) -> None:
-    """Remove the files behind a table made by :func:`stored`; nothing may read it afterwards."""
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as Parquet in the shared folder and read it back: a compact, columnar lineage cut.
+
+    The table goes with :func:`discard`, or else when the application ends.
+    """
     spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    folder = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    files, path = _file_system(spark, folder)
+    df.write.option("compression", "zstd").parquet(folder)
+    files.deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove the files behind tables made by :func:`stored`; nothing may read them afterwards."""
+    for df in tables:
+        for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            files, path = _file_system(df.sparkSession, name)
+            files.delete(path, True)

@@ -17,6 +17,7 @@ def session(app: str = "lexgrain", cores: int | str = "*", shuffle_partitions: i
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     conf.update({k.replace("__", "."): v for k, v in extra.items()})
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
