@@ -45,11 +45,42 @@ def test_one_per_group_keeps_columns_and_the_least(spark):
     assert out.columns == ["doc_id", "text", "cls", "n"] and sorted(x.doc_id for x in out.collect()) == [1, 2, 4]
 
 
+def test_one_row_of_each_group_stays_whatever_its_id(spark):
+    """Repeated rows, ids with several texts, near copies under one id, null ids."""
+    r = random.Random(5)
+    near = [t for _, t in near_copies(r, 6, 60, 2, 0)]
+    alone = [" ".join(f"{c}{k}" for k in range(30)) for c in "pqrstu"]
+    rows = [(1, alone[0])] * 3 + [(2, near[0]), (2, near[1]), (2, alone[1]), (3, near[2]), (3, alone[2]), (None, alone[3]), (None, alone[3]), (None, alone[4]), (7, alone[4]), (8, None), (8, None), (9, ""), (9, " ")]
+    got = sorted(((x.doc_id, x.text) for x in ngram_jaccard.one_per_group(docs(spark, rows)).collect()), key=repr)
+    rest = [x for x in got if x[1] not in near]
+    assert rest == sorted([(1, alone[0]), (2, alone[1]), (3, alone[2]), (None, alone[3]), (7, alone[4]), (8, None), (8, None), (9, ""), (9, " ")], key=repr)
+    assert [i for i, t in got if t in near] == [2]
+
+
+def test_all_links_between_classes_and_their_members(spark):
+    r = random.Random(9)
+    rows = [*near_copies(r, 30, 60, 6, 0), (30, "a b c d e f"), (31, "A b c d  e f"), (32, None)]
+    sets = brute.shingle_sets(rows)
+    pairs, members = ngram_jaccard.links(docs(spark, rows))
+    of = {x.doc_id: x["class"] for x in members.collect()}
+    found = {(x.a, x.b) for x in pairs.collect()}
+    assert of[30] == of[31] == 30 and of[32] is None
+    for i in range(32):
+        for k in range(i):
+            common = len(sets[i] & sets[k])
+            want = 100 * common >= 80 * (len(sets[i]) + len(sets[k]) - common)
+            assert want == (of[i] == of[k] or (min(of[i], of[k]), max(of[i], of[k])) in found)
+
+
 def test_suffix_bound_is_a_bound():
-    r = random.Random(1)
+    r = np.random.default_rng(1)
     for _ in range(200):
-        x, y = (np.unique(np.array([r.randint(0, 60) for _ in range(r.randint(1, 40))], dtype=np.uint64)) for _ in range(2))
-        assert ngram_jaccard.suffix_bound(x, y) >= len(np.intersect1d(x, y))
+        pool = r.integers(0, 2**64, 300, dtype=np.uint64)
+        x, y = (np.unique(r.choice(pool, r.integers(1, 250))) for _ in range(2))
+        least = np.array([min(len(x), len(y))])
+        bound = ngram_jaccard.suffix_bounds([ngram_jaccard.part_sizes(x)], [ngram_jaccard.part_sizes(y)], least)[0]
+        assert len(np.intersect1d(x, y)) <= bound <= least[0]
+    assert ngram_jaccard.suffix_bounds([b""], [ngram_jaccard.part_sizes(x)], np.array([7])).tolist() == [7]
     assert len(shingles("a b c d e f")) == 2 and len(shingles("a b")) == 1 and len(shingles(" ")) == 0
 
 
