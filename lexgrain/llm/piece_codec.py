@@ -2,12 +2,14 @@
 
 An Aho-Corasick automaton over the model's pieces reads a text once; at each position its output links give every piece that
 ends there, longest first, and each relaxes the best score of that position (Viterbi). Characters that no piece covers fall
-back to the model's byte pieces, or to unk. Where no piece has the space mark after another character, the best path passes
+back to the model's byte pieces, or to unk. Long stretches are solved part by part: the best path passes every place that no piece
+crosses, and scores and back links are typed arrays of one part. Where no piece has the space mark after another character, the best path passes
 every place before a run of marks, so texts are cut there and each distinct chunk is solved once while it stays in a bounded memo.
 """
 
 from __future__ import annotations
 
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,6 +21,8 @@ from .batches import map_batches
 MARK = "▁"
 UNK_PENALTY = 10.0
 MEMO, LONG = 200_000, 64
+#: Characters that are solved together.
+SLAB = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -42,6 +46,7 @@ class Codec:
         if spec.precompiled_charsmap or spec.remove_extra_whitespaces or not spec.add_dummy_prefix or not spec.escape_whitespaces:
             raise ValueError("only models with an identity normalizer and a dummy prefix are read")
         self._auto, self._bytes, self.unk, worst, inner = ahocorasick.Automaton(), [0] * 256, 0, 0.0, False
+        self._longest = max((len(p.piece) for p in model.pieces), default=1)
         self._out: list[bytes] = []
         for i, p in enumerate(model.pieces):
             self._out.append(b"")
@@ -64,30 +69,55 @@ class Codec:
 
     def viterbi(self, s: str) -> list[int]:
         """Ids of the best path over a string whose spaces are marks already; the first found wins a tie."""
+        if len(s) <= SLAB:
+            return self._solve(s)
+        out: list[int] = []
+        at, size = 0, SLAB
+        while at < len(s):
+            part = s[at : at + size]
+            end = len(part) if at + size >= len(s) else self._last_cut(part)
+            if not end:  # pieces cross every place so far: look further
+                size *= 2
+                continue
+            ids = self._solve(part[:end])
+            if not self._fallback and out and ids and out[-1] == ids[0] == self.unk:
+                ids = ids[1:]  # a run of unknown characters is one unk
+            out += ids
+            at, size = at + end, SLAB
+        return out
+
+    def _last_cut(self, part: str) -> int:
+        """The last place at least one longest piece before the end of ``part`` that no piece crosses; 0 if there is none."""
+        crossed = np.zeros(len(part) + 1, dtype=np.int32)
+        for last, (size, _, _) in self._auto.iter(part):
+            crossed[last + 2 - size] += 1
+            crossed[last + 1] -= 1
+        free = np.flatnonzero(np.cumsum(crossed[: max(1, len(part) - self._longest)]) == 0)
+        return int(free[-1]) if len(free) else 0
+
+    def _solve(self, s: str) -> list[int]:
         n = len(s)
-        none = -np.inf
-        best, back = [none] * (n + 1), [(0, -1)] * (n + 1)
+        best, size_of, id_of = array("d", [-np.inf]) * (n + 1), array("H", [1]) * (n + 1), array("i", [-1]) * (n + 1)
         best[0], done, unk = 0.0, 0, self._unk_score
-        single = [False] * n
+        single = bytearray(n)
         for end, (size, i, score) in self._auto.iter(s):
             while done < end:  # positions before this match are settled; a character without its own piece may be unknown
                 if not single[done] and best[done] + unk > best[done + 1]:
-                    best[done + 1], back[done + 1] = best[done] + unk, (done, -1)
+                    best[done + 1], size_of[done + 1], id_of[done + 1] = best[done] + unk, 1, -1
                 done += 1
-            start = end + 1 - size
             if size == 1:
-                single[end] = True
-            now = best[start] + score
+                single[end] = 1
+            now = best[end + 1 - size] + score
             if now > best[end + 1]:
-                best[end + 1], back[end + 1] = now, (start, i)
+                best[end + 1], size_of[end + 1], id_of[end + 1] = now, size, i
         while done < n:
             if not single[done] and best[done] + unk > best[done + 1]:
-                best[done + 1], back[done + 1] = best[done] + unk, (done, -1)
+                best[done + 1], size_of[done + 1], id_of[done + 1] = best[done] + unk, 1, -1
             done += 1
         out: list[int] = []
         at = n
         while at:
-            start, i = back[at]
+            start, i = at - size_of[at], id_of[at]
             if i >= 0:
                 out.append(i)
             elif self._fallback:

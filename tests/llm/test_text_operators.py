@@ -133,6 +133,28 @@ def test_sentencepiece_best_path_and_round_trip(spark):
     assert {r.doc_id: r.text for r in piece_codec.decode(piece_codec.encode(own, model), model).collect()} == {0: "a b", 1: "", 2: ""}
 
 
+def test_sentencepiece_parts_and_long_stretches(monkeypatch):
+    import tracemalloc
+
+    import public_tokenizers as p
+
+    codec = piece_codec.Codec(p.path("piece_bpe_32k.model"))
+    r = random.Random(12)
+    text = "".join(r.choice(["the", "中", "文", "é", "🙂", "x" * 40, "\n\n\n", "ing", "0"]) for _ in range(4000))
+    whole = codec.viterbi(text)
+    monkeypatch.setattr(piece_codec, "SLAB", 500)
+    score = lambda ids: sum(s for _, (_, i, s) in codec._auto.items() for _ in range(ids.count(i)))
+    parts = codec.viterbi(text)
+    assert abs(score(parts) - score(whole)) < 1e-6 * abs(score(whole)) and sum(i < 300 for i in parts) == sum(i < 300 for i in whole)
+    monkeypatch.undo()
+    long = "".join(r.choice("etaoinshrdlu") for _ in range(50_000)) * 12
+    tracemalloc.start()
+    ids = codec.encode(long)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert codec.decode(ids) == long and most < 60e6
+
+
 def test_url_filters_against_brute_force(spark):
     r = random.Random(6)
     hosts = ["com", "example.com", "a.example.com", "EXAMPLE.com", "net", "x.net", "org", "", "a..com", "com.", "-.com", "example.com:80", "xcom", "\u0001.com"]
@@ -189,6 +211,97 @@ def test_language_edges(spark):
     assert language_id.reject(frame(spark, [None, "the dog"]), model).select("doc_id", "cls").collect()[0].doc_id == 1
 
 
+def plain_languages(train):
+    """Naive Bayes with plain counters: (texts) -> (language, posterior)."""
+    import math
+    import zlib  # noqa: F401
+    from collections import Counter
+
+    def grams(t):
+        out, s = [], " "
+        for c in (t or "").lower():
+            s += c if c.isalpha() else "" if s.endswith(" ") else " "
+        if not s.strip():
+            return None
+        s += " "
+        for n in language_id.ORDERS:
+            for k in range(len(s) - n + 1):
+                if n > 1 or s[k] != " ":
+                    h = n
+                    for c in s[k : k + n]:
+                        h = ((h ^ ord(c)) * 0x9E3779B97F4A7C15) % 2**64
+                        h ^= h >> 29
+                    out.append(h % language_id.BUCKETS)
+        return Counter(out)
+
+    languages = sorted({la for _, la in train if la is not None})
+    counts = {la: sum((grams(t) or Counter() for t, x in train if x == la), Counter()) for la in languages}
+    total = {la: sum(c.values()) + language_id.SMOOTHING * language_id.BUCKETS for la, c in counts.items()}
+    rows = {la: sum(x == la for _, x in train) + 1 for la in languages}
+
+    def predict(t):
+        g = grams(t)
+        if g is None or not languages:
+            return "und", 0.0
+        s = {la: math.log(rows[la] / sum(rows.values())) + sum(n * math.log((counts[la][b] + language_id.SMOOTHING) / total[la]) for b, n in g.items()) for la in languages}
+        best = max(languages, key=lambda la: s[la])
+        return best, 1 / sum(math.exp(min(700, v - s[best])) for v in s.values())
+
+    return predict
+
+
+def test_languages_against_plain_counters(spark):
+    import zlib
+
+    rows = [(x.doc_id, x.text and x.text[:400], x.lang) for x in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    rows += [(5000 + k, t, "en" if k % 5 else None) for k, t in enumerate(nasty(60, 3))] + [(6000, "der the le", "de")] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    predict = plain_languages([(t, la) for i, t, la in rows if not held(i)])
+    model = language_id.fit(docs.where(~queries.held_out()))
+    got = {x.doc_id: (x.lang_pred, x.score, x.held_out) for x in language_id.identify(docs, model).withColumn("held_out", queries.held_out()).collect()}
+    for i, t, _ in rows:
+        la, score = predict(t)
+        assert got[i][0] == la and abs(got[i][1] - score) < 1e-3 and got[i][2] == held(i), i
+
+
+def test_parts_of_long_texts_give_the_same_counts(monkeypatch):
+    texts = ["".join(t) for t in zip(nasty(300, 8)[2:], nasty(300, 9)[2:], nasty(300, 10)[2:])] + ["Été " * 50, "ab" * 90]
+    whole = [language_id.ngram_counts(t) for t in texts]
+    monkeypatch.setattr(language_id, "SLAB", 7)
+    for t, w in zip(texts, whole):
+        c = language_id.ngram_counts(t)
+        assert (c is None) == (w is None) and (c is None or (c == w).all()), t
+
+
+def test_language_of_very_long_texts_in_bounded_memory():
+    import tracemalloc
+
+    many = language_id.Model(tuple(f"l{k:03}" for k in range(64)), np.random.default_rng(1).normal(-9, 1, (language_id.BUCKETS, 64)).astype(np.float32), np.zeros(64))
+    text = "one two, three " * 1_400_000
+    language_id.ngram_counts("a")
+    tracemalloc.start()
+    got = many.predict([text, "one"])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 300e6 and got[0].score > 0.5 and got[1].language != "und"
+
+
+def test_texts_in_no_learned_language_are_rejected(spark):
+    r = random.Random(1)
+    model = language_id.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    odd = [
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+        " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 9))) for _ in range(60)),
+    ]
+    good = ["All human beings are born free and equal in dignity and rights. They are endowed with reason and conscience.", "The", "of the and"]
+    assert [v.fits for v in model.predict([*odd, *good])] == [False] * 3 + [True] * 3
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    assert language_id.reject(docs, model).count() == docs.count()
+    assert language_id.reject(docs.limit(5).withColumn("text", __import__("pyspark").sql.functions.lit(odd[0])), model).count() == 0
+
+
 def test_op3_sql(spark):
     import duckdb
 
