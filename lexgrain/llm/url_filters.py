@@ -6,6 +6,10 @@ disjoint. URL keys and rules are sorted together. A rule carries the stack of ru
 hands the last rule's stack to each URL key, which pops the rules that closed before it. The deepest one left is the longest
 rule of that host suffix, and the longest over a URL's suffixes wins.
 
+The rules that enclose a rule are those whose path is a prefix of its own: a join of its path's prefixes, as long as some rule's
+path, with the rules themselves. A stack is no longer than the rule's path, and the work grows with the rules, not with
+their square, however many of them one host has.
+
 The sweep runs in salted groups of URLs. Each group gets all rules by the shuffle (rules x salts rows; nothing is broadcast),
 so a host, or one URL, that holds most rows is spread over all tasks.
 """
@@ -39,33 +43,31 @@ def _key(labels: Column, path: Column) -> Column:
 def rule_stacks(rules: DataFrame) -> DataFrame:
     """(key, stack): per rule the open rules where it starts, itself last. Rules with a null or empty host are ignored.
 
-    The rules of one host are swept together. A rule given twice counts once; if its verdicts differ, ``block`` wins.
+    A rule given twice counts once; if its verdicts differ, ``block`` wins.
     """
     host, path = F.translate(F.col("host"), UPPER, LOWER), F.coalesce(F.col("path"), F.lit(""))
     one = (
         rules.where(F.col("host").isNotNull() & (F.col("host") != "") & F.col("verdict").isNotNull())
         .groupBy(host.alias("host"), path.alias("path"))
         .agg(F.max("verdict").alias("verdict"))
-        .select(
-            "host",
-            F.struct(
-                _key(_labels(F.col("host")), F.col("path")).alias("key"),
-                F.concat("host", "path").alias("rule"),
-                F.length(F.concat("host", "path")).alias("size"),
-                F.length("host").alias("host_size"),
-                "verdict",
-            ).alias("r"),
-        )
     )
-    kind = "array<struct<key:string,rule:string,size:int,host_size:int,verdict:string>>"
-
-    def push(stacks: Column, r: Column) -> Column:
-        last = F.when(F.size(stacks) > 0, F.element_at(stacks, -1)).otherwise(F.array().cast(kind))
-        return F.concat(stacks, F.array(F.concat(F.filter(last, lambda s: F.startswith(r["key"], s["key"])), F.array(r))))
-
-    swept = one.groupBy("host").agg(F.array_sort(F.collect_list("r")).alias("rs"))
-    stacks = F.aggregate("rs", F.array().cast(f"array<{kind}>"), push)
-    return swept.select(F.explode(stacks).alias("stack")).select(F.element_at("stack", -1)["key"].alias("key"), "stack")
+    sizes = [r[0] for r in one.select(F.length("path")).distinct().collect()]  # as many as the longest path has characters at most
+    prefixes = F.transform(F.filter(F.array(*map(F.lit, sorted(sizes))).cast("array<int>"), lambda n: n <= F.length("path")), lambda n: F.substring("path", F.lit(1), n))
+    inner = one.select("host", F.col("path").alias("inner"), F.explode(prefixes).alias("path"))
+    outer = F.struct(
+        F.length("path").alias("depth"),
+        _key(_labels(F.col("host")), F.col("path")).alias("key"),
+        F.concat("host", "path").alias("rule"),
+        F.length(F.concat("host", "path")).alias("size"),
+        F.length("host").alias("host_size"),
+        "verdict",
+    )
+    return (
+        inner.join(one, ["host", "path"])
+        .groupBy("host", "inner")
+        .agg(F.array_sort(F.collect_list(outer)).alias("stack"))
+        .select(_key(_labels(F.col("host")), F.col("inner")).alias("key"), "stack")
+    )
 
 
 def filter_urls(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "url", default: str = "allow") -> DataFrame:

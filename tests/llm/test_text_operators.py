@@ -168,6 +168,21 @@ def test_url_filters_against_brute_force(spark):
     assert url_filters.filter_urls(pages.limit(0), spark.createDataFrame(queries.URL_RULES, "host string, path string, verdict string")).count() == 0
 
 
+def test_many_rules_of_one_host(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    n = 200_000
+    path = F.concat(F.lit("/"), F.col("id").cast("string"), F.when(F.col("id") % 3 == 0, "/deep/er").otherwise(""))
+    rules = spark.range(n).select(F.lit("example.com").alias("host"), path.alias("path"), F.when(F.col("id") % 2 == 0, "block").otherwise("allow").alias("verdict"))
+    pages = spark.createDataFrame([(1, "http://a.example.com/123456/deep/er/x"), (2, "http://example.com/123456/other"), (3, "http://example.com/199999999"), (4, "http://com/1")], "page_id long, url string")
+    start = time.time()
+    got = {x.page_id: (x.rule, x.verdict) for x in url_filters.filter_urls(pages, rules, default="none").collect()}
+    assert got == {1: ("example.com/123456/deep/er", "block"), 2: ("example.com/12345", "allow") if 12345 % 3 else ("example.com/1234", "block"), 3: ("example.com/199999", "allow") if 199999 % 3 else None, 4: (None, "none")}
+    assert time.time() - start < 100
+
+
 def test_quality_counts(spark):
     r = random.Random(7)
     texts = [None, "", "\n \n", *(" ".join(r.choice("a b c d| \n É! 1".split(" ")) for _ in range(r.randint(0, 40))) for _ in range(300)), "w " * 50_000]
