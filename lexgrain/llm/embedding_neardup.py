@@ -1,13 +1,14 @@
 """Near-duplicate vectors by product quantisation.
 
-Coarse centroids and residual codebooks are fitted on a bounded sample; every vector is indexed in the list of its nearest centroid
-with one code per subspace. Each vector searches the lists whose centroids are within a slack of its nearest one, scores their
-members by table lookup (its inner products with the codewords, summed by the members' codes), and reranks those
-that can reach the threshold by exact cosine in double precision. Slack and score bound are set on the sample, by neighbours
-placed right at the threshold, so that a stated share of such neighbours is found.
+Vectors of one dimension have an index of their own: coarse centroids and residual codebooks are fitted on a bounded sample; every
+vector is indexed in the list of its nearest centroid with one code per subspace. Each vector searches the lists whose centroids
+are within a slack of its nearest one, scores their members by table lookup (its inner products with the codewords, summed by the
+members' codes), and reranks those that can reach the threshold by exact cosine in double precision. A pair is found if either
+of the two finds the other; slack and score bound are set on the sample, by neighbours placed right at the threshold, so that a
+stated share of such pairs is found. Dimensions with under FEW vectors are compared whole.
 
 Lists longer than BLOCK are dealt out as pairs of blocks, so no task holds a whole list. Blocks send link counts and a spanning
-forest of their links, never the pairs. Equal vectors are one class and are compared once.
+forest of their links, never the pairs. Equal vectors (by a 64-bit hash of their components) are one class and are compared once.
 """
 
 from __future__ import annotations
@@ -29,9 +30,10 @@ THRESHOLD = 0.9
 SAMPLE = 20_000
 #: Vectors per list aimed at; lists at most.
 PER_LIST, MOST_LISTS = 256, 1024
+FEW, LEAST_LISTS = 128, 8
 SUBSPACES, CODEWORDS = 16, 256
-#: Share of neighbours at the threshold that the probes, and then the score bound, must keep.
-FOUND = 0.995
+#: Share of pairs at the threshold that the probes, and then the score bound, must keep.
+FOUND = 0.997
 BLOCK = 1024
 
 
@@ -89,7 +91,7 @@ def fit(x: np.ndarray, rows: int, threshold: float, seed: int = 1) -> Index:
     d = x.shape[1]
     s = min(SUBSPACES, d)
     w = -(-d // s)
-    lists = int(min(MOST_LISTS, max(1, rows // PER_LIST), max(1, len(x) // 8)))
+    lists = int(min(MOST_LISTS, max(LEAST_LISTS, rows // PER_LIST), max(1, len(x) // 8)))
     c = _kmeans(x, lists, rng)
     index = Index(c, np.zeros((s, 1, w)), 0.0, 0.0)
     near = index.coarse(x).argmin(1)
@@ -102,22 +104,28 @@ def fit(x: np.ndarray, rows: int, threshold: float, seed: int = 1) -> Index:
     size = np.linalg.norm(g, axis=1)
     g = np.where(size[:, None] > 0, g / np.maximum(size, 1e-300)[:, None], 0)
     q = threshold * x + np.sqrt(1 - threshold**2) * g
-    dist = index.coarse(q)
-    slack = float(np.quantile(dist[np.arange(len(x)), near] - dist.min(1), FOUND)) + 1e-6
+    to_q, to_x, row = index.coarse(q), index.coarse(x), np.arange(len(x))
+    needed = np.minimum(to_q[row, near] - to_q.min(1), to_x[row, to_q.argmin(1)] - to_x.min(1))  # either may find the other
+    slack = float(np.quantile(needed, FOUND)) + 1e-6
     codes = index.encode(x, near)
     back = np.concatenate([books[k][codes[:, k]] for k in range(s)], axis=1)[:, :d] + c[near]
     bound = float(np.quantile((q * back).sum(1), 1 - FOUND)) - 1e-6
     return Index(c, books, slack, bound)
 
 
+def whole(d: int) -> Index:
+    """The index of a dimension with few vectors: one list, in which every pair is reranked."""
+    return Index(np.zeros((1, d)), np.zeros((1, 1, d)), np.inf, -np.inf)
+
+
 def usable(v: Column) -> Column:
     """Not null, no null or non-finite component, not all zero."""
     fine = F.forall(v, lambda e: F.coalesce(~F.isnan(e) & (F.abs(e) < F.lit(float("inf"))), F.lit(False)))
     return F.coalesce(v.isNotNull() & fine & F.exists(v, lambda e: F.coalesce(e != 0, F.lit(False))), F.lit(False))
 
 
-def _unit(vectors: list) -> np.ndarray:
-    x = np.array(vectors, dtype=np.float64)
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
     x /= np.abs(x).max(axis=1, keepdims=True)  # no overflow in the squares
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
@@ -138,51 +146,60 @@ def _forest(linked: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarra
 def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of ``vectors``: key, n_links, component_id, kept (key = component_id).
 
-    n_links counts the other rows linked directly, equal ones included. Unusable vectors (null, zero, or with null or
-    non-finite components) and those of another dimension than the commonest in the sample link with nothing. Repeated rows
-    are rows of their own; other columns, labels included, are not read.
+    n_links counts the other rows linked directly, equal ones included. Only vectors of the same dimension can link; unusable
+    ones (null, empty, zero, or with null or non-finite components) link with nothing. Repeated rows are rows of their own;
+    other columns, labels included, are not read.
     """
     spark = vectors.sparkSession
     bounded(spark)
-    src = vectors.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    rows = src.select("id", F.when(usable(F.col("v")), F.xxhash64(F.transform("v", lambda e: e + F.lit(0.0)))).alias("cls"), "v")
+    kind = "float" if vectors.schema[vector].dataType.simpleString() == "array<float>" else "double"
+    src = vectors.select(F.col(key).alias("id"), F.col(vector).cast(f"array<{kind}>").alias("v"))
+    rows = src.select("id", F.when(usable(F.col("v")), F.xxhash64(F.transform("v", lambda e: e.cast("double") + F.lit(0.0)))).alias("cls"), "v")
     each = stored(rows.where("cls is not null").groupBy("cls").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.any_value("v").alias("v")), "vectors")
-    sample = [r["v"] for r in bounded_sample(each, SAMPLE, "cls").select("v").collect()]
-    if not sample:
-        return src.select(F.col("id").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    sizes = np.bincount([len(v) for v in sample])
-    d = int(sizes.argmax())
-    index = spark.sparkContext.broadcast(fit(_unit([v for v in sample if len(v) == d]), each.count(), threshold))
+    size = F.size("v")
+    indexes = {}
+    for d, n in each.groupBy(size.alias("d")).count().collect():  # a row per dimension
+        if n < FEW:
+            indexes[d] = whole(d)
+        else:
+            sample = bounded_sample(each.where(size == d), SAMPLE, "cls").select("v").toArrow()
+            indexes[d] = fit(_unit(sample["v"].combine_chunks().flatten().to_numpy().reshape(-1, d)), n, threshold)
+    shared = spark.sparkContext.broadcast(indexes)
+    number = np.dtype("<f4" if kind == "float" else "<f8")
 
     def place(batches):
-        ix = index.value
         for batch in batches:
-            x = _unit(batch.column(2).to_pylist())
-            dist = ix.coarse(x)
-            near = dist.argmin(1)
-            probes = [np.flatnonzero(r <= r.min() + ix.slack).astype(np.int32) for r in dist]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(near.astype(np.int32)), pa.array([c.tobytes() for c in ix.encode(x, near)], pa.binary()), pa.array(probes, pa.list_(pa.int32())), pa.array([r.tobytes() for r in x], pa.binary())],
-                names=["cls", "copies", "list", "codes", "probes", "x"],
-            )
-
-    indexed = stored(each.where(F.size("v") == d).select("cls", "copies", "v").mapInArrow(place, "cls long, copies long, list int, codes binary, probes array<int>, x binary"), "index")
-    members = indexed.groupBy("list").agg(F.count("*").alias("m"))
-    searches = indexed.select(F.explode("probes").alias("list")).groupBy("list").agg(F.count("*").alias("q"))
-    blocks = members.join(searches, "list").select("list", F.ceil(F.col("m") / BLOCK).cast("int").alias("mb"), F.ceil(F.col("q") / BLOCK).cast("int").alias("qb"))
-    blocks = F.broadcast(blocks)  # at most MOST_LISTS rows
-    own = indexed.join(blocks, "list").select("list", F.pmod(F.xxhash64("cls"), F.col("mb")).cast("int").alias("mblock"), F.explode(F.sequence(F.lit(0), F.col("qb") - 1)).alias("qblock"), "cls", "copies", "codes", "probes", "x")
-    asks = indexed.toDF(*indexed.columns).withColumnRenamed("list", "home").withColumn("list", F.explode("probes")).join(blocks, "list")
-    asks = asks.select("list", F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("mblock"), F.pmod(F.xxhash64("cls"), F.col("qb")).cast("int").alias("qblock"), "cls", "copies", "home", "codes", "x")
+            of, vs = batch.column(2).to_numpy(), batch.column(3)
+            for d in np.unique(of).tolist():
+                ix, at = shared.value[d], pa.array(np.flatnonzero(of == d))
+                raw = vs.take(at).flatten().to_numpy().reshape(-1, d).astype(number)
+                x = _unit(raw)
+                dist = ix.coarse(x)
+                near = dist.argmin(1)
+                probes = [np.flatnonzero(r <= r.min() + ix.slack).astype(np.int32) for r in dist]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(at), batch.column(1).take(at), batch.column(2).take(at), pa.array(near.astype(np.int32)), pa.array([c.tobytes() for c in ix.encode(x, near)], pa.binary()), pa.array(probes, pa.list_(pa.int32())), pa.array([r.tobytes() for r in raw], pa.binary())],
+                    names=["cls", "copies", "d", "list", "codes", "probes", "x"],
+                )
+
+    # the components travel as they are, so that cosines of floats are exact in half the bytes of doubles
+    indexed = stored(each.select("cls", "copies", size.alias("d"), "v").mapInArrow(place, "cls long, copies long, d int, list int, codes binary, probes array<int>, x binary"), "index")
+    members = indexed.groupBy("d", "list").agg(F.count("*").alias("m"))
+    searches = indexed.select("d", F.explode("probes").alias("list")).groupBy("d", "list").agg(F.count("*").alias("q"))
+    blocks = members.join(searches, ["d", "list"]).select("d", "list", F.ceil(F.col("m") / BLOCK).cast("int").alias("mb"), F.ceil(F.col("q") / BLOCK).cast("int").alias("qb"))
+    blocks = F.broadcast(blocks)  # at most MOST_LISTS rows per dimension
+    own = indexed.join(blocks, ["d", "list"]).select("d", "list", F.pmod(F.xxhash64("cls"), F.col("mb")).cast("int").alias("mblock"), F.explode(F.sequence(F.lit(0), F.col("qb") - 1)).alias("qblock"), "cls", "copies", "codes", "probes", "x")
+    asks = indexed.toDF(*indexed.columns).withColumnRenamed("list", "home").withColumn("list", F.explode("probes")).join(blocks, ["d", "list"])
+    asks = asks.select("d", "list", F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("mblock"), F.pmod(F.xxhash64("cls"), F.col("qb")).cast("int").alias("qblock"), "cls", "copies", "home", "codes", "x")
     asks = asks.toDF(*asks.columns)
 
     def search(q: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
-        ix, none = index.value, pd.DataFrame({"cls": pd.Series(dtype="int64"), "links": pd.Series(dtype="int64"), "to": pd.Series(dtype="int64")})
+        none = pd.DataFrame({"cls": pd.Series(dtype="int64"), "links": pd.Series(dtype="int64"), "to": pd.Series(dtype="int64")})
         if q.empty or m.empty:
             return none
-        at = int(m["list"].iloc[0])
+        ix, at = shared.value[int(m["d"].iloc[0])], int(m["list"].iloc[0])
         a, b = q["cls"].to_numpy(), m["cls"].to_numpy()
-        x, y = (np.frombuffer(b"".join(t["x"]), dtype=np.float64).reshape(len(t), -1) for t in (q, m))
+        x, y = (_unit(np.frombuffer(b"".join(t["x"]), dtype=number).reshape(len(t), -1)) for t in (q, m))
         codes = np.frombuffer(b"".join(m["codes"]), dtype=np.uint8).reshape(len(m), -1)
         i, j = np.nonzero((ix.scores(x, at, codes) >= ix.bound) & (a[:, None] != b[None, :]))
         exact = np.zeros(len(i), dtype=bool)
@@ -214,7 +231,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
         counts = pd.DataFrame({"cls": np.concatenate([a, b]), "links": np.concatenate([links, other]), "to": np.concatenate([a, b])})
         return pd.concat([counts[counts["links"] > 0], pd.DataFrame({"cls": node, "links": 0, "to": to})])
 
-    keys = ["list", "mblock", "qblock"]
+    keys = ["d", "list", "mblock", "qblock"]
     found = stored(asks.groupBy(*keys).cogroup(own.groupBy(*keys)).applyInPandas(search, "cls long, links long, to long"), "links")
     direct = found.groupBy("cls").agg(F.sum("links").alias("links"))
     comp = connected_components(found.where("cls != to").select(F.col("cls").alias("src"), F.col("to").alias("dst")))
@@ -222,7 +239,6 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     classes = classes.withColumn("component", F.coalesce("component", "cls"))
     least = classes.groupBy("component").agg(F.min("id").alias("component_id"))
     named = stored(classes.join(least, "component").select("cls", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "classes")
-    for done in (each, indexed, found):
-        discard(done)
+    discard(each, indexed, found)
     out = rows.select("id", "cls").join(named, "cls", "left").withColumn("component_id", F.coalesce("component_id", "id"))
     return out.select(F.col("id").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))

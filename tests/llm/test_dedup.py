@@ -162,6 +162,44 @@ def test_vector_links_recall(spark, monkeypatch, block):
     assert all(t[3] == (t[0] == t[2]) and t[2] <= t[0] for t in rows)
 
 
+def planted(r, n, pairs, dims, low=0.9, high=0.93):
+    """Random vectors, of which the last ``pairs`` are neighbours of the first at cosines from ``low`` to ``high``."""
+    x = r.standard_normal((n, dims)).astype(np.float32)
+    u = x[:pairs] / np.linalg.norm(x[:pairs], axis=1, keepdims=True)
+    g = r.standard_normal((pairs, dims))
+    g -= (g * u).sum(1)[:, None] * u
+    c = r.uniform(low + 1e-4, high, pairs)[:, None]
+    x[n - pairs :] = c * u + np.sqrt(1 - c * c) * g / np.linalg.norm(g, axis=1, keepdims=True)
+    return x
+
+
+def test_vectors_beyond_the_sample_with_many_lists(spark, monkeypatch):
+    monkeypatch.setattr(embedding_neardup, "SAMPLE", 2_000)
+    x = planted(np.random.default_rng(4), 12_000, 1_500, 24)
+    rows = {t[0]: t[1] for t in embedding_neardup.near_duplicates(vectors(spark, x)).collect()}
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    want = sum(int((u[k : k + 2000] @ u.T >= 0.9).sum()) for k in range(0, len(u), 2000)) - len(u)
+    assert want >= 3_000 and 0.97 * want <= sum(rows.values()) <= want
+
+
+def test_vectors_of_every_dimension_are_compared(spark):
+    """Against the SQL twin: two dimensions with many vectors, some with few."""
+    import duckdb
+    import pyarrow as pa
+
+    from lexgrain.llm import queries
+
+    r = np.random.default_rng(6)
+    rows = [*planted(r, 500, 120, 16), *planted(r, 300, 90, 7), *planted(r, 20, 8, 3), [1, 2], [2, 4], [-1, -2], [5.0], [2.0], [-3.0], [], None, [0, 0], [np.inf, 1]]
+    rows = [None if v is None else [float(e) for e in v] for v in rows]
+    got = sorted(map(tuple, embedding_neardup.near_duplicates(vectors(spark, rows).repartition(3)).collect()))
+    c = duckdb.connect()
+    c.register("embeddings", pa.table({"vec_id": pa.array(range(len(rows)), pa.int64()), "embedding": pa.array(rows, pa.list_(pa.float32()))}))
+    want = sorted(c.execute(queries.OP6_SQL).fetchall())
+    missed = sum(w[1] for w in want) - sum(g[1] for g in got)
+    assert 0 <= missed <= 0.02 * sum(w[1] for w in want) and got[800:] == want[800:]
+
+
 def test_vectors_empty_and_all_equal(spark):
     assert embedding_neardup.near_duplicates(vectors(spark, []).limit(0)).count() == 0
     rows = sorted(map(tuple, embedding_neardup.near_duplicates(vectors(spark, [[1, 2, 3]] * 5)).collect()))
