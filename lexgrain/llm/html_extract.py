@@ -1,11 +1,14 @@
 """Main text of web pages by tag-path ratios.
 
-A page is cut into blocks, each with its root-to-leaf path of block tags. Per path, the text length and the punctuation per
-block are aggregated (text ratio, punctuation ratio), smoothed over the blocks in page order, and fused by multiplication;
-paths whose fused ratio passes a threshold set by the page's own spread are content. The content's container is the article
-or main element that holds most of it, or else the smallest element that holds all of it and more than a single run of text; its
-other blocks (short paragraphs, headings, list items) belong to the text unless they are mostly links or stand in an element that
-names itself a menu, header, footer, sidebar, notice, advert, form or comments.
+A page is cut into blocks, each with its root-to-leaf path of block tags. Per path, the length of the text outside links and the
+punctuation per block are aggregated (text ratio, punctuation ratio), smoothed over the blocks in page order, and fused by
+multiplication; paths whose fused ratio passes a threshold set by the page's own top are content. The main text is what the
+lowest element that holds the content nodes holds: its other blocks (short paragraphs, headings, list items) belong to it
+unless they are mostly links. Where article or main elements hold content, that element is looked for within them.
+
+What HTML itself names a menu, footer, sidebar or form does not count. Class and id names that say so decide only about parts
+without content of their own: a part of that name which holds most of the page's content, or, inside the article, content by its
+ratio, stays.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from .batches import map_batches
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|template|noscript|textarea|title|iframe|svg|math|select|object|noembed|noframes)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|template|noscript|textarea|title|iframe|svg|annotation-xml|annotation|select|object|noembed|noframes)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
     r"|</?[a-zA-Z][^>]*(?:>|\Z)"
     r"|<[!?/][^>]*>?",
@@ -34,21 +37,29 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _PUNCT = re.compile(r"[.,;:!?¿¡…。、，！？]")
 
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark meta link nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark meta link nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr "
+    "math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BOILERPLATE = frozenset("nav footer aside form button dialog menu fieldset datalist head".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
-#: Words of class and id values that name a part of a page which is not its article.
+#: Words of class and id values that name a part of a page which is not its article ...
 HINTS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promotion banner banners cookie cookies consent gdpr notice notices "
     "notification notifications alert popup modal overlay newsletter subscribe subscription signup sidebar sidebars aside menu menus nav navbar navigation "
-    "breadcrumb breadcrumbs footer masthead topbar toolbar comment comments commentlist respond reply replies disqus discussion share sharing social related "
+    "breadcrumb breadcrumbs footer masthead topbar toolbar comment comments commentlist respond reply replies disqus share sharing social related "
     "recommended recommendations widget widgets login search form pagination pager paywall toc skip hidden teaser teasers rail crumb crumbs subnav sidenav blogroll copyright colophon "
     "adbox adslot adsbygoogle outbrain taboola feedback rating ratings print tagcloud".split()
 )
-#: Words that say so only outside an article.
-OUTER_HINTS = frozenset("header head top bottom logo branding".split())
+#: ... where the other words of the name say nothing: "cookie-notice-box" names a notice, "rating-scale" does not name a rating.
+PLAIN = frozenset(
+    "a an and the of to our your us my me it by in on at for with box block blocks wrap wrapper container content contents area section list item items bar panel column col row inner outer top bottom left right middle main "
+    "first second last site page post posts article entry blog user users reader readers visitor visitors link links button buttons slot unit region zone group head header heading title body text card tile icon icons media "
+    "global local mobile desktop sticky fixed primary secondary tertiary small large x js id div module component placeholder policy accept message messages follow email e mail thread tree count icon new now here this site "
+    "story stories news articles more read also see up out down off next prev previous".split()
+)
+#: Words of names that say so of comments only where the part is outside the article.
+OUTER_HINTS = frozenset("header head top bottom logo branding discussion discussions".split())
 #: Layout classes name parts that an element has or lacks, not what it is.
 _LAYOUT = re.compile(r"\b(?:no|has|with|without|hide|show)[-_]\w+|\b\w+[-_](?:open|closed|enabled|disabled|on|off|layout|visible)\b", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
@@ -70,6 +81,7 @@ class _Element:
     out: bool
     root: bool = False
     header: bool = False
+    named: bool = False
 
 
 @dataclass
@@ -81,6 +93,11 @@ class Block:
     out: bool
     roots: tuple[int, ...] = ()
     head: bool = False
+    named: tuple[int, ...] = ()  # elements around it whose names say that they are not the article
+
+    @property
+    def own(self) -> int:
+        return len(self.text) - self.linked
 
 
 @dataclass
@@ -92,8 +109,12 @@ class _State:
 
 
 def _hinted(value: str, inside: bool) -> bool:
-    words = set(_WORD.findall(_CAMEL.sub(" ", _LAYOUT.sub(" ", value)).lower()))
-    return bool(words & HINTS) or not inside and bool(words & OUTER_HINTS)
+    for token in _CAMEL.sub("-", _LAYOUT.sub(" ", value)).lower().split():
+        words = set(_WORD.findall(token))
+        rest = words - HINTS
+        if words & HINTS and rest <= PLAIN or not inside and words & OUTER_HINTS and rest - OUTER_HINTS <= PLAIN:
+            return True
+    return False
 
 
 def blocks(html: str) -> list[Block]:
@@ -107,7 +128,10 @@ def blocks(html: str) -> list[Block]:
                 s = state.stack
                 drop = any(e.out for e in s)
                 out.append(
-                    Block(s[-1].path, tuple(e.number for e in s), text, min(state.linked, len(text)), drop, tuple(e.number for e in s if e.root), any(e.header for e in s) and s[-1].tag not in HEADINGS)
+                    Block(
+                        s[-1].path, tuple(e.number for e in s), text, min(state.linked, len(text)), drop, tuple(e.number for e in s if e.root),
+                        any(e.header for e in s) and s[-1].tag not in HEADINGS, tuple(e.number for e in s if e.named),
+                    )
                 )
         state.parts, state.linked = [], 0
 
@@ -169,11 +193,9 @@ def blocks(html: str) -> list[Block]:
                     drop = True
         root = tag in ("article", "main") or role in ("main", "article") or itemprop == "articlebody"
         inside = any(e.root for e in stack)
-        if tag not in ("html", "body", "main") and (role in ROLES or names and _hinted(names, inside)):
-            drop = True
-        drop |= tag == "header" and not inside
-        first = names.split()[0] if names.split() else ""
-        stack.append(_Element(tag, f"{stack[-1].path}/{tag}" + (f".{first}" if first else ""), number, drop, root, tag == "header" and inside))
+        drop |= role in ROLES or tag == "header" and not inside
+        named = tag not in ("html", "body", "main") and bool(names) and _hinted(names, inside)
+        stack.append(_Element(tag, f"{stack[-1].path}/{tag}", number, drop, root, tag == "header" and inside, named))
     if at < len(html):
         state.parts.append(html[at:])
     flush()
@@ -185,14 +207,15 @@ def path_ratios(found: list[Block]) -> dict[str, float]:
     index = {p: k for k, p in enumerate(dict.fromkeys(b.path for b in found))}
     of = np.array([index[b.path] for b in found])
     n = np.bincount(of)
-    text = np.bincount(of, [len(b.text) - b.linked for b in found]) / n
-    mark = np.bincount(of, [len(_PUNCT.findall(b.text)) for b in found]) / n
+    text = np.bincount(of, [b.own for b in found]) / n
+    mark = np.bincount(of, [len(_PUNCT.findall(b.text)) * (b.own > 0) for b in found]) / n
 
     def smooth(per_path: np.ndarray) -> np.ndarray:
         x = np.pad(per_path[of], 1, mode="edge")
         return np.bincount(of, 0.25 * x[:-2] + 0.5 * x[1:-1] + 0.25 * x[2:]) / n
 
-    fused = np.minimum(smooth(text), text) * (1 + np.minimum(smooth(mark), mark))
+    # geometric means: a path between menus and notices loses by them; a path that recurs weighs as its text does
+    fused = np.sqrt(text * smooth(text)) * np.sqrt((1 + mark) * (1 + smooth(mark))) * n
     return {p: float(fused[k]) for p, k in index.items()}
 
 
@@ -205,41 +228,75 @@ def _container(found: list[Block], content: np.ndarray) -> int:
             own = b.chain if b.chain[-1] in parents else b.chain[:-1] or b.chain
             n = len(own) if common is None else next((k for k, (x, y) in enumerate(zip(common, own)) if x != y), min(len(common), len(own)))
             common = own[:n]
+    tags = next(b.path for b in found if common[-1] in b.chain).split("/")
+    while len(common) > 1 and tags[len(common) - 1] == "section":
+        common = common[:-1]  # sections are parts of an article
     return common[-1]
 
 
-def extract(html: str | None) -> str:
+#: Share of the page's highest ratio from which a path is content.
+THRESHOLD = 0.5
+
+
+def extract(html: str | None, ratios=path_ratios) -> str:
     """The article's blocks joined by line feeds; empty for null, empty and contentless pages."""
     if not html:
         return ""
     found = [b for b in blocks(html) if not b.out]
     if not found:
         return ""
-    fused = path_ratios(found)
-    each = np.array([fused[b.path] for b in found])
+    whole = sum(b.own for b in found)
+    mass: dict[int, int] = {}
+    parts: dict[int, int] = {}
+    for b in found:
+        for e in b.named:
+            mass[e] = mass.get(e, 0) + b.own
+            parts[e] = parts.get(e, 0) + 1
+    # a name does not count where the page has little else
+    true_names = {e for e, m in mass.items() if m < whole and (2 * m <= whole or parts[e] < 3)}
+    named = np.array([not true_names.isdisjoint(b.named) for b in found])
+    if not named.all():
+        outside = [b for b, x in zip(found, named, strict=True) if not x]
+        fused = ratios(outside)
+        each = np.array([0.0 if x else fused[b.path] for b, x in zip(found, named, strict=True)])
+    else:
+        each = np.zeros(len(found))
     top = each.max()
     if top <= 0:
-        return "\n".join(b.text for b in found if b.roots and not b.head)
-    content = each >= min(max(each.mean() - each.std(), 0.1 * top), top)
+        return "\n".join(b.text for b, x in zip(found, named, strict=True) if b.roots and not b.head and not x)
+    content = each >= THRESHOLD * top
     weight: dict[int, int] = {}
-    total = 0
     for b, c in zip(found, content, strict=True):
         if c:
-            size = len(b.text) - b.linked
-            total += size
             for e in b.roots:
-                weight[e] = weight.get(e, 0) + size
+                weight[e] = weight.get(e, 0) + b.own
+    if not weight:
+        held = [b for b, x in zip(found, named, strict=True) if b.roots and not x]
+        if 2 * sum(b.own for b in held) > whole:  # short articles next to one long notice
+            for b in held:
+                for e in b.roots:
+                    weight[e] = weight.get(e, 0) + b.own
     if weight:
         # the outermost article elements with a fair share; teasers of other articles have little text
         most = max(weight.values())
         chosen = {e for e, w in weight.items() if w >= 0.3 * most}
-        inside = [bool(chosen & set(b.roots)) for b in found]
+        inside = np.array([bool(chosen & set(b.roots)) for b in found])
     else:
         container = _container(found, content)
-        inside = [container in b.chain for b in found]
+        inside = np.array([container in b.chain for b in found])
+    # a part of the article with a name of the list stays if its text is content by the ratios of the whole article
+    if (inside & named).any():
+        within = ratios([b for b, i in zip(found, inside, strict=True) if i])
+        least = THRESHOLD * max(within.values())
+        full: dict[int, int] = {}
+        for b, i in zip(found, inside & named, strict=True):
+            if i and within[b.path] >= least and not weight.keys().isdisjoint(b.roots):
+                for e in b.named:
+                    full[e] = full.get(e, 0) + b.own
+        named = np.array([any(e in true_names and 2 * full.get(e, 0) <= mass[e] for e in b.named) for b in found])
     keep = []
-    for b, c, i in zip(found, content, inside, strict=True):
-        if i and not b.head and (c or b.linked <= 0.6 * len(b.text)):
+    for b, c, i, x in zip(found, content, inside, named, strict=True):
+        if i and not x and not b.head and (c or b.linked <= 0.6 * len(b.text)):
             keep.append(b.text)
     return "\n".join(keep)
 

@@ -54,11 +54,47 @@ def test_rows(spark):
     assert h.main_text(pages.limit(0)).count() == 0
 
 
-def test_test_pages_give_their_articles(spark):
+def pages_and_articles():
+    """The test pages and what stands in their article element."""
     import html
     import re
 
-    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect():
-        inner = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
+    import pyarrow.parquet as pq
+
+    for page in pq.read_table("/root/testdata/sf0.01/pages.parquet", columns=["html"])["html"].to_pylist():
+        inner = re.search(r"<article>(.*?)</article>", page, re.S)[1]
         parts = [" ".join(html.unescape(re.sub(r"<[^>]*>", lambda m: " " * (m[0] == "<br>"), b)).split()) for b in re.split(r"</?(?:p|h1)>", inner)]
-        assert h.extract(r.html) == "\n".join(p for p in parts if p)
+        yield page, "\n".join(p for p in parts if p)
+
+
+def test_test_pages_give_their_articles():
+    assert all(h.extract(page) == want for page, want in pages_and_articles())
+
+
+def test_test_pages_without_an_article_element():
+    import re
+
+    assert sum(h.extract(re.sub(r"(</?)(article|main)\b", r"\1div", page)) == want for page, want in pages_and_articles()) >= 248
+
+
+def test_ratios_decide_where_tags_and_names_say_nothing():
+    """All parts of a page as nameless div elements: the tag paths' ratios find the article, constant ones do not."""
+    import re
+
+    plain = [(re.sub(r'\s(?:class|id|role)="[^"]*"', "", re.sub(r"(</?)(article|main|nav|header|footer|aside)\b", r"\1div", page)), want) for page, want in pages_and_articles()]
+    constant = lambda found: {b.path: 1.0 for b in found}
+    assert sum(h.extract(page) == want for page, want in plain) >= 240
+    assert sum(h.extract(page, constant) == want for page, want in plain) <= 25
+
+
+def test_names_of_parts_do_not_drop_sections_of_the_article():
+    long = "This part of the article says something, at length, and with commas; it is no comment. " * 3
+    inner = f'<h1>T</h1><p>{long}</p><section id="discussion"><h2>Discussion</h2><p>{long}</p></section><div class="rating-scale"><p>Short scale.</p></div><div class="social-history"><p>{long}</p></div><div class="related"><p>{long}</p><p>{long}</p></div><p>{long}</p>'
+    want = ["T", long.strip(), "Discussion", long.strip(), "Short scale.", *[long.strip()] * 4]
+    assert h.extract(PAGE % f"<article>{inner}</article>").split("\n") == want
+    dropped = inner.replace("<h1>T</h1>", '<h1>T</h1><div class="share-buttons">Share this</div><div class="cookie-notice-box">Cookies, please.</div><div class="ad">Buy.</div>')
+    assert h.extract(PAGE % f"<article>{dropped}</article>").split("\n") == want
+
+
+def test_formulas_stay_in_their_sentence():
+    assert h.extract("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> be given, here.</p></article>") == "Let x=2 be given, here."
