@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,6 +30,9 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_SCOPES: list[list[tuple[SparkSession, str]]] = []
+
+
 def _file_system(spark: SparkSession, name: str):
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
@@ -43,6 +48,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     files, path = _file_system(spark, folder)
     df.write.option("compression", "zstd").parquet(folder)
     files.deleteOnExit(path)
+    for scope in _SCOPES:
+        scope.append((spark, folder))
     return spark.read.schema(df.schema).parquet(folder)
 
 
@@ -52,3 +59,17 @@ def discard(*tables: DataFrame) -> None:
         for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
             files, path = _file_system(df.sparkSession, name)
             files.delete(path, True)
+
+
+@contextmanager
+def temporary() -> Iterator[None]:
+    """At its end, removes the tables that were stored within it, but for the last one: the result that was made of the others."""
+    made: list[tuple[SparkSession, str]] = []
+    _SCOPES.append(made)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(made)
+        for spark, folder in made[:-1]:
+            files, path = _file_system(spark, folder)
+            files.delete(path, True)
