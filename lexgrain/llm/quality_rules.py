@@ -67,7 +67,7 @@ def features(text: str | None) -> tuple[int, ...]:
 
 
 def with_features(docs: DataFrame, text: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """The columns ``carry`` of each row (by default all) and the counts of COUNTS, prefixed ``q_`` in case of a clash."""
+    """(__row, counts of COUNTS): the columns ``carry`` of each row (by default all) as one struct, so that no names clash."""
     carry = docs.columns if carry is None else carry
     src = docs.select(F.col(f"`{text}`").alias("__text"), F.struct(*[F.col(f"`{c}`") for c in carry]).alias("__row"))
 
@@ -175,7 +175,11 @@ def judge(featured: DataFrame, rules: list[Rule]) -> DataFrame:
     return featured.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & verdict(rules))
 
 
+def kept_rows(featured: DataFrame, rules: list[Rule]) -> DataFrame:
+    """The rows of :func:`with_features`, as they were, that pass the base rules and the decision list."""
+    return judge(featured, rules).where("kept").select("__row.*")
+
+
 def keep(docs: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that pass the base rules and the decision list."""
-    judged = judge(with_features(docs, text), rules).where("kept")
-    return judged.select(*[F.col("__row").getField(c).alias(c) for c in docs.columns])
+    return kept_rows(with_features(docs, text), rules)

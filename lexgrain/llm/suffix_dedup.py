@@ -9,19 +9,24 @@ common prefixes of neighbours are taken, and a stack scan walks the tree of comm
 more. An interval whose suffixes are preceded by different bytes is a maximal repeat, put out with all its occurrences; others are
 inside a repeat that starts one byte before.
 
-Keys that more than MOST contexts share are settled position by position by counts of the hashes of whole strings, which is
-exact for any group size. Equal texts are one class and are compared once.
+Suffixes of keys that more than MOST contexts share do not meet in one task: they are bucketed, position by position, by a 128-bit
+fingerprint of their first ``length`` bytes, which takes any group size; such repeats are put out at that length. Equal texts are
+one class and are compared once.
+
+What counts as equal without a look at the bytes: texts by 64-bit hash and size, contexts of one key by 64-bit hash, and
+the strings of frequent keys by their fingerprint. Strings of other keys are compared.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.lineage import discard, stored
@@ -141,66 +146,75 @@ def _anchor_rows(classed: DataFrame, length: int) -> DataFrame:
 
 
 def _contexts(chosen: DataFrame, length: int) -> DataFrame:
-    """(key, cls, n, lo, starts, content, hot) from rows of texts with the list of their chosen anchors."""
+    """(key, hc, cls, n, lo, starts, content, hot) from rows of texts with the list of their chosen anchors."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        cols: list[list] = [[] for _ in range(7)]
+        cols: list[list] = [[] for _ in range(8)]
         for c, n, t, ws in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
             text = t.encode("utf-8", "surrogatepass")
             for x in ws:
-                for col, v in zip(cols, (x["key"], c, n, x["lo"], x["hi"] - x["lo"] + 1, text[x["lo"] : x["hi"] + length], x["hot"]), strict=True):
+                for col, v in zip(cols, (x["key"], x["hc"], c, n, x["lo"], x["hi"] - x["lo"] + 1, text[x["lo"] : x["hi"] + length], x["hot"]), strict=True):
                     col.append(v)
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["key", "cls", "n", "lo", "starts", "content", "hot"])
+        kinds = [*[pa.int64()] * 6, pa.binary(), pa.bool_()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["key", "hc", "cls", "n", "lo", "starts", "content", "hot"])
+
+    return map_batches(chosen.select("cls", "n", "text", "ws"), run, "key long, hc long, cls long, n long, lo long, starts long, content binary, hot boolean")
+
 
-    return map_batches(chosen.select("cls", "n", "text", "ws"), run, "key long, cls long, n long, lo long, starts long, content binary, hot boolean")
+_REPEATS = "repeat binary, bytes long, key long, hc long, cls long, n long, start long, at long"
+
+
+def _repeat_rows(cols: list[list]) -> pa.RecordBatch:
+    kinds = [pa.binary(), *[pa.int64()] * 7]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in _REPEATS.split(", ")])
 
 
 def _sorted_repeats(contexts: DataFrame, length: int) -> DataFrame:
-    """(repeat, bytes, cls, n, start): maximal repeats with all occurrences, from contexts brought together by key."""
+    """_REPEATS, of the context (key, hc) at offset ``at``: maximal repeats with all occurrences, from contexts brought together by key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
 
         def flush(rows: list[tuple]) -> pa.RecordBatch:
-            cols: list[list] = [[] for _ in range(5)]
-            for common, found in maximal_repeats([r[5] for r in rows], [r[4] for r in rows], length):
-                name = _hash(rows[found[0][0]][5][found[0][1] : found[0][1] + common])
+            cols: list[list] = [[] for _ in range(8)]
+            for common, found in maximal_repeats([r[6] for r in rows], [r[5] for r in rows], length):
+                name = xxhash.xxh3_128_digest(rows[found[0][0]][6][found[0][1] : found[0][1] + common])
                 for i, o in found:
-                    for col, v in zip(cols, (name, common, rows[i][1], rows[i][2], rows[i][3] + o), strict=True):
+                    key, hc, cls, n, lo = rows[i][:5]
+                    for col, v in zip(cols, (name, common, key, hc, cls, n, lo + o, o), strict=True):
                         col.append(v)
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["repeat", "bytes", "cls", "n", "start"])
+            return _repeat_rows(cols)
 
         for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+            for row in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
                 if size >= TOGETHER and row[0] != held[-1][0]:
                     yield flush(held)
                     held, size = [], 0
                 held.append(row)
-                size += len(row[5])
+                size += len(row[6])
         if held:
             yield flush(held)
 
-    own = contexts.where(~F.col("hot")).select("key", "cls", "n", "lo", "starts", "content")
-    return own.repartition("key").sortWithinPartitions("key").mapInArrow(run, "repeat long, bytes long, cls long, n long, start long")
+    own = contexts.where(~F.col("hot")).select("key", "hc", "cls", "n", "lo", "starts", "content")
+    return own.repartition("key").sortWithinPartitions("key").mapInArrow(run, _REPEATS)
 
 
 def _counted_repeats(contexts: DataFrame, length: int) -> DataFrame:
-    """The same for frequent keys: one row per start, grouped by the hash of its string."""
+    """The same for frequent keys: one row per start, bucketed by the fingerprint of its string."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        cols: list[list] = [[] for _ in range(4)]
-        for c, n, lo, starts, content in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+        cols: list[list] = [[] for _ in range(8)]
+        for key, hc, c, n, lo, starts, content in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
             for o in range(starts):
-                for col, v in zip(cols, (_hash(content[o : o + length]), c, n, lo + o), strict=True):
+                for col, v in zip(cols, (xxhash.xxh3_128_digest(content[o : o + length]), length, key, hc, c, n, lo + o, o), strict=True):
                     col.append(v)
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["repeat", "cls", "n", "start"])
+        return _repeat_rows(cols)
 
-    each = map_batches(contexts.where("hot").select("cls", "n", "lo", "starts", "content"), run, "repeat long, cls long, n long, start long")
+    each = map_batches(contexts.where("hot").select("key", "hc", "cls", "n", "lo", "starts", "content"), run, _REPEATS)
     place = F.struct("cls", "n", "start")
     again = each.groupBy("repeat").agg(F.min(place).alias("x"), F.max(place).alias("y")).where("x != y").select("repeat")
-    return each.join(again, "repeat").select("repeat", F.lit(length).cast("long").alias("bytes"), "cls", "n", "start")
+    return each.join(again, "repeat", "left_semi")
 
 
 def classed(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -209,12 +223,19 @@ def classed(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumn("cls", F.xxhash64(whole)).withColumn("n", F.octet_length(whole).cast("long"))
 
 
-def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
-    """((cls, n, spans) of the texts with repeats, (cls, n, text) of them, tables to discard once both were read).
+@dataclass(frozen=True)
+class _Found:
+    """shared: anchors (key, hc, cls, n, a, lo, hi) whose key recurs; whole: (key, hc) of contexts that recur as a whole; texts
+    (cls, n, text) with such anchors; repeats: _REPEATS between one context of each content."""
 
-    spans is an array of [start, end) bytes that strings of ``length`` bytes cover which start anywhere else; texts that occur
-    twice as a whole are not among them. ``length`` is 16 at least: an anchor takes 8 bytes.
-    """
+    shared: DataFrame
+    whole: DataFrame
+    texts: DataFrame
+    repeats: DataFrame
+    done: tuple[DataFrame, ...]
+
+
+def _found(docs: DataFrame, text: str, length: int) -> _Found:
     if length < 16:
         raise ValueError("length must be 16 at least")
     src = classed(docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")))
@@ -223,24 +244,57 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH) ->
     # stored, so that the join's sides come straight from their shuffles and a frequent key can be split
     again = stored(found.groupBy("key").agg(F.min(place).alias("x"), F.max(place).alias("y")).where("x != y").select("key"), "keys")
     shared = stored(found.join(again, "key", "left_semi"), "shared")
-    discard(found)
-    discard(again)
+    discard(found, again)
 
     per_content = shared.groupBy("key", "hc").agg(F.min(F.struct("cls", "n", "a", "lo", "hi")).alias("one"), F.min(place).alias("x"), F.max(place).alias("y"))
     per_content = stored(per_content.select("key", "hc", "one", (F.col("x") != F.col("y")).alias("whole")), "contents")
-    whole = shared.join(per_content.where("whole").select("key", "hc"), ["key", "hc"], "left_semi")
-    covered = whole.select("cls", "n", F.col("lo").alias("s"), (F.col("hi") + length).alias("e"))
-
     open_keys = stored(per_content.groupBy("key").agg(F.count("*").alias("k"), F.max(~F.col("whole")).alias("part")).where("k > 1 and part"), "open")
-    chosen = per_content.join(open_keys, "key").select("one.cls", "one.n", F.struct("key", "one.lo", "one.hi", (F.col("k") > MOST).alias("hot")).alias("w"))
+    chosen = per_content.join(open_keys, "key").select("one.cls", "one.n", F.struct("key", "hc", "one.lo", "one.hi", (F.col("k") > MOST).alias("hot")).alias("w"))
 
     wanted = shared.select("cls", "n").distinct()
     texts = stored(src.where(F.col("n") >= length).join(wanted, ["cls", "n"], "left_semi").dropDuplicates(["cls", "n"]).select("cls", "n", "text"), "texts")
     contexts = stored(_contexts(texts.join(chosen.groupBy("cls", "n").agg(F.collect_list("w").alias("ws")), ["cls", "n"]), length), "contexts")
     repeats = _sorted_repeats(contexts, length).unionByName(_counted_repeats(contexts, length))
-    covered = covered.unionByName(repeats.select("cls", "n", F.col("start").alias("s"), (F.col("start") + F.col("bytes")).alias("e")))
-    spans = covered.distinct().groupBy("cls", "n").agg(F.array_sort(F.collect_list(F.array("s", "e"))).alias("spans"))
-    return spans, texts, [shared, per_content, open_keys, texts, contexts]
+    return _Found(shared, per_content.where("whole").select("key", "hc"), texts, repeats, (shared, per_content, open_keys, texts, contexts))
+
+
+def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH) -> tuple[DataFrame, DataFrame, tuple[DataFrame, ...]]:
+    """((cls, n, spans) of the texts with repeats, (cls, n, text) of them, tables to discard once both were read).
+
+    spans is an array of the maximal runs [start, end) of bytes that strings of ``length`` bytes cover which start anywhere else;
+    texts that occur twice as a whole are not among them. ``length`` is 16 at least: an anchor takes 8 bytes.
+    """
+    f = _found(docs, text, length)
+    whole = f.shared.join(f.whole, ["key", "hc"], "left_semi")
+    covered = whole.select("cls", "n", F.col("lo").alias("s"), (F.col("hi") + length).alias("e"))
+    covered = covered.unionByName(f.repeats.select("cls", "n", F.col("start").alias("s"), (F.col("start") + F.col("bytes")).alias("e")))
+    covered = covered.groupBy("cls", "n", "s").agg(F.max("e").alias("e"))
+    before = F.max("e").over(Window.partitionBy("cls", "n").orderBy("s").rowsBetween(Window.unboundedPreceding, -1))
+    number = F.sum("first").over(Window.partitionBy("cls", "n").orderBy("s").rowsBetween(Window.unboundedPreceding, 0))
+    runs = covered.withColumn("first", F.when(F.col("s") <= before, 0).otherwise(1)).withColumn("run", number)
+    runs = runs.groupBy("cls", "n", "run").agg(F.min("s").alias("s"), F.max("e").alias("e"))
+    return runs.groupBy("cls", "n").agg(F.array_sort(F.collect_list(F.array("s", "e"))).alias("spans")), f.texts, f.done
+
+
+def repeat_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
+    """(repeat, bytes, key, start): the groups of repeated byte strings, each with all its occurrences in all rows.
+
+    ``repeat`` names the string (128-bit fingerprint). Groups are the maximal repeats of ``length`` bytes or more within the
+    contexts of an anchor, contexts that recur as a whole, and texts that rows share; strings of frequent keys have
+    ``length`` bytes. A long repeat over several anchors gives a group for each of them, which overlap; every repeated byte is in one.
+    """
+    f = _found(docs, text, length)
+    fingerprint = F.unhex(F.md5(F.concat_ws(":", "key", "hc")))
+    every = f.shared.select("key", "hc", F.col("cls").alias("c"), F.col("n").alias("m"), "lo", "hi")
+    parts = f.repeats.join(every, ["key", "hc"]).select("repeat", "bytes", F.col("c").alias("cls"), F.col("m").alias("n"), (F.col("lo") + F.col("at")).alias("start"))
+    whole = every.join(f.whole, ["key", "hc"], "left_semi").select(fingerprint.alias("repeat"), (F.col("hi") - F.col("lo") + length).alias("bytes"), F.col("c").alias("cls"), F.col("m").alias("n"), F.col("lo").alias("start"))
+    rows = classed(docs.select(F.col(key).alias("id"), F.col(text).alias("text"))).where(F.col("n") >= length).select("id", "cls", "n")
+    inside = parts.unionByName(whole).distinct().join(rows, ["cls", "n"]).select("repeat", "bytes", "id", "start")
+    copies = rows.join(rows.groupBy("cls", "n").agg(F.count("*").alias("copies")).where("copies > 1"), ["cls", "n"], "left_semi")
+    copies = copies.select(F.unhex(F.md5(F.concat_ws(":", "cls", "n"))).alias("repeat"), F.col("n").alias("bytes"), "id", F.lit(0).cast("long").alias("start"))
+    out = stored(inside.unionByName(copies), "groups")
+    discard(*f.done)
+    return out.select("repeat", "bytes", F.col("id").alias(key), "start")
 
 
 def merge(spans: list[list[int]]) -> list[list[int]]:
@@ -281,8 +335,7 @@ def dedup_report(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())], names=["cls", "n", "removed", "runs", "sha"])
 
     part = stored(map_batches(texts.join(spans, ["cls", "n"]).select("cls", "n", "text", "spans"), run, "cls long, n long, removed long, runs long, sha string"), "report")
-    for d in done:
-        discard(d)
+    discard(*done)
     rows = stored(classed(docs.select(F.col(key).alias("id"), F.col(text).alias("text"))).select("id", "cls", "n", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("own")), "rows")
     twice = rows.where(F.col("n") >= length).groupBy("cls", "n").agg(F.count("*").alias("copies")).where("copies > 1").select("cls", "n", F.lit(True).alias("twice"))
     out = rows.join(part, ["cls", "n"], "left").join(twice, ["cls", "n"], "left")
@@ -315,8 +368,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     """
     spans, _, done = repeated_spans(docs, text, length)
     spans = stored(spans, "spans")
-    for d in done:
-        discard(d)
+    discard(*done)
     own = classed(docs.select(F.col(text).alias("text")), "text").where(F.col("n") >= length).groupBy("cls", "n").agg(F.count("*").alias("copies"))
     twice = own.where("copies > 1").select("cls", "n", F.array(F.array(F.lit(0).cast("long"), F.col("n"))).alias("spans"))
     all_spans = spans.join(twice.select("cls", "n"), ["cls", "n"], "left_anti").unionByName(twice)

@@ -101,6 +101,29 @@ def test_repeated_strings(spark, monkeypatch, most):
     assert got == brute.repeats(rows, 400)
 
 
+@pytest.mark.parametrize("most", [256, 3])
+def test_repeat_groups_have_every_occurrence(spark, monkeypatch, most):
+    monkeypatch.setattr(suffix_dedup, "MOST", most)
+    r = random.Random(17)
+    word = lambda n, a="abcdefgh": "".join(r.choice(a) for _ in range(n))
+    common = [word(r.randint(50, 120)) for _ in range(4)]
+    rows = [(k, word(r.randint(0, 60), "ijkl") + r.choice(common) + word(r.randint(0, 60), "mnop") + r.choice(common)[: r.randint(20, 50)]) for k in range(25)]
+    rows += [(50, rows[0][1]), (51, "z" * 70), (52, None)]
+    raw = {i: (t or "").encode() for i, t in rows}
+    groups = {}
+    for x in suffix_dedup.repeat_groups(docs(spark, rows), length=40).collect():
+        groups.setdefault((bytes(x.repeat), x.bytes), set()).add((x.doc_id, x.start))
+    covered = {i: bytearray(len(b)) for i, b in raw.items()}
+    for (_, n), places in groups.items():
+        strings = {raw[i][s : s + n] for i, s in places}
+        assert len(strings) == 1 and len(places) > 1 and n >= 40 and len(next(iter(strings))) == n
+        want = {(i, s) for i, b in raw.items() for s in range(len(b) - n + 1) if b[s : s + n] in strings}
+        assert places == want
+        for i, s in places:
+            covered[i][s : s + n] = b"\1" * n
+    assert sorted((i, sum(c)) for i, c in covered.items()) == [(i, gone) for i, _, gone, _, _ in brute.repeats(rows, 40)]
+
+
 def test_repeats_of_empty_table_and_short_lengths(spark):
     assert suffix_dedup.dedup_report(docs(spark, EDGES).limit(0)).count() == 0
     rows = [(k, t) for k, t in enumerate(["abcabcabcabcabcabcabc", "zzabcabcabcabcabcqq", "nothing of the kind here", "qq" * 20])]
