@@ -2,8 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; the caller may write it as Parquet and hand it to the next one.
 All but the last return the columns of ``documents``. The language stage rejects documents without an identifiable language,
-the quality stage those its rules reject, the Jaccard stage keeps the least doc_id of each near-duplicate group, and the dedup
-stage takes repeated passages out of the texts (whole characters only) and drops documents that have none left.
+the quality stage those its rules reject, the Jaccard stage keeps exactly one row of each near-duplicate group (of its least doc_id;
+rows are judged one by one, so repeated rows and rows that share an id are not lost), and the dedup stage takes repeated passages out of the texts (whole characters only) and drops documents that have none left.
 """
 
 from __future__ import annotations
@@ -15,22 +15,22 @@ from pyspark.sql import functions as F
 
 from lexgrain.llm import language_id, ngram_jaccard, packing, quality_rules, suffix_dedup
 from lexgrain.llm.queries import bpe_vocabulary, table
-from lexgrain.plans.lineage import stored
+from lexgrain.plans.lineage import discard, stored, temporary
 
 #: Shortest repeated passage that is removed: about 35 words, so that any passage of over 50 words counts.
 PASSAGE_BYTES = 200
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose text has no letter or fits no language with half of the probability."""
+    """Drops documents whose text has no letter, has no language of half the probability, or is far from its language's n-grams."""
     return language_id.reject(docs, language_id.fit(docs))
 
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that fail the base rules or the decision list learned from ``labels``."""
-    featured = quality_rules.with_features(docs, carry=["doc_id"]).select("__row.doc_id", *quality_rules.COUNTS)
-    rules = quality_rules.fit(featured, table(spark, sf_dir, "labels"))
-    return quality_rules.keep(docs, rules)
+    featured = stored(quality_rules.with_features(docs), "features")
+    rules = quality_rules.fit(featured.select("__row.doc_id", *quality_rules.COUNTS), table(spark, sf_dir, "labels"))
+    return quality_rules.kept_rows(featured, rules)
 
 
 def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,9 +62,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is written and read again before the next stage."""
-    docs = table(spark, sf_dir, "documents")
+    docs = before = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = stored(docs, name)
+        if k == len(STAGES) - 1:
+            return stage(spark, docs, sf_dir)
+        with temporary():
+            docs = stored(stage(spark, docs, sf_dir), name)
+        if k:
+            discard(before)
+        before = docs
     return docs
