@@ -8,8 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch: texts of 100 KB then take some tens of MB in a Python worker.
-ROWS_PER_BATCH = 512
+#: Rows in one Arrow batch: texts of 100 KB then take some 25 MB in a Python worker.
+ROWS_PER_BATCH = 256
 
 
 def bounded(spark: SparkSession) -> None:

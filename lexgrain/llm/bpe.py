@@ -66,7 +66,7 @@ class Encoder:
     two generations; those not seen for one generation are forgotten, so memory is bounded and results do not change.
     """
 
-    def __init__(self, json_path: str, ranks_path: str, pattern: str, make: Callable[[list[int]], object], memo: int = 200_000):
+    def __init__(self, json_path: str, ranks_path: str, pattern: str, make: Callable[[list[int]], object], memo: int = 100_000):
         import tiktoken
         from tokenizers import Tokenizer
 
@@ -114,12 +114,12 @@ class Encoder:
         return out
 
 
-def piece_counter(json_path: str, ranks_path: str, pattern: str, memo: int = 400_000) -> Encoder:
+def piece_counter(json_path: str, ranks_path: str, pattern: str, memo: int = 200_000) -> Encoder:
     """An encoder that keeps only how many pieces a pre-token has."""
     return Encoder(json_path, ranks_path, pattern, len, memo)
 
 
-def id_encoder(json_path: str, ranks_path: str, pattern: str, memo: int = 200_000) -> Encoder:
+def id_encoder(json_path: str, ranks_path: str, pattern: str, memo: int = 100_000) -> Encoder:
     """An encoder that keeps a pre-token's ids as little-endian unsigned 32-bit integers."""
     return Encoder(json_path, ranks_path, pattern, _as_bytes, memo)
 

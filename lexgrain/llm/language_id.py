@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -50,12 +51,13 @@ def _parts(text: str) -> Iterator[str]:
     yield text[at:]
 
 
-def ngram_counts(text: str | None) -> np.ndarray | None:
-    """Per bucket how often its character n-grams occur in the whole text, lower-cased, runs of other characters as one
+def ngram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
+    """(bucket, count), in order, of the character n-grams of the whole text, lower-cased, runs of other characters as one
     space, one more at either end; None without a letter."""
     if not text:
         return None
-    counts, any_letter, was_letter = np.zeros(BUCKETS, dtype=np.int64), False, False
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    any_letter = was_letter = False
     carry = np.array([32], dtype=np.uint64)
 
     def add(new: np.ndarray) -> None:
@@ -72,9 +74,11 @@ def ngram_counts(text: str | None) -> np.ndarray | None:
                 h ^= h >> np.uint64(29)
             if n == 1:
                 h = h[code[first:m] != 32]
-            hashed.append(h)
+            hashed.append(h.astype(np.uint16))  # BUCKETS is their range
         if hashed:
-            counts[:] += np.bincount((np.concatenate(hashed) & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+            h = np.sort(np.concatenate(hashed), kind="stable")  # a radix sort
+            at = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.empty(0, dtype=np.int64)
+            found.append((h[at].astype(np.int64), np.diff(np.append(at, len(h)))))
         carry = code[-(max(ORDERS) - 1) :]
 
     for part in _parts(text):
@@ -84,11 +88,25 @@ def ngram_counts(text: str | None) -> np.ndarray | None:
         keep[1:] |= letter[:-1]  # the first of a run of other characters stays
         keep[:1] |= was_letter
         any_letter, was_letter = any_letter or bool(letter.any()), bool(letter[-1])
-        add(np.where(letter, code, 32)[keep].astype(np.uint64))
+        new = np.where(letter, code, 32)[keep].astype(np.uint64)
+        if len(text) <= SLAB:
+            new = np.append(new, np.uint64(32))
+        add(new)
+        if len(found) > 64:
+            found = [_merged(found)]
     if not any_letter:
         return None
-    add(np.array([32], dtype=np.uint64))
-    return counts
+    if len(text) > SLAB:
+        add(np.array([32], dtype=np.uint64))
+    return found[0] if len(found) == 1 else _merged(found)
+
+
+def _merged(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    counts = np.zeros(BUCKETS, dtype=np.int64)
+    for bucket, n in found:
+        counts[bucket] += n
+    at = np.flatnonzero(counts)
+    return at, counts[at]
 
 
 @dataclass(frozen=True)
@@ -104,13 +122,13 @@ class Model:
     matrix: np.ndarray  # buckets x languages, log P(bucket | language)
     prior: np.ndarray
 
-    def scores(self, counted: list[np.ndarray]) -> np.ndarray:
+    def scores(self, counted: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """Log-likelihoods (texts x languages): the sparse matrix of bucket counts times the log-probabilities."""
-        at = [np.flatnonzero(c) for c in counted]
-        owner = np.repeat(np.arange(len(at)), [len(a) for a in at])
-        bucket = np.concatenate(at) if at else np.empty(0, dtype=np.int64)
-        often = np.concatenate([c[a] for c, a in zip(counted, at, strict=True)]) if at else bucket
-        out = np.zeros((len(at), len(self.languages)))
+        out = np.zeros((len(counted), len(self.languages)))
+        if not counted:
+            return out
+        owner = np.repeat(np.arange(len(counted)), [len(b) for b, _ in counted])
+        bucket, often = (np.concatenate([c[k] for c in counted]) for k in range(2))
         step = max(1, CELLS // max(1, len(self.languages)))
         for k in range(0, len(bucket), step):
             own = owner[k : k + step]
@@ -118,24 +136,28 @@ class Model:
             out[own[starts]] += np.add.reduceat(self.matrix[bucket[k : k + step]].astype(np.float64) * often[k : k + step, None], starts, axis=0)
         return out
 
+    @cached_property
+    def usual(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Log-probabilities of one bucket of all at least; their mean and deviation over each language's own n-grams."""
+        floored = np.maximum(self.matrix, np.float32(-np.log(BUCKETS)))
+        p = np.exp(self.matrix)
+        mean = (p * floored).sum(0, dtype=np.float64)
+        return floored, mean, np.sqrt(np.maximum((p * floored**2).sum(0, dtype=np.float64) - mean**2, 0))
+
     def predict(self, texts: list[str | None]) -> list[Verdict]:
         """Per text the most probable language (of equal ones the first by name) and its posterior; und, 0 and False for null,
         no letter, or nothing learned."""
         out = [Verdict(UNKNOWN, 0.0, False)] * len(texts)
         if not self.languages:
             return out
-        p = np.exp(self.matrix.astype(np.float64))
-        floored = np.maximum(self.matrix.astype(np.float64), -np.log(BUCKETS))
-        expected = (p * floored).sum(0)
-        spread = np.sqrt(np.maximum((p * floored**2).sum(0) - expected**2, 0))
+        floored, mean, spread = self.usual
         for lo in range(0, len(texts), 64):
             counted = [(i, c) for i, t in enumerate(texts[lo : lo + 64], lo) if (c := ngram_counts(t)) is not None]
-            for (i, c), s in zip(counted, self.scores([c for _, c in counted]), strict=True):
-                n, both = int(c.sum()), s + self.prior
+            for (i, (bucket, often)), s in zip(counted, self.scores([c for _, c in counted]), strict=True):
+                n, both = int(often.sum()), s + self.prior
                 k = int(np.argmax(both))
-                at = np.flatnonzero(c)
-                least = expected[k] - MARGIN - DEVIATIONS * spread[k] / np.sqrt(n / len(ORDERS))
-                out[i] = Verdict(self.languages[k], float(1.0 / np.exp(both - both[k]).sum()), bool(c[at] @ floored[at, k] / n >= least))
+                least = mean[k] - MARGIN - DEVIATIONS * spread[k] / np.sqrt(n / len(ORDERS))
+                out[i] = Verdict(self.languages[k], float(1.0 / np.exp(both - both[k]).sum()), bool(often @ floored[bucket, k] / n >= least))
         return out
 
 
@@ -164,7 +186,7 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang") -> Model:
                     sums[la], rows[la] = np.zeros(BUCKETS, dtype=np.int64), 0
                 rows[la] += 1
                 if (c := ngram_counts(t)) is not None:
-                    sums[la] += c
+                    sums[la][c[0]] += c[1]
         yield from sent()
 
     def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 _WORDS: dict[bytes, int] = {}
-_MOST_WORDS = 500_000
+_MOST_WORDS = 100_000
 _M = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
 
