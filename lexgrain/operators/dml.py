@@ -56,9 +56,11 @@ def duplicate_keys(rows: DataFrame, *key: str) -> DataFrame:
 
 
 def log_rows(queries: DataFrame) -> DataFrame:
-    """Query-log rows with an id; success means results and no error. Token counts default to null, elapsed to 3 decimals."""
+    """Query-log rows with an id; success means results and no error. Elapsed to 3 decimals; token usage is null where unknown."""
+    usage = {c: F.lit(None).cast("int") for c in ("input_tokens", "output_tokens", "total_tokens") if c not in queries.columns}
     return queries.withColumns(
-        {"id": F.expr("uuid()"), "retrieval_success": (F.coalesce("source_count", F.lit(0)) > 0) & F.col("error_message").isNull(), "response_time_seconds": F.round("response_time_seconds", 3)}
+        usage
+        | {"id": F.expr("uuid()"), "retrieval_success": (F.coalesce("source_count", F.lit(0)) > 0) & F.col("error_message").isNull(), "response_time_seconds": F.round("response_time_seconds", 3)}
     )
 
 

@@ -53,10 +53,10 @@ def macro_average(scores: DataFrame, *columns: str, gaps: DataFrame | None = Non
     return own.agg(F.count("*").alias("n_questions"), *[F.avg(c).alias(c) for c in columns])
 
 
-def compare(old: DataFrame, new: DataFrame, metric: str) -> DataFrame:
-    """(qid, old, new, flag): WIN where new is better, LOSS where it is worse, else SAME."""
+def compare(old: DataFrame, new: DataFrame, metric: str, flags: tuple[str, str, str] = ("WIN", "LOSS", "SAME")) -> DataFrame:
+    """(qid, old, new, flag): the first of ``flags`` where new is better, the second where it is worse, else the third."""
     both = old.select("qid", F.col(metric).alias("old")).join(new.select("qid", F.col(metric).alias("new")), "qid")
-    return both.withColumn("flag", F.when(F.col("new") > F.col("old"), "WIN").when(F.col("new") < F.col("old"), "LOSS").otherwise("SAME"))
+    return both.withColumn("flag", F.when(F.col("new") > F.col("old"), flags[0]).when(F.col("new") < F.col("old"), flags[1]).otherwise(flags[2]))
 
 
 def probe(paragraphs: DataFrame, case: DataFrame, top: int = 40) -> DataFrame:

@@ -38,6 +38,11 @@ def first_value(rows: DataFrame, entity: str, value: str) -> DataFrame:
     return rows.groupBy(entity).agg(F.min(value).alias(value))
 
 
+def manifestation(rows: DataFrame, entity: str, kind: str, place: str, wanted: str = "fmx4", document: str = "/DOC_1") -> DataFrame:
+    """(entity, url): the document of each entity's first manifestation of the wanted kind (least place); without one, no row."""
+    return first_value(rows.where(F.col(kind) == wanted), entity, place).select(entity, F.concat(F.col(place), F.lit(document)).alias("url"))
+
+
 def pivot(rows: DataFrame, scalars: list[str], arrays: list[str], not_self: list[str] = ()) -> DataFrame:
     """One record per entity: the least value of scalar fields, sorted distinct arrays of the others; ``not_self`` drops the entity itself."""
     is_field = lambda f: F.col("field") == f

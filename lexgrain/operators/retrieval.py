@@ -6,6 +6,7 @@ breaks ties explicitly.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from operator import and_
 
@@ -108,11 +109,30 @@ def fuse_weighted(merged: DataFrame, top: int = 15, wv: float = VECTOR_WEIGHT, w
 
 
 def fuse_queries(fused: DataFrame, variant_of: DataFrame, top: int = POOL) -> DataFrame:
-    """Scores of the variants (qid -> question) of a question summed by id."""
-    summed = fused.join(variant_of, "qid").groupBy("question", "id").agg(F.sum("hybrid_score").alias("hybrid_score"))
+    """Scores of the variants (qid -> question) of a question summed by id, to 12 places: sums depend on their order."""
+    summed = fused.join(variant_of, "qid").groupBy("question", "id").agg(F.round(F.sum("hybrid_score"), 12).alias("hybrid_score"))
     return ranked(summed, "question", F.col("hybrid_score").desc(), F.col("id"), name="pool_rank", top=top)
 
 
+def candidates_json(pool: DataFrame, *fields: str, text: str = "text", most: int = 2000, rank: str = "pool_rank") -> DataFrame:
+    """(qid, candidates): the pool as a JSON array of objects in its order: id (place), ``fields``, and ``most`` characters of text.
+
+    A reranking service takes that much of a text; null fields are left out.
+    """
+    one = F.struct(F.col(rank).alias("id"), *[F.col(f) for f in fields], F.substring(text, 1, most).alias("text"))
+    gathered = pool.groupBy("qid").agg(F.array_sort(F.collect_list(one)).alias("_rows"))
+    return gathered.select("qid", F.to_json("_rows").alias("candidates"))
+
+
+def answer_prompt(context: DataFrame, questions: DataFrame, template: str) -> DataFrame:
+    """(qid, prompt): ``template`` with {sources}, {question} and {conversation} filled in from context (qid, context) and
+    questions (qid, question, conversation). A question without sources or conversation gets empty ones."""
+    both = questions.join(context, "qid", "left")
+    fill = {"{sources}": "context", "{question}": "question", "{conversation}": "conversation"}
+    parts = [F.coalesce(F.col(fill[p]), F.lit("")) if p in fill else F.lit(p) for p in re.split(r"(\{sources\}|\{question\}|\{conversation\})", template) if p]
+    return both.select("qid", F.concat(*parts).alias("prompt"))
+
+
 def rerank(pool: DataFrame, scores: DataFrame, authority: DataFrame | None = None, final: int = FINAL, fallback: str = "pool") -> DataFrame:
     """Injected scores (qid, position, score[, reason]) joined to the pool by position; missing ones count 0.
 

@@ -32,6 +32,17 @@ class HashedEmbedder:
         return (out / np.where(size > 0, size, 1)).tolist()
 
 
+#: Letters that LetterEmbedder counts.
+LETTERS = "aeinorst"
+
+
+class LetterEmbedder:
+    """How often each of LETTERS occurs, either case: a stand-in whose vectors can be computed anywhere."""
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        return [[float(t.count(c)) for c in LETTERS] for t in map(str.lower, texts)]
+
+
 class RetryingEmbedder:
     """Calls another embedder again after a failure, waiting longer each time; the last failure is raised."""
 
@@ -68,9 +79,56 @@ def embed(rows: DataFrame, key: str, text: str, embedder: Embedder, batch: int =
     return rows.select(key, F.substring(F.coalesce(text, F.lit("")), 1, most).alias("t")).mapInArrow(run, f"`{key}` {kind}, embedding array<float>")
 
 
-def rewrite(questions: DataFrame) -> DataFrame:
-    """Standalone questions; the stand-in leaves them as they are."""
-    return questions
+class Rewriter(Protocol):
+    def rewrite(self, context: str, question: str) -> str: ...
+
+
+class LastLineRewriter:
+    """Puts the last line of the conversation before the question: a stand-in that shows what a service would be given."""
+
+    def rewrite(self, context: str, question: str) -> str:
+        return f"{context.rpartition(chr(10))[2]} | {question}" if context else question
+
+
+def rewrite(questions: DataFrame, rewriter: Rewriter | None = None, key: str = "conv_id", context: str = "context", question: str = "question") -> DataFrame:
+    """(key, question) made standalone from the conversation so far; without a service, or an answer, the question as it is."""
+    if rewriter is None:
+        return questions.select(key, question)
+
+    def run(batches):
+        for b in batches:
+            out = [(rewriter.rewrite(c or "", q or "") or "").strip() or q for c, q in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=[key, question])
+
+    return questions.select(key, context, question).mapInArrow(run, f"`{key}` {questions.schema[key].dataType.simpleString()}, `{question}` string")
+
+
+#: Kinds of content that are asked for in turn.
+ACCEPT = ("application/xhtml+xml", "text/html")
+
+
+class Fetcher(Protocol):
+    def get(self, key: str, accept: str) -> tuple[int, str]:
+        """(HTTP status, body)."""
+
+
+def fetch(wanted: DataFrame, fetcher: Fetcher, key: str = "key", accept: tuple[str, ...] = ACCEPT) -> DataFrame:
+    """(key, content): the first kind of content that is not empty. 404 and 406 count as empty, other errors end the task."""
+
+    def one(k: str) -> str:
+        for kind in accept:
+            status, body = fetcher.get(k, kind)
+            if status not in (200, 404, 406):
+                raise OSError(f"status {status} for {k}")
+            if status == 200 and body.strip():
+                return body
+        return ""
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([one(str(k)) for k in b.column(0).to_pylist()], pa.string())], names=[key, "content"])
+
+    return wanted.select(key).mapInArrow(run, f"`{key}` {wanted.schema[key].dataType.simpleString()}, content string")
 
 
 def expand(questions: DataFrame, variants: DataFrame | None = None) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from . import ports
 from .functions import celex, dates, fulltext, text
 from .operators import citations, dml, documents, evaluation, graph, metadata, reports, retrieval
+from .plans.lineage import shared_dir, stored
 from .plans.sizes import broadcast_if_small
 from .sources.readers import table
 from .streaming.incremental import index_stream
@@ -43,13 +44,8 @@ def corpus(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
 
 
-def questions(spark: SparkSession, d: str, n: int) -> DataFrame:
-    """The first n vectors as questions: a fixed question set, compared with the whole corpus."""
-    return table(spark, d, "embeddings").where(F.col("vec_id") < n).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query_vector"))
-
-
-def every_question(spark: SparkSession, d: str) -> DataFrame:
-    """Every fiftieth vector as a question: the set grows with the table."""
+def questions(spark: SparkSession, d: str) -> DataFrame:
+    """Every fiftieth vector as a question: the set grows with the table, and each is compared with the whole corpus."""
     return table(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query_vector"))
 
 
@@ -68,13 +64,8 @@ def keyword_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def arms(spark: SparkSession, d: str, k: int = retrieval.PER_ARM) -> DataFrame:
-    vector = retrieval.vector_arm(corpus(spark, d), questions(spark, d, 5), k).withColumn("score", r6("score"))
-    return retrieval.merge_arms(vector, retrieval.keyword_arm(keyword_scores(spark, d), k))
-
-
-def arms_all(spark: SparkSession, d: str, k: int = retrieval.PER_ARM) -> DataFrame:
     """The arms of every question; the words are dealt to the questions in turn."""
-    asked = every_question(spark, d)
+    asked = questions(spark, d)
     vector = retrieval.vector_arm(corpus(spark, d), asked, k).withColumn("score", r6("score"))
     turn = broadcast_if_small(asked.select(F.col("qid").alias("asked"), F.expr("qid div 50 % 5").alias("qid")))
     keyword = retrieval.keyword_arm(keyword_scores(spark, d), k).join(turn, "qid").select(F.col("asked").alias("qid"), "id", "score", "rank")
@@ -97,29 +88,40 @@ def merged(spark: SparkSession, d: str) -> DataFrame:
 
 
 def citing_text(spark: SparkSession, d: str) -> DataFrame:
+    """Sentences with every cue phrase and with single, listed, bare and old-style citations, one without any."""
     line = table(spark, d, "lineitem")
-    number, yr = F.pmod(F.col("l_partkey"), F.lit(999)) + 1, F.date_format("l_shipdate", "yy")
-    t = F.concat(F.lit("(see Case C-"), number.cast("string"), F.lit("/"), yr, F.lit(", paragraph "), F.col("l_linenumber").cast("string"), F.lit(")"))
-    return line.select(F.col("l_orderkey").cast("string").alias("celex"), F.col("l_linenumber").alias("paragraph_number"), t.alias("text"))
+    n, yr = (F.pmod(F.col("l_partkey"), F.lit(999)) + 1).cast("string"), F.date_format("l_shipdate", "yy")
+    cues = F.lit([c for phrases in celex.RELATION_CUES.values() for c in phrases] + [""])
+    cue = F.element_at(cues, (F.pmod("l_orderkey", F.size(cues)) + 1).cast("int"))
+    forms = F.array(
+        F.concat(F.lit("Case C-"), n, F.lit("/"), yr, F.lit(" Some v Other, paragraph "), F.col("l_linenumber").cast("string")),
+        F.concat(F.lit("Joined Cases C-"), n, F.lit("/"), yr, F.lit(" and C\u2011"), n, F.lit("1/"), yr, F.lit(" Some v Other, paragraphs 12 and 13")),
+        F.concat(F.lit("T-"), n, F.lit("/"), F.date_format("l_shipdate", "yyyy")),
+        F.concat(F.lit("Case "), n, F.lit("/64 Old v Older")),
+        F.concat(F.lit("Cases "), n, F.lit("/62, "), n, F.lit("2/62 to F-3/05")),
+        F.lit("no decision at all, 12/2 apart"),
+    )
+    form = F.element_at(forms, (F.pmod("l_suppkey", F.lit(6)) + 1).cast("int"))
+    text_ = F.concat(F.lit("It follows "), cue, F.lit(" "), form, F.lit(", that the plea fails."))
+    return line.select(F.col("l_orderkey").cast("string").alias("celex"), F.col("l_linenumber").alias("paragraph_number"), text_.alias("text"))
 
 
 SQL_DOCS = "toks AS (SELECT doc_id, lang, source, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+')) AS lexeme FROM documents)"
 SQL_COS = "list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))))"
 SQL_VECTOR = f"""
-sims AS (SELECT b.vec_id AS qid, a.vec_id AS id, {SQL_COS} AS raw FROM embeddings a, embeddings b WHERE b.vec_id < 5),
+sims AS (SELECT b.vec_id AS qid, a.vec_id AS id, {SQL_COS} AS raw FROM embeddings a, embeddings b WHERE b.vec_id % 50 = 0),
 v AS (SELECT * FROM (SELECT qid, id, round(raw, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY raw DESC, id) AS rank FROM sims) WHERE rank <= 40)"""
 SQL_WORDS = "words(qid, lexeme) AS (VALUES (0, 'the'), (1, 'of'), (2, 'de'), (3, 'und'), (4, 'la'))"
 SQL_KEYWORD = f"""{SQL_DOCS}, {SQL_WORDS},
 kw AS (SELECT qid, doc_id AS id, round(count(*) * 0.1, 6) AS score FROM toks JOIN words USING (lexeme) GROUP BY 1, 2),
 k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM kw) WHERE rank <= 40)"""
-SQL_MERGED = f"""{SQL_VECTOR}, {SQL_KEYWORD},
+SQL_ARMS = f"""{SQL_VECTOR}, {SQL_KEYWORD.replace("k AS (SELECT * FROM", "kq AS (SELECT * FROM")},
+k AS (SELECT b.vec_id AS qid, kq.id, kq.score, kq.rank FROM kq JOIN embeddings b ON b.vec_id % 50 = 0 AND b.vec_id // 50 % 5 = kq.qid)"""
+SQL_MERGED = f"""{SQL_ARMS},
 m AS (SELECT coalesce(v.qid, k.qid) AS qid, coalesce(v.id, k.id) AS id, coalesce(v.score, 0) AS vector_score, v.rank AS vector_rank, coalesce(k.score, 0) AS keyword_score, k.rank AS keyword_rank,
   CASE WHEN v.id IS NOT NULL AND k.id IS NOT NULL THEN 'both' WHEN v.id IS NOT NULL THEN 'vector' ELSE 'keyword' END AS source FROM v FULL JOIN k ON v.qid = k.qid AND v.id = k.id),
 s AS (SELECT *, coalesce(1.0 / (60.0 + vector_rank), 0) + coalesce(1.0 / (60.0 + keyword_rank), 0) AS rrf FROM m),
 f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rrf DESC, vector_rank ASC NULLS LAST, keyword_rank ASC NULLS LAST, id) AS pool_rank FROM s) WHERE pool_rank <= 50)"""
-SQL_MERGED_ALL = SQL_MERGED.replace("b.vec_id < 5", "b.vec_id % 50 = 0").replace("\nk AS (", "\nkq AS (").replace(
-    "\nm AS (", "\nk AS (SELECT b.vec_id AS qid, kq.id, kq.score, kq.rank FROM kq JOIN embeddings b ON b.vec_id % 50 = 0 AND b.vec_id // 50 % 5 = kq.qid),\nm AS ("
-)
 SQL_EDGES = """raw AS (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate, l_discount, l_tax) AS dst,
   CASE WHEN l_linestatus = 'O' THEN 'text' ELSE 'cellar' END AS source, CASE WHEN l_linestatus = 'O' THEN l_returnflag END AS rel FROM lineitem),
 edges AS (SELECT src, dst, count(*) FILTER (WHERE source = 'text') AS mention_count, mode() WITHIN GROUP (ORDER BY rel) AS dominant_relation_type,
@@ -129,67 +131,38 @@ edges AS (SELECT src, dst, count(*) FILTER (WHERE source = 'text') AS mention_co
 # ---- vector search -------------------------------------------------------------------------------------------------
 
 
-@query(f"SELECT qid, id, score, rank FROM (WITH {SQL_VECTOR} SELECT * FROM v WHERE qid = 0)")
+@query(f"SELECT qid, id, score, rank FROM (WITH {SQL_VECTOR} SELECT * FROM v)")
 def vector_topk_cosine(spark: SparkSession, d: str) -> DataFrame:
-    one = questions(spark, d, 1)
-    return retrieval.vector_arm(corpus(spark, d), one, 40).select("qid", "id", r6("score").alias("score"), "rank")
+    return retrieval.vector_arm(corpus(spark, d), questions(spark, d), 40).select("qid", "id", r6("score").alias("score"), "rank")
 
 
-@query("""WITH s AS (SELECT a.vec_id AS id, list_sum(list_transform(list_zip(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS raw
-FROM embeddings a, embeddings b WHERE b.vec_id = 0) SELECT id, round(raw, 6) AS distance FROM s ORDER BY raw, id LIMIT 8""")
+@query("""WITH s AS (SELECT b.vec_id AS qid, a.vec_id AS id, list_sum(list_transform(list_zip(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS raw
+FROM embeddings a, embeddings b WHERE b.vec_id % 50 = 0) SELECT qid, id, distance, rank FROM (SELECT qid, id, round(raw, 6) AS distance, row_number() OVER (PARTITION BY qid ORDER BY raw, id) AS rank FROM s) WHERE rank <= 8""")
 def vector_topk_l2(spark: SparkSession, d: str) -> DataFrame:
-    hits = retrieval.vector_arm(corpus(spark, d), questions(spark, d, 1), 8, metric="l2")
-    return hits.select("id", r6("score").alias("distance"))
+    hits = retrieval.vector_arm(corpus(spark, d), questions(spark, d), 8, metric="l2")
+    return hits.select("qid", "id", r6("score").alias("distance"), "rank")
 
 
-@query(f"""WITH s AS (SELECT b.vec_id AS qid, a.vec_id AS id, {SQL_COS} AS raw FROM embeddings a, embeddings b WHERE b.vec_id < 20 AND a.vec_id <> b.vec_id)
+@query(f"""WITH s AS (SELECT b.vec_id AS qid, a.vec_id AS id, {SQL_COS} AS raw FROM embeddings a, embeddings b WHERE b.vec_id % 50 = 0 AND a.vec_id <> b.vec_id)
 SELECT qid, id, score, rank FROM (SELECT qid, id, round(raw, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY raw DESC, id) AS rank FROM s) WHERE rank <= 10""")
 def vector_topk_batch(spark: SparkSession, d: str) -> DataFrame:
-    hits = retrieval.vector_arm(corpus(spark, d), questions(spark, d, 20), 10, exclude_self=True)
+    hits = retrieval.vector_arm(corpus(spark, d), questions(spark, d), 10, exclude_self=True)
     return hits.select("qid", "id", r6("score").alias("score"), "rank")
 
 
 @query(f"""WITH c AS (SELECT e.* FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id WHERE d.lang IN ('en', 'fr')),
-s AS (SELECT b.vec_id AS qid, a.vec_id AS id, {SQL_COS} AS raw FROM c a, embeddings b WHERE b.vec_id < 5)
+s AS (SELECT b.vec_id AS qid, a.vec_id AS id, {SQL_COS} AS raw FROM c a, embeddings b WHERE b.vec_id % 50 = 0)
 SELECT qid, id, score, rank FROM (SELECT qid, id, round(raw, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY raw DESC, id) AS rank FROM s) WHERE rank <= 10""")
 def vector_topk_filtered(spark: SparkSession, d: str) -> DataFrame:
     facets = docs(spark, d).select(F.col("doc_id").alias("id"), "lang")
     own = retrieval.with_facets(corpus(spark, d), facets, "id", retrieval.facet(equal={"lang": ["en", "fr"]}))
-    return retrieval.vector_arm(own, questions(spark, d, 5), 10).select("qid", "id", r6("score").alias("score"), "rank")
+    return retrieval.vector_arm(own, questions(spark, d), 10).select("qid", "id", r6("score").alias("score"), "rank")
 
 
 @query()
 def vector_topk_lsh(spark: SparkSession, d: str) -> DataFrame:
     """Approximate; its recall against the exact arm is measured in the tests."""
-    return retrieval.lsh_arm(corpus(spark, d), every_question(spark, d), 10).select("qid", "id", r6("score").alias("score"), "rank")
-
-
-# The same for every question of the table.
-
-
-@query(ORACLE_SQL["vector_topk_cosine"].replace("b.vec_id < 5", "b.vec_id % 50 = 0").replace(" WHERE qid = 0", ""))
-def vector_topk_cosine_all(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.vector_arm(corpus(spark, d), every_question(spark, d), 40).select("qid", "id", r6("score").alias("score"), "rank")
-
-
-@query("""WITH s AS (SELECT b.vec_id AS qid, a.vec_id AS id, list_sum(list_transform(list_zip(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS raw
-FROM embeddings a, embeddings b WHERE b.vec_id % 50 = 0) SELECT qid, id, distance, rank FROM (SELECT qid, id, round(raw, 6) AS distance, row_number() OVER (PARTITION BY qid ORDER BY raw, id) AS rank FROM s) WHERE rank <= 8""")
-def vector_topk_l2_all(spark: SparkSession, d: str) -> DataFrame:
-    hits = retrieval.vector_arm(corpus(spark, d), every_question(spark, d), 8, metric="l2")
-    return hits.select("qid", "id", r6("score").alias("distance"), "rank")
-
-
-@query(ORACLE_SQL["vector_topk_batch"].replace("b.vec_id < 20", "b.vec_id % 50 = 0"))
-def vector_topk_batch_all(spark: SparkSession, d: str) -> DataFrame:
-    hits = retrieval.vector_arm(corpus(spark, d), every_question(spark, d), 10, exclude_self=True)
-    return hits.select("qid", "id", r6("score").alias("score"), "rank")
-
-
-@query(ORACLE_SQL["vector_topk_filtered"].replace("b.vec_id < 5", "b.vec_id % 50 = 0"))
-def vector_topk_filtered_all(spark: SparkSession, d: str) -> DataFrame:
-    facets = docs(spark, d).select(F.col("doc_id").alias("id"), "lang")
-    own = retrieval.with_facets(corpus(spark, d), facets, "id", retrieval.facet(equal={"lang": ["en", "fr"]}))
-    return retrieval.vector_arm(own, every_question(spark, d), 10).select("qid", "id", r6("score").alias("score"), "rank")
+    return retrieval.lsh_arm(corpus(spark, d), questions(spark, d), 10).select("qid", "id", r6("score").alias("score"), "rank")
 
 
 # ---- full text -----------------------------------------------------------------------------------------------------
@@ -259,29 +232,12 @@ def hybrid_rrf_faceted(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.fuse_rrf(own).select(*FUSED, r6("hybrid_score").alias("hybrid_score"), "pool_rank")
 
 
-@query(ORACLE_SQL["hybrid_rrf"].replace(SQL_MERGED, SQL_MERGED_ALL))
-def hybrid_rrf_all(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.fuse_rrf(arms_all(spark, d), pool=8).select(*FUSED, r6("hybrid_score").alias("hybrid_score"), "pool_rank")
-
-
-@query(ORACLE_SQL["hybrid_weighted"].replace(SQL_MERGED, SQL_MERGED_ALL))
-def hybrid_weighted_all(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.fuse_weighted(arms_all(spark, d), 15).select(*FUSED, r6("hybrid_score").alias("hybrid_score"), "pool_rank")
-
-
-@query(ORACLE_SQL["hybrid_rrf_faceted"].replace(SQL_MERGED, SQL_MERGED_ALL))
-def hybrid_rrf_faceted_all(spark: SparkSession, d: str) -> DataFrame:
-    condition = retrieval.facet(equal={"lang": ["en", "de"], "source": []}, between={"n_chars": (200, 5000)})
-    own = retrieval.with_facets(arms_all(spark, d), docs(spark, d).withColumnRenamed("doc_id", "id"), "id", condition)
-    return retrieval.fuse_rrf(own).select(*FUSED, r6("hybrid_score").alias("hybrid_score"), "pool_rank")
-
-
-@query(f"""WITH {SQL_MERGED}, t AS (SELECT CASE WHEN qid < 3 THEN 0 ELSE 1 END AS question, id, sum(rrf) AS total FROM f GROUP BY 1, 2)
+@query(f"""WITH {SQL_MERGED}, t AS (SELECT qid // 150 * 150 AS question, id, sum(rrf) AS total FROM f GROUP BY 1, 2)
 SELECT question, id, round(total, 6) AS hybrid_score, pool_rank FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY round(total, 12) DESC, id) AS pool_rank FROM t) WHERE pool_rank <= 50""")
 def multi_query_rrf(spark: SparkSession, d: str) -> DataFrame:
-    variant = spark.createDataFrame([(0, 0), (1, 0), (2, 0), (3, 1), (4, 1)], "qid long, question long")
-    summed = retrieval.fuse_rrf(arms(spark, d)).join(F.broadcast(variant), "qid").groupBy("question", "id").agg(F.round(F.sum("hybrid_score"), 12).alias("hybrid_score"))
-    out = retrieval.ranked(summed, "question", F.col("hybrid_score").desc(), F.col("id"), name="pool_rank", top=50)
+    """Three questions that follow each other are taken as variants of the first."""
+    variant = broadcast_if_small(questions(spark, d).select("qid", F.expr("qid div 150 * 150").alias("question")))
+    out = retrieval.fuse_queries(retrieval.fuse_rrf(arms(spark, d)), variant)
     return out.select("question", "id", r6("hybrid_score").alias("hybrid_score"), "pool_rank")
 
 
@@ -315,12 +271,15 @@ def rerank_fallback_evaluation(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {SQL_MERGED}, q AS (SELECT qid, count(*) AS candidate_count FROM f GROUP BY 1)
-SELECT qid, candidate_count, least(candidate_count, 8) AS source_count, qid <> 3 AS retrieval_success FROM q""")
+SELECT qid, candidate_count, least(candidate_count, 8) AS source_count, qid % 150 <> 100 AS retrieval_success, CASE WHEN qid % 150 = 50 THEN 20 ELSE NULL END AS total_tokens, CAST(NULL AS INTEGER) AS input_tokens FROM q""")
 def query_log(spark: SparkSession, d: str) -> DataFrame:
-    """Log rows of a batch; the answer of question 3 is taken to have failed."""
+    """Log rows of a batch; the answers of some questions are taken to have failed, and some services to tell their usage."""
     sizes = retrieval.fuse_rrf(arms(spark, d)).groupBy("qid").agg(F.count("*").alias("candidate_count"))
-    own = sizes.select("qid", "candidate_count", F.least("candidate_count", F.lit(8)).alias("source_count"), F.when(F.col("qid") == 3, "timeout").alias("error_message"), F.lit(1.23456).alias("response_time_seconds"))
-    return dml.log_rows(own).select("qid", "candidate_count", "source_count", "retrieval_success")
+    own = sizes.select(
+        "qid", "candidate_count", F.least("candidate_count", F.lit(8)).alias("source_count"), F.when(F.col("qid") % 150 == 100, "timeout").alias("error_message"),
+        F.lit(1.23456).alias("response_time_seconds"), F.when(F.col("qid") % 150 == 50, 20).alias("total_tokens"),
+    )
+    return dml.log_rows(own).select("qid", "candidate_count", "source_count", "retrieval_success", "total_tokens", "input_tokens")
 
 
 @query(f"""WITH {SQL_MERGED}, j AS (SELECT s.*, coalesce(l.quality, 1) AS ok FROM s LEFT JOIN labels l ON l.doc_id = s.id)
@@ -331,18 +290,11 @@ def demoted_ranking(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.fuse_rrf(own, 50, 60, F.col("is_judgment").desc()).select("qid", "id", "is_judgment", "pool_rank")
 
 
-@query(f"""WITH {SQL_MERGED} SELECT qid, string_agg('[' || pool_rank || ']\nid: ' || id || '\nscore: ' || printf('%.4f', rrf) || '\ntext: ' || substr(d.text, 1, 200), '\n\n' ORDER BY pool_rank) AS context
+@query(f"""WITH {SQL_MERGED} SELECT qid, string_agg('[' || pool_rank || ']\nid: ' || id || '\nscore: ' || printf('%.4f', rrf) || '\ntext: ' || d.text, '\n\n' ORDER BY pool_rank) AS context
 FROM f JOIN documents d ON d.doc_id = f.id WHERE pool_rank <= 8 GROUP BY qid""")
 def rerank_context_blocks(spark: SparkSession, d: str) -> DataFrame:
-    top = retrieval.fuse_rrf(arms(spark, d), pool=8).join(docs(spark, d).select(F.col("doc_id").alias("id"), F.substring("text", 1, 200).alias("text")), "id")
-    own = top.withColumn("shown", F.format_string("%.4f", "hybrid_score"))
-    return retrieval.context_blocks(own, ("id", "id"), ("score", "shown"), ("text", "text"), rank="pool_rank")
-
-
-@query(ORACLE_SQL["rerank_context_blocks"].replace(SQL_MERGED, SQL_MERGED_ALL).replace("substr(d.text, 1, 200)", "d.text"))
-def rerank_context_blocks_all(spark: SparkSession, d: str) -> DataFrame:
     """Whole texts, for every question of the table."""
-    top = retrieval.fuse_rrf(arms_all(spark, d), pool=8).join(docs(spark, d).select(F.col("doc_id").alias("id"), "text"), "id")
+    top = retrieval.fuse_rrf(arms(spark, d), pool=8).join(docs(spark, d).select(F.col("doc_id").alias("id"), "text"), "id")
     own = top.withColumn("shown", F.format_string("%.4f", "hybrid_score"))
     return retrieval.context_blocks(own, ("id", "id"), ("score", "shown"), ("text", "text"), rank="pool_rank")
 
@@ -422,9 +374,21 @@ def celex_classify(spark: SparkSession, d: str) -> DataFrame:
     return own.select("celex", base.alias("base"), kind.alias("kind"))
 
 
-SQL_MENTIONS = """m AS (SELECT CAST(l_orderkey AS VARCHAR) AS celex, l_linenumber AS paragraph_number,
-'6' || CASE WHEN year(l_shipdate) % 100 >= 53 THEN 1900 + year(l_shipdate) % 100 ELSE 2000 + year(l_shipdate) % 100 END || 'CJ' || lpad(CAST(l_partkey % 999 + 1 AS VARCHAR), 4, '0') AS candidate_celex,
-l_linenumber AS cited_paragraph_number, 'see' AS relation_type, '(see' AS signal_phrase FROM lineitem)"""
+SQL_CUES = [(kind, c) for kind, phrases in celex.RELATION_CUES.items() for c in phrases]
+SQL_MENTIONS = f"""cues(k, kind, cue) AS (VALUES {", ".join(f"({k}, '{kind}', '{c}')" for k, (kind, c) in enumerate(SQL_CUES))}),
+base AS (SELECT CAST(l_orderkey AS VARCHAR) AS celex, l_linenumber AS paragraph_number, l_partkey % 999 + 1 AS n, year(l_shipdate) AS y, l_suppkey % 6 AS form,
+  'it follows ' || coalesce((SELECT cue FROM cues WHERE k = l_orderkey % {len(SQL_CUES) + 1}), '') || ' ' AS lead FROM lineitem),
+each AS (SELECT *, unnest(CASE form WHEN 0 THEN [{{'court': 'CJ', 'num': n, 'yr': y, 'pin': paragraph_number}}]
+  WHEN 1 THEN [{{'court': 'CJ', 'num': n, 'yr': y, 'pin': 12}}, {{'court': 'CJ', 'num': n * 10 + 1, 'yr': y, 'pin': 12}}] WHEN 2 THEN [{{'court': 'TJ', 'num': n, 'yr': y, 'pin': NULL}}]
+  WHEN 3 THEN [{{'court': 'CJ', 'num': n, 'yr': 1964, 'pin': NULL}}] WHEN 4 THEN [{{'court': 'CJ', 'num': n, 'yr': 1962, 'pin': NULL}}, {{'court': 'CJ', 'num': n * 10 + 2, 'yr': 1962, 'pin': NULL}}, {{'court': 'FJ', 'num': 3, 'yr': 2005, 'pin': NULL}}] END) AS x FROM base WHERE form < 5),
+found AS (SELECT *, (SELECT min(k) FROM cues WHERE contains(lead, cue)) AS k FROM each),
+m AS (SELECT celex, paragraph_number, '6' || CAST(x.yr AS VARCHAR) || x.court || lpad(CAST(x.num AS VARCHAR), CAST(greatest(4, length(CAST(x.num AS VARCHAR))) AS INTEGER), '0') AS candidate_celex, CAST(x.pin AS INTEGER) AS cited_paragraph_number,
+  coalesce(kind, 'cites') AS relation_type, trim(cue) AS signal_phrase FROM found LEFT JOIN cues USING (k))"""
+
+
+def mentions(spark: SparkSession, d: str) -> DataFrame:
+    """The citations, stored once: what follows reads them more than once."""
+    return stored(citations.extract(citing_text(spark, d)), "mentions")
 
 
 @query(f"WITH {SQL_MENTIONS} SELECT * FROM m")
@@ -432,7 +396,7 @@ def citation_extract(spark: SparkSession, d: str) -> DataFrame:
     return citations.extract(citing_text(spark, d)).drop("raw_reference")
 
 
-SQL_KNOWN = "known AS (SELECT DISTINCT candidate_celex AS cited_celex FROM m WHERE substr(candidate_celex, 8) < '0500')"
+SQL_KNOWN = "known AS (SELECT DISTINCT candidate_celex AS cited_celex FROM m WHERE substr(candidate_celex, 8, 4) < '0500')"
 
 
 def known(mentions: DataFrame) -> DataFrame:
@@ -440,9 +404,9 @@ def known(mentions: DataFrame) -> DataFrame:
 
 
 @query(f"""WITH {SQL_MENTIONS}, {SQL_KNOWN} SELECT m.celex, m.candidate_celex, k.cited_celex, count(*) AS n,
-CAST(round(max(0.5 + CASE WHEN k.cited_celex IS NOT NULL THEN 0.3 ELSE 0 END + 0.1 + 0.1), 2) AS FLOAT) AS confidence FROM m LEFT JOIN known k ON k.cited_celex = m.candidate_celex GROUP BY 1, 2, 3""")
+CAST(round(max(0.5 + CASE WHEN k.cited_celex IS NOT NULL THEN 0.3 ELSE 0 END + CASE WHEN m.cited_paragraph_number IS NOT NULL THEN 0.1 ELSE 0 END + CASE WHEN m.relation_type <> 'cites' THEN 0.1 ELSE 0 END), 2) AS FLOAT) AS confidence FROM m LEFT JOIN known k ON k.cited_celex = m.candidate_celex GROUP BY 1, 2, 3""")
 def citation_resolve_confidence(spark: SparkSession, d: str) -> DataFrame:
-    found = citations.extract(citing_text(spark, d))
+    found = mentions(spark, d)
     out = citations.resolve(found, known(found))
     return out.groupBy("celex", "candidate_celex", "cited_celex").agg(F.count("*").alias("n"), F.max("confidence").alias("confidence"))
 
@@ -450,7 +414,7 @@ def citation_resolve_confidence(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {SQL_MENTIONS}, {SQL_KNOWN} SELECT count(*) AS citations, count(k.cited_celex) AS resolved, count(*) - count(k.cited_celex) AS unresolved, round(count(k.cited_celex) / count(*), 6) AS resolution_rate
 FROM m LEFT JOIN known k ON k.cited_celex = m.candidate_celex""")
 def citation_stats(spark: SparkSession, d: str) -> DataFrame:
-    found = citations.extract(citing_text(spark, d))
+    found = mentions(spark, d)
     return citations.mention_stats(found, known(found)).withColumn("resolution_rate", r6("resolution_rate"))
 
 
@@ -551,9 +515,9 @@ def later_treatment(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- evaluation ----------------------------------------------------------------------------------------------------
 
-SQL_HITS_20 = f"""raw AS (SELECT b.vec_id AS qid, a.vec_id AS paragraph, a.vec_id // 3 AS case_id, b.label AS ql, a.label AS al, {SQL_COS} AS sim FROM embeddings a, embeddings b WHERE b.vec_id < 20 AND a.vec_id <> b.vec_id),
+SQL_HITS_20 = f"""raw AS (SELECT b.vec_id AS qid, a.vec_id AS paragraph, a.vec_id // 3 AS case_id, b.label AS ql, a.label AS al, {SQL_COS} AS sim FROM embeddings a, embeddings b WHERE b.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
 ret AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, paragraph) AS rank FROM raw) WHERE rank <= 40),
-gold AS (SELECT DISTINCT qid, case_id FROM raw WHERE ql = al AND paragraph < 60),
+gold AS (SELECT DISTINCT qid, case_id FROM raw WHERE ql = al),
 rk AS (SELECT qid, case_id, row_number() OVER (PARTITION BY qid ORDER BY min(rank), case_id) AS rank FROM ret GROUP BY qid, case_id)"""
 SQL_SCORES = f"""{SQL_HITS_20}, j AS (SELECT g.qid, g.case_id, rk.rank FROM gold g LEFT JOIN rk ON rk.qid = g.qid AND rk.case_id = g.case_id),
 sc AS (SELECT qid, count(*) FILTER (WHERE rank <= 10) / count(*) AS recall, coalesce(1.0 / min(rank), 0) AS mrr, coalesce(sum(CASE WHEN rank <= 10 THEN 1.0 / log2(rank + 1) END), 0) AS dcg, count(*) FILTER (WHERE rank <= 10) AS h FROM j GROUP BY qid),
@@ -561,44 +525,43 @@ scored AS (SELECT qid, recall, mrr, CASE WHEN h = 0 THEN 0 ELSE dcg / (SELECT su
 
 
 def retrieved(spark: SparkSession, d: str) -> DataFrame:
-    hits = retrieval.vector_arm(corpus(spark, d), questions(spark, d, 20), 40, exclude_self=True)
+    hits = retrieval.vector_arm(corpus(spark, d), questions(spark, d), 40, exclude_self=True)
     return hits.select("qid", F.col("id").alias("paragraph"), F.floor(F.col("id") / 3).alias("case_id"), "rank")
 
 
 def label_gold(spark: SparkSession, d: str) -> DataFrame:
-    """Paragraphs of the same label among the first sixty vectors count as relevant."""
-    e = corpus(spark, d)
-    q = e.where("id < 20").select(F.col("id").alias("qid"), "label")
-    return e.where("id < 60").join(F.broadcast(q), "label").where("id <> qid").select("qid", F.floor(F.col("id") / 3).alias("case_id"), F.col("id").alias("paragraph"))
+    """Every other vector of the question's label."""
+    e = corpus(spark, d).select("id", "label")
+    q = e.where("id % 50 = 0").select(F.col("id").alias("qid"), "label")
+    return e.join(broadcast_if_small(q), "label").where("id <> qid").select("qid", F.floor(F.col("id") / 3).alias("case_id"), F.col("id").alias("paragraph"))
 
 
 @query(f"WITH {SQL_SCORES} SELECT qid, round(recall, 6) AS recall, round(mrr, 6) AS mrr, round(ndcg, 6) AS ndcg FROM scored")
 def eval_recall_mrr_ndcg(spark: SparkSession, d: str) -> DataFrame:
-    scores = evaluation.score_cases(evaluation.case_ranking(retrieved(spark, d)), label_gold(spark, d).select("qid", "case_id").distinct())
-    return scores.select("qid", r6("recall").alias("recall"), r6("mrr").alias("mrr"), r6("ndcg").alias("ndcg"))
+    (found,) = scores(spark, d, 10)
+    return found.select("qid", r6("recall").alias("recall"), r6("mrr").alias("mrr"), r6("ndcg").alias("ndcg"))
 
 
-@query(f"WITH {SQL_SCORES} SELECT count(*) AS n_questions, round(avg(recall), 6) AS recall, round(avg(mrr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg FROM scored WHERE qid % 5 <> 0")
+@query(f"WITH {SQL_SCORES} SELECT count(*) AS n_questions, round(avg(recall), 6) AS recall, round(avg(mrr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg FROM scored WHERE qid // 50 % 5 <> 0")
 def eval_macro_average(spark: SparkSession, d: str) -> DataFrame:
-    scores = evaluation.score_cases(evaluation.case_ranking(retrieved(spark, d)), label_gold(spark, d).select("qid", "case_id").distinct())
-    gaps = scores.where("qid % 5 = 0").select("qid")
-    out = evaluation.macro_average(scores, "recall", "mrr", "ndcg", gaps=gaps)
+    """Every fifth question is a gap."""
+    (found,) = scores(spark, d, 10)
+    out = evaluation.macro_average(found, "recall", "mrr", "ndcg", gaps=found.where("qid div 50 % 5 = 0").select("qid"))
     return out.select("n_questions", *[r6(c).alias(c) for c in ("recall", "mrr", "ndcg")])
 
 
-@query(f"""WITH {SQL_HITS_20}, g AS (SELECT DISTINCT qid, case_id, paragraph FROM raw WHERE ql = al AND paragraph < 60), q AS (SELECT vec_id AS qid FROM embeddings WHERE vec_id < 25),
+@query(f"""WITH {SQL_HITS_20}, g AS (SELECT DISTINCT qid, case_id, paragraph FROM raw WHERE ql = al), q AS (SELECT vec_id AS qid FROM embeddings WHERE vec_id % 50 = 0),
 s AS (SELECT g.qid, count(*) AS n, count(r.paragraph) AS hit FROM g LEFT JOIN ret r ON r.qid = g.qid AND r.paragraph = g.paragraph AND r.rank <= 8 GROUP BY 1)
 SELECT q.qid, round(coalesce(s.hit, 0) / greatest(coalesce(s.n, 0), 1), 6) AS paragraph_recall FROM q LEFT JOIN s ON s.qid = q.qid""")
 def eval_paragraph_recall(spark: SparkSession, d: str) -> DataFrame:
-    out = evaluation.paragraph_recall(retrieved(spark, d).where("rank <= 8"), label_gold(spark, d), questions(spark, d, 25))
+    out = evaluation.paragraph_recall(retrieved(spark, d).where("rank <= 8"), label_gold(spark, d), questions(spark, d))
     return out.select("qid", r6("paragraph_recall").alias("paragraph_recall"))
 
 
 @query(f"""WITH {SQL_SCORES}, sb AS (SELECT qid, count(*) FILTER (WHERE rank <= 3) / count(*) AS recall FROM j GROUP BY qid)
 SELECT a.qid, round(b.recall, 6) AS old, round(a.recall, 6) AS new, CASE WHEN a.recall > b.recall THEN 'WIN' WHEN a.recall < b.recall THEN 'LOSS' ELSE 'SAME' END AS flag FROM scored a JOIN sb b USING (qid)""")
 def eval_two_corpora(spark: SparkSession, d: str) -> DataFrame:
-    rank, gold = evaluation.case_ranking(retrieved(spark, d)), label_gold(spark, d).select("qid", "case_id").distinct()
-    out = evaluation.compare(evaluation.score_cases(rank, gold, k=3), evaluation.score_cases(rank, gold, k=10), "recall")
+    out = evaluation.compare(*scores(spark, d, 3, 10), "recall")
     return out.select("qid", r6("old").alias("old"), r6("new").alias("new"), "flag")
 
 
@@ -609,62 +572,11 @@ def eval_case_probe(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.probe(retrieved(spark, d), case, 20).select("qid", "first_rank", F.col("best")[0]["paragraph"].alias("best"), "in_top")
 
 
-# The same for every question of the table, with every other vector of the question's label as gold.
-
-
-def _all(sql: str) -> str:
-    return sql.replace("b.vec_id < 20", "b.vec_id % 50 = 0").replace("vec_id < 25", "vec_id % 50 = 0").replace(" AND paragraph < 60", "").replace("qid % 5 <> 0", "qid // 50 % 5 <> 0")
-
-
-def retrieved_all(spark: SparkSession, d: str) -> DataFrame:
-    hits = retrieval.vector_arm(corpus(spark, d), every_question(spark, d), 40, exclude_self=True)
-    return hits.select("qid", F.col("id").alias("paragraph"), F.floor(F.col("id") / 3).alias("case_id"), "rank")
-
-
-def label_gold_all(spark: SparkSession, d: str) -> DataFrame:
-    """Every other vector of the question's label."""
-    e = corpus(spark, d).select("id", "label")
-    q = e.where("id % 50 = 0").select(F.col("id").alias("qid"), "label")
-    return e.join(broadcast_if_small(q), "label").where("id <> qid").select("qid", F.floor(F.col("id") / 3).alias("case_id"), F.col("id").alias("paragraph"))
-
-
-def scores_all(spark: SparkSession, d: str, *ks: int) -> list[DataFrame]:
-    rank, gold = evaluation.case_ranking(retrieved_all(spark, d)), label_gold_all(spark, d).select("qid", "case_id").distinct()
+def scores(spark: SparkSession, d: str, *ks: int) -> list[DataFrame]:
+    rank, gold = evaluation.case_ranking(retrieved(spark, d)), label_gold(spark, d).select("qid", "case_id").distinct()
     return [evaluation.score_cases(rank, gold, k=k) for k in ks]
 
 
-@query(_all(ORACLE_SQL["eval_recall_mrr_ndcg"]))
-def eval_recall_mrr_ndcg_all(spark: SparkSession, d: str) -> DataFrame:
-    (scores,) = scores_all(spark, d, 10)
-    return scores.select("qid", r6("recall").alias("recall"), r6("mrr").alias("mrr"), r6("ndcg").alias("ndcg"))
-
-
-@query(_all(ORACLE_SQL["eval_macro_average"]))
-def eval_macro_average_all(spark: SparkSession, d: str) -> DataFrame:
-    """Every fifth question is a gap."""
-    (scores,) = scores_all(spark, d, 10)
-    out = evaluation.macro_average(scores, "recall", "mrr", "ndcg", gaps=scores.where("qid div 50 % 5 = 0").select("qid"))
-    return out.select("n_questions", *[r6(c).alias(c) for c in ("recall", "mrr", "ndcg")])
-
-
-@query(_all(ORACLE_SQL["eval_paragraph_recall"]))
-def eval_paragraph_recall_all(spark: SparkSession, d: str) -> DataFrame:
-    out = evaluation.paragraph_recall(retrieved_all(spark, d).where("rank <= 8"), label_gold_all(spark, d), every_question(spark, d))
-    return out.select("qid", r6("paragraph_recall").alias("paragraph_recall"))
-
-
-@query(_all(ORACLE_SQL["eval_two_corpora"]))
-def eval_two_corpora_all(spark: SparkSession, d: str) -> DataFrame:
-    out = evaluation.compare(*scores_all(spark, d, 3, 10), "recall")
-    return out.select("qid", r6("old").alias("old"), r6("new").alias("new"), "flag")
-
-
-@query(_all(ORACLE_SQL["eval_case_probe"]))
-def eval_case_probe_all(spark: SparkSession, d: str) -> DataFrame:
-    case = label_gold_all(spark, d).groupBy("qid").agg(F.min("case_id").alias("case_id"))
-    return evaluation.probe(retrieved_all(spark, d), case, 20).select("qid", "first_rank", F.col("best")[0]["paragraph"].alias("best"), "in_top")
-
-
 # ---- documents -----------------------------------------------------------------------------------------------------
 
 
@@ -691,15 +603,32 @@ def html_prose_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     return documents.parse_prose_native(table(spark, d, "pages"), "page_id", "html").select("page_id", "number", F.md5("text").alias("text_md5"))
 
 
-@query()
+def _plain(c: str) -> str:
+    return f"trim(regexp_replace(regexp_replace({c}, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
+SQL_ERA = f"""pr AS (SELECT page_id, unnest(xs) AS raw, generate_subscripts(xs, 1) AS pos FROM (SELECT page_id, regexp_extract_all(html, '(?is)<p\\b[^>]*>(.*?)</p>', 1) AS xs FROM pages)),
+inl AS (SELECT page_id, unnest(xs) AS raw, generate_subscripts(xs, 1) AS pos FROM (SELECT page_id, regexp_extract_all(html, '(?s)<p[^>]*>\\s*\\d{{1,3}}\\s*\\.?\\s*[A-Z(].*?</p>') AS xs FROM pages)),
+pt AS (SELECT page_id, pos, {_plain("raw")} AS text FROM pr), nt AS (SELECT page_id, pos, CAST(regexp_extract(raw, '^<p[^>]*>\\s*(\\d{{1,3}})', 1) AS INTEGER) AS number,
+  {_plain("regexp_extract(raw, '(?s)^<p[^>]*>\\s*\\d{1,3}\\s*\\.?\\s*(.*)</p>$', 1)")} AS text FROM inl),
+pk AS (SELECT page_id, pos, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS number, text FROM pt WHERE length(text) >= 40), nk AS (SELECT * FROM nt WHERE length(text) >= 20),
+sizes AS (SELECT p.page_id, (SELECT count(*) FROM pk WHERE pk.page_id = p.page_id) AS np, (SELECT count(*) FROM nk WHERE nk.page_id = p.page_id) AS nn FROM pages p),
+era AS (SELECT page_id, number, 'grounds' AS section, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS seq, text FROM
+  (SELECT pk.page_id, number, pos, text FROM pk JOIN sizes s USING (page_id) WHERE np >= nn + 3 UNION ALL SELECT nk.page_id, number, pos, text FROM nk JOIN sizes s USING (page_id) WHERE np < nn + 3))"""
+
+
+@query(f"WITH {SQL_ERA} SELECT * FROM era")
 def html_era_paragraphs(spark: SparkSession, d: str) -> DataFrame:
-    """Every era's parser over the pages (offsets and look-ahead have no SQL form); fixtures of each era are in the tests."""
+    """Every era's parser over the pages, which hold inline and prose paragraphs; fixtures of the other eras are in the tests."""
     return documents.parse_html(table(spark, d, "pages"), "page_id", "html")
 
 
-@query()
+@query(f"""WITH {SQL_ERA}, c AS (SELECT p.page_id, p.html, count(e.text) AS n FROM pages p LEFT JOIN era e USING (page_id) GROUP BY 1, 2),
+falls AS (SELECT page_id, bool_or(coalesce(number < b, false)) AS f FROM (SELECT page_id, number, lag(number) OVER (PARTITION BY page_id, section ORDER BY seq) AS b FROM era) GROUP BY 1)
+SELECT count(*) AS decisions, count(*) FILTER (WHERE coalesce(html, '') <> '' AND n > 0) AS ok, count(*) FILTER (WHERE coalesce(html, '') <> '' AND n = 0) AS no_paragraphs, count(*) FILTER (WHERE coalesce(html, '') = '') AS error,
+CAST(sum(n) AS BIGINT) AS paragraphs, (SELECT count(*) FROM falls WHERE f) AS not_monotonic, round(sum(n) / count(*), 6) AS per_decision FROM c""")
 def ingest_report(spark: SparkSession, d: str) -> DataFrame:
-    """Totals of parsing the pages (the parse has no SQL form)."""
+    """Totals of parsing the pages."""
     pages = table(spark, d, "pages")
     out = documents.ingest_report(pages.select("page_id", F.col("html").alias("content")), documents.parse_html(pages, "page_id", "html"), "page_id")
     return out.withColumn("per_decision", r6("per_decision"))
@@ -844,16 +773,17 @@ def pending_embeddings(spark: SparkSession, d: str) -> DataFrame:
 # ---- services and streams ------------------------------------------------------------------------------------------
 
 
-@query("SELECT doc_id, 64 AS dimensions FROM documents")
+@query(f"""WITH t AS (SELECT doc_id, lower(substr(coalesce(text, ''), 1, 8000)) AS t FROM documents)
+SELECT doc_id, concat_ws(',', {", ".join(f"length(t) - length(replace(t, '{c}', ''))" for c in ports.LETTERS)}) AS embedding FROM t""")
 def embed_backfill(spark: SparkSession, d: str) -> DataFrame:
-    return ports.embed(docs(spark, d), "doc_id", "text", ports.HashedEmbedder(64)).select("doc_id", F.size("embedding").alias("dimensions"))
+    """Embeddings of the first 8,000 characters, as the services take them, by a stand-in that counts letters."""
+    out = ports.embed(docs(spark, d), "doc_id", "text", ports.RetryingEmbedder(ports.LetterEmbedder()))
+    return out.select("doc_id", F.array_join(F.transform("embedding", lambda v: v.cast("int").cast("string")), ",").alias("embedding"))
 
 
 @query("SELECT doc_id, lang FROM documents")
 def stream_incremental_index(spark: SparkSession, d: str) -> DataFrame:
     """The stream runs twice over the same files; the second run adds nothing."""
-    from .plans.lineage import shared_dir
-
     base = f"{shared_dir(spark)}/{tempfile.mktemp(prefix='stream-', dir='')}"
     schema = docs(spark, d).schema
     for _ in range(2):
@@ -861,3 +791,4 @@ def stream_incremental_index(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{base}/index").select("doc_id", "lang")
 
 
+from . import more_queries  # noqa: E402, F401  registers its queries

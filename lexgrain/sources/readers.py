@@ -23,6 +23,13 @@ def jsonl(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def published(spark: SparkSession, path: str) -> DataFrame:
+    """The current version of a table that :func:`lexgrain.sources.writers.publish` wrote."""
+    from .writers import current
+
+    return spark.read.parquet(f"{path}/{current(spark, path)}")
+
+
 def edge_list(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select("citing_celex", "cited_celex")
 

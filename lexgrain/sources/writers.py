@@ -1,10 +1,10 @@
-"""Writers: append, partition replacement, atomic swap."""
+"""Writers: append, partition replacement, versions."""
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def append_new(df: DataFrame, path: str, *key: str) -> None:
@@ -22,16 +22,45 @@ def replace_partitions(df: DataFrame, path: str, *by: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
-def swap(df: DataFrame, path: str) -> None:
-    """Write beside ``path``, then exchange folders: readers see the old or the new table, and ``df`` may read the old one."""
-    fs, target = _fs(df, path)
-    tag = uuid.uuid4().hex
-    fresh, old = target.suffix(f".new-{tag}"), target.suffix(f".old-{tag}")
-    df.write.parquet(fresh.toString())
-    if fs.exists(target):
-        fs.rename(target, old)
-    fs.rename(fresh, target)
-    fs.delete(old, True)
+CURRENT = "_CURRENT"
+
+
+def publish(df: DataFrame, path: str) -> None:
+    """Write ``df`` as a new version under ``path`` and make it the current one; ``df`` may read the version before.
+
+    Readers follow a pointer file, which one rename replaces: they see the old version or the new one, at any time. The
+    version before the last stays for readers that began with it; older ones are removed.
+    """
+    jvm = df.sparkSession.sparkContext._jvm
+    fs, root = _fs(df, path)
+    version, before = f"v-{uuid.uuid4().hex}", current(df.sparkSession, path)
+    df.write.parquet(f"{path}/{version}")
+    fresh, pointer = jvm.org.apache.hadoop.fs.Path(root, f"{CURRENT}.{version}"), jvm.org.apache.hadoop.fs.Path(root, CURRENT)
+    out = fs.create(fresh, True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri())
+    overwrite = df.sparkSession.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(fs.makeQualified(fresh), fs.makeQualified(pointer), overwrite)
+    for f in fs.listStatus(root):
+        if f.isDirectory() and f.getPath().getName() not in (version, before):
+            fs.delete(f.getPath(), True)
+
+
+def current(spark: SparkSession, path: str) -> str | None:
+    """The name of the current version of a published table; None where there is none."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    pointer = jvm.org.apache.hadoop.fs.Path(root, CURRENT)
+    if not fs.exists(pointer):
+        return None
+    stream = fs.open(pointer)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
 
 
 def _fs(df: DataFrame, path: str):

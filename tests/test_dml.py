@@ -12,11 +12,28 @@ def test_append_new_twice_changes_nothing(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/t").count() == 2
 
 
-def test_swap_may_read_what_it_replaces(spark, tmp_path):
+def test_a_published_version_may_read_the_one_before(spark, tmp_path):
     path = f"{tmp_path}/t"
-    spark.range(3).write.parquet(path)
-    writers.swap(spark.read.parquet(path).where("id > 0"), path)
-    assert spark.read.parquet(path).count() == 2
+    writers.publish(spark.range(3), path)
+    first = readers.published(spark, path)
+    for least in (1, 2):
+        writers.publish(readers.published(spark, path).where(f"id >= {least}"), path)
+        assert readers.published(spark, path).count() == 3 - least
+    assert len([x for x in (tmp_path / "t").iterdir() if x.is_dir()]) == 2 and first.columns == ["id"]
+    assert writers.current(spark, f"{tmp_path}/none") is None
+
+
+def test_fetching_stops_at_errors_but_not_at_missing_pages(spark):
+    from lexgrain import ports
+
+    class Broken:
+        def get(self, key, accept):
+            return (500, "") if key == "2" else (404, "")
+
+    keys = spark.createDataFrame([("1",), ("2",)], "key string")
+    assert [tuple(r) for r in ports.fetch(keys.where("key = '1'"), Broken()).collect()] == [("1", "")]
+    with pytest.raises(Exception, match="status 500"):
+        ports.fetch(keys, Broken()).collect()
 
 
 def test_replace_partitions_leaves_other_sources(spark, tmp_path):
