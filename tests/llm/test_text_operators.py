@@ -326,6 +326,14 @@ def test_op3_sql(spark):
     assert got == sorted(c.execute(queries.OP3_SQL).fetchall(), key=repr)
 
 
+def test_quality_counts_sql(spark):
+    import duckdb
+
+    c = duckdb.connect()
+    c.execute("create view documents as select * from read_parquet('/root/testdata/sf0.01/documents.parquet')")
+    assert sorted(map(tuple, queries.quality_counts(spark, "/root/testdata/sf0.01").collect())) == sorted(c.execute(queries.QUALITY_SQL).fetchall())
+
+
 def test_every_operator_has_a_query():
     names = {f.__name__.split("_")[0] for f in queries.OPERATORS}
     assert names == {f"op{k}" for k in range(1, 11)}
