@@ -204,17 +204,17 @@ def _counted_repeats(contexts: DataFrame, length: int) -> DataFrame:
     """The same for frequent keys: one row per start, bucketed by the fingerprint of its string."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        cols: list[list] = [[] for _ in range(8)]
+        cols: list[list] = [[] for _ in range(7)]
         for key, hc, c, n, lo, starts, content in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
             for o in range(starts):
-                for col, v in zip(cols, (xxhash.xxh3_128_digest(content[o : o + length]), length, key, hc, c, n, lo + o, o), strict=True):
+                for col, v in zip(cols, (xxhash.xxh3_128_digest(content[o : o + length]), key, hc, c, n, lo + o, o), strict=True):
                     col.append(v)
-        return _repeat_rows(cols)
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), *[pa.array(c, pa.int64()) for c in cols[1:]]], names=["repeat", "key", "hc", "cls", "n", "start", "at"])
 
-    each = map_batches(contexts.where("hot").select("key", "hc", "cls", "n", "lo", "starts", "content"), run, _REPEATS)
+    each = map_batches(contexts.where("hot").select("key", "hc", "cls", "n", "lo", "starts", "content"), run, _REPEATS.replace(" bytes long,", ""))
     place = F.struct("cls", "n", "start")
     again = each.groupBy("repeat").agg(F.min(place).alias("x"), F.max(place).alias("y")).where("x != y").select("repeat")
-    return each.join(again, "repeat", "left_semi")
+    return each.join(again, "repeat", "left_semi").withColumn("bytes", F.lit(length).cast("long"))
 
 
 def classed(docs: DataFrame, text: str = "text") -> DataFrame:
