@@ -65,6 +65,6 @@ def test_lsh_recall(spark):
     from lexgrain import queries as q
 
     folder = "/root/testdata/sf0.01"
-    exact = {(x.qid, x.id) for x in q.vector_topk_batch(spark, folder).where("qid < 5 and score > 0.4").collect()}
-    found = {(x.qid, x.id) for x in r.lsh_arm(q.corpus(spark, folder), q.questions(spark, folder, 5), 100).collect()}
-    assert all((k, k) in found for k in range(5)) and len(exact & found) >= 0.8 * len(exact)
+    exact = {(x.qid, x.id) for x in q.vector_topk_batch(spark, folder).where("score > 0.4").collect()}
+    found = {(x.qid, x.id) for x in r.lsh_arm(q.corpus(spark, folder), q.questions(spark, folder), 100).collect()}
+    assert all((k, k) in found for k in range(0, 500, 50)) and len(exact & found) >= 0.9 * len(exact)
