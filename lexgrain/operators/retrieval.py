@@ -13,8 +13,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import dot, l2
-from ..plans.sizes import broadcast_if_small
+from . import vector_search
 
 # RRF constant, candidates per arm, rerank pool, results, fusion weights.
 RRF_K, PER_ARM, POOL, FINAL = 60, 40, 50, 8
@@ -41,41 +40,17 @@ def ranked(scored: DataFrame, by: str, *order: Column, name: str = "rank", top:
     return out.where(F.col(name) <= top) if top else out
 
 
-def nearest(corpus: DataFrame, questions: DataFrame, on: Column, k: int, metric: str = "cosine") -> DataFrame:
-    """(qid, id, score, rank): the k nearest rows of ``corpus`` that meet a question by ``on``, scored where they meet."""
-    n = 2 * corpus.sparkSession.sparkContext.defaultParallelism  # every row meets many questions: few rows are much work
-    doubles = lambda c: F.col(c).cast("array<double>")
-    norm = lambda c: F.sqrt(dot(F.col(c), F.col(c)))
-    own = corpus.repartition(n).withColumns({"embedding": doubles("embedding"), "id_norm": norm("embedding")})
-    asked = questions.withColumns({"query_vector": doubles("query_vector"), "q_norm": norm("query_vector")})
-    a, b = F.col("embedding"), F.col("query_vector")
-    score = F.try_divide(dot(a, b), F.col("id_norm") * F.col("q_norm")) if metric == "cosine" else l2(a, b)
-    scored = own.join(broadcast_if_small(asked), on).select("qid", "id", score.alias("score"))
-    first = F.col("score").desc_nulls_last() if metric == "cosine" else F.col("score").asc_nulls_last()
-    return ranked(scored, "qid", first, F.col("id"), top=k)
-
-
 def vector_arm(corpus: DataFrame, questions: DataFrame, k: int = PER_ARM, metric: str = "cosine", exclude_self: bool = False) -> DataFrame:
-    """(qid, id, score, rank): the k nearest of corpus (id, embedding) for questions (qid, query_vector), exact."""
-    on = F.col("id") != F.col("qid") if exclude_self else F.lit(True)
-    return nearest(corpus.where(F.col("embedding").isNotNull()).select("id", "embedding"), questions.select("qid", "query_vector"), on, k, metric)
+    """(qid, id, score, rank): the k nearest of corpus (id, embedding) for questions (qid, query_vector), exact.
 
+    Vectors without a score (null, zero, of another dimension, with null or non-finite components) neither ask nor answer.
+    """
+    return vector_search.nearest(corpus, questions, k, metric, exclude_self)
 
-def lsh_arm(corpus: DataFrame, questions: DataFrame, k: int = PER_ARM, tables: int = 12, length: float = 1.0, seed: int = 1) -> DataFrame:
-    """The vector arm on a random-projection index: candidates share a bucket with the question and are reranked exactly.
 
-    Approximate: a question may get fewer than k, and recall depends on ``tables`` and bucket ``length``.
-    """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    vector = lambda c: array_to_vector(F.col(c).cast("array<double>")).alias("v")
-    own = corpus.where(F.col("embedding").isNotNull())
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=length, numHashTables=tables, seed=seed).fit(own.select("id", vector("embedding")))
-    # a bucket's number holds its table's, so that one array of numbers names all buckets of a row
-    numbers = F.transform("h", lambda h, t: vector_to_array(h)[0].cast("long") * tables + t)
-    hashed = lambda df, key, c, name: model.transform(df.select(key, c, vector(c))).select(key, c, numbers.alias(name))
-    return nearest(hashed(own, "id", "embedding", "own_buckets"), hashed(questions, "qid", "query_vector", "buckets"), F.arrays_overlap("own_buckets", "buckets"), k)
+def index_arm(corpus: DataFrame, questions: DataFrame, k: int = PER_ARM) -> DataFrame:
+    """The vector arm by cosine on lists of nearest centroids: approximate, with measured recall; scores are exact."""
+    return vector_search.by_lists(corpus, questions, k)
 
 
 def keyword_arm(scored: DataFrame, k: int = PER_ARM) -> DataFrame:

@@ -160,9 +160,9 @@ def vector_topk_filtered(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query()
-def vector_topk_lsh(spark: SparkSession, d: str) -> DataFrame:
+def vector_topk_index(spark: SparkSession, d: str) -> DataFrame:
     """Approximate; its recall against the exact arm is measured in the tests."""
-    return retrieval.lsh_arm(corpus(spark, d), questions(spark, d), 10).select("qid", "id", r6("score").alias("score"), "rank")
+    return retrieval.index_arm(corpus(spark, d), questions(spark, d), 10).select("qid", "id", r6("score").alias("score"), "rank")
 
 
 # ---- full text -----------------------------------------------------------------------------------------------------

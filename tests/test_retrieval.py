@@ -59,12 +59,3 @@ def test_scores_stay_within_bounds(spark, rows):
     gold = spark.createDataFrame([(q, c) for q in range(4) for c in (1, 2)], "qid int, case_id int")
     for x in e.score_cases(ranking, gold).collect():
         assert 0 <= x.recall <= 1 and 0 <= x.mrr <= 1 and 0 <= x.ndcg <= 1 + 1e-9
-
-
-def test_lsh_recall(spark):
-    from lexgrain import queries as q
-
-    folder = "/root/testdata/sf0.01"
-    exact = {(x.qid, x.id) for x in q.vector_topk_batch(spark, folder).where("score > 0.4").collect()}
-    found = {(x.qid, x.id) for x in r.lsh_arm(q.corpus(spark, folder), q.questions(spark, folder), 100).collect()}
-    assert all((k, k) in found for k in range(0, 500, 50)) and len(exact & found) >= 0.9 * len(exact)
