@@ -2,7 +2,7 @@
 
 Vectors are packed into blocks of BLOCK_BYTES. A pair of blocks is scored by a matrix product, whose sums may differ from the
 exact ones by rounding; everything within SLACK of a question's k-th best of the block is scored again, component by component in
-order, and only that leaves the task. The result does not depend on how rows are dealt to blocks. Vectors that are null, empty,
+order, and a task passes on the first ranks of each question only. The result does not depend on how rows are dealt to blocks. Vectors that are null, empty,
 or hold null or non-finite components, and for the cosine zero ones, have no score: they neither ask nor answer. Vectors of
 different dimensions do not meet.
 """
@@ -15,6 +15,7 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +24,8 @@ BLOCK_BYTES = 1 << 20
 MOST_BYTES = 64 << 20
 #: Scores of a pair of blocks that are held at once.
 AT_ONCE = 2_000_000
+#: Found rows that a task holds, to pass on only the first of each question.
+HELD = 500_000
 #: Share of the largest possible score by which a matrix product may differ from the sum in order.
 SLACK = 1e-9
 
@@ -133,10 +136,24 @@ def best_pairs(q: np.ndarray, x: np.ndarray, k: int, metric: str, apart: Callabl
             yield a, b, _in_order(x[b], q[a], _times) / (x_norm[b] * q_norm[a]) if cosine else _in_order(x[b], q[a], _square)
 
 
+def first_ranks(found: list[pa.RecordBatch], k: int, metric: str) -> pa.Table:
+    """The k best rows of each question among ``found``: the only ones of a task that can be of its k best of all."""
+    t = pa.Table.from_batches(found).combine_chunks()
+    code = t["qid"].combine_chunks().dictionary_encode(null_encoding="encode").indices
+    keys = pa.table({"code": code, "score": t["score"], "id": t["id"]})
+    order = pc.sort_indices(keys, sort_keys=[("code", "ascending"), ("score", "descending" if metric == "cosine" else "ascending"), ("id", "ascending")], null_placement="at_start").to_numpy()
+    of = code.to_numpy()[order]
+    start = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+    rank = np.arange(len(of)) - np.repeat(start, np.diff(np.append(start, len(of))))
+    return t.take(pa.array(order[rank < k]))
+
+
 def search(pairs: DataFrame, k: int, metric: str = "cosine", exclude_self: bool = False) -> DataFrame:
     """(qid, id, score, rank) from pairs of blocks (qids, qd, q, ids, d, x): the k best of each question over all its pairs; ties go to the least id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows = 0
         for batch in batches:
             for r in range(batch.num_rows):
                 d = batch.column(4)[r].as_py()
@@ -149,7 +166,16 @@ def search(pairs: DataFrame, k: int, metric: str = "cosine", exclude_self: bool
                     own, other = qids.to_numpy(zero_copy_only=False), ids.to_numpy(zero_copy_only=False)
                     apart = lambda lo, hi, own=own, other=other: own[lo:hi, None] == other[None, :]
                 for i, j, score in best_pairs(q, x, k, metric, apart):
-                    yield pa.RecordBatch.from_arrays([qids.take(pa.array(i)), ids.take(pa.array(j)), pa.array(score)], names=["qid", "id", "score"])
+                    held.append(pa.RecordBatch.from_arrays([qids.take(pa.array(i)), ids.take(pa.array(j)), pa.array(score)], names=["qid", "id", "score"]))
+                    rows += len(i)
+                    if rows >= HELD:
+                        best = first_ranks(held, k, metric)
+                        held, rows = best.to_batches(), len(best)
+                        if 2 * rows >= HELD:
+                            yield from held
+                            held, rows = [], 0
+        if held:
+            yield from first_ranks(held, k, metric).to_batches(max_chunksize=100_000)
 
     of = lambda c: pairs.schema[c].dataType.elementType.simpleString()
     found = pairs.select("qids", "qd", "q", "ids", "d", "x").mapInArrow(run, f"qid {of('qids')}, id {of('ids')}, score double")

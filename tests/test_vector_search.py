@@ -1,5 +1,6 @@
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,3 +99,11 @@ def test_lists_of_few_vectors_and_of_other_dimensions(spark):
     found = got(s.by_lists(corpus, questions, 2).collect(), "cosine")
     assert {q: [i for i, _ in v] for q, v in found.items()} == {1: [1, 2], 2: [2, 1], 5: [5, 6], 6: [6, 5]}
     assert s.by_lists(corpus.limit(0), questions, 2).count() == 0
+
+
+def test_first_ranks_break_ties_by_the_least_id():
+    one = lambda *rows: pa.RecordBatch.from_pylist([dict(zip(("qid", "id", "score"), r)) for r in rows], schema=pa.schema([("qid", pa.string()), ("id", pa.int64()), ("score", pa.float64())]))
+    found = [one(("a", 9, 0.5), ("b", 1, 0.1), ("a", 3, 0.5)), one(("a", 4, 0.5), ("a", 8, 0.7), ("b", 2, 0.2), (None, 7, 0.0))]
+    rows = {(r["qid"], r["id"]) for r in s.first_ranks(found, 2, "cosine").to_pylist()}
+    assert rows == {("a", 8), ("a", 3), ("b", 1), ("b", 2), (None, 7)}
+    assert {r["id"] for r in s.first_ranks(found, 1, "l2").to_pylist()} == {3, 1, 7}
