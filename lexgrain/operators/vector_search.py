@@ -228,14 +228,14 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def fit_lists(x: np.ndarray, rows: int, k: int, rounds: int = 12, seed: int = 1) -> Lists:
-    """Lists for ``rows`` vectors from a sample ``x``.
+def fit_lists(x: np.ndarray, rows: int, k: int, rounds: int = 12, seed: int = 1, per_list: int = PER_LIST) -> Lists:
+    """Lists of about ``per_list`` for ``rows`` vectors from a sample ``x``.
 
     The probes are the fewest that reach a share of REACHED of the k nearest within the sample. In a table larger than the sample
     the k nearest are nearer, and so in nearer lists.
     """
     rng, x = np.random.default_rng(seed), _unit(x)
-    n = int(max(1, min(MOST_LISTS, rows // PER_LIST, len(x) // 16)))
+    n = int(max(1, min(MOST_LISTS, rows // per_list, len(x) // 16)))
     c = x[rng.choice(len(x), n, replace=False)].copy()
     at = np.zeros(len(x), dtype=int)
     for _ in range(rounds):

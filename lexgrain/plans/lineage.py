@@ -38,6 +38,15 @@ def _file_system(spark: SparkSession, name: str):
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder for tables that are written in several steps; what lies there goes when the application ends."""
+    folder = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    files, path = _file_system(spark, folder)
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return folder
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back: a compact, columnar lineage cut.
 
