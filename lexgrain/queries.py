@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from . import ports
 from .functions import celex, dates, fulltext, text
-from .operators import citations, dml, documents, evaluation, graph, metadata, reports, retrieval, vector_graph
+from .operators import citations, dml, documents, evaluation, graph, inverted_index, metadata, reports, retrieval, vector_graph
 from .plans.lineage import scratch, shared_dir, stored
 from .plans.sizes import broadcast_if_small
 from .sources.readers import table
@@ -216,6 +216,56 @@ def postings_english(spark: SparkSession, d: str) -> DataFrame:
     return fulltext.postings(docs(spark, d), "doc_id", "text", "english").groupBy("lexeme").agg(F.count("*").alias("n"))
 
 
+def indexed(spark: SparkSession, d: str) -> inverted_index.Index:
+    """A stored index over the whole table of documents, written in two parts."""
+    path, own = scratch(spark, "inverted"), docs(spark, d)
+    inverted_index.write(own.where("lang = 'en'"), path)
+    inverted_index.add(own.where("lang IS DISTINCT FROM 'en'"), path)
+    return inverted_index.read(spark, path)
+
+
+@query(f"WITH {SQL_KEYWORD} SELECT qid, id, score, rank FROM k")
+def keyword_topk_stored(spark: SparkSession, d: str) -> DataFrame:
+    """The one-word questions from stored postings: blocks whose maxima are too small are not read."""
+    return inverted_index.top_by_term(indexed(spark, d), WORDS, retrieval.PER_ARM).select("qid", "id", r6("score").alias("score"), "rank")
+
+
+SQL_POSITIONS = "t AS MATERIALIZED (SELECT doc_id, unnest(ts) AS lexeme, generate_subscripts(ts, 1) AS pos FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') AS ts FROM documents))"
+
+
+@query(f"""WITH {SQL_POSITIONS}, has AS (SELECT DISTINCT doc_id, lexeme FROM t),
+phrase AS (SELECT DISTINCT a.doc_id, a.lexeme || b.pos - a.pos || b.lexeme AS p FROM t a JOIN t b ON a.doc_id = b.doc_id AND b.pos - a.pos IN (1, 2) AND (a.lexeme, b.lexeme) IN (('of', 'the'), ('on', 'the'), ('und', 'der')))
+SELECT doc_id FROM documents d WHERE
+ ((EXISTS (SELECT 1 FROM phrase x WHERE x.doc_id = d.doc_id AND p = 'of1the') AND NOT (EXISTS (SELECT 1 FROM has x WHERE x.doc_id = d.doc_id AND lexeme = 'from') AND EXISTS (SELECT 1 FROM phrase x WHERE x.doc_id = d.doc_id AND p = 'on1the')))
+  OR (EXISTS (SELECT 1 FROM phrase x WHERE x.doc_id = d.doc_id AND p = 'und2der') AND (EXISTS (SELECT 1 FROM has x WHERE x.doc_id = d.doc_id AND lexeme = 'mit') OR NOT EXISTS (SELECT 1 FROM has x WHERE x.doc_id = d.doc_id AND lexeme = 'von'))))""")
+def keyword_tree_stored(spark: SparkSession, d: str) -> DataFrame:
+    """A nested tree of phrases, distances and negations over stored positions: of the, but not both from and "on the"; or und, one word, der, with mit or without von."""
+    x = inverted_index
+    left = x.All((x.phrase("of the"), x.Not(x.All((x.word("from"), x.phrase("on the"))))))
+    right = x.All((x.Phrase(((0, "und"), (2, "der"))), x.Any((x.word("mit"), x.Not(x.word("von"))))))
+    return x.matching(indexed(spark, d), x.Any((left, right))).select(F.col("id").alias("doc_id"))
+
+
+@query(f"""WITH {SQL_POSITIONS}, has AS (SELECT DISTINCT doc_id, lexeme FROM t WHERE lexeme IN ('the', 'of')) SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM has WHERE lexeme = 'the')
+UNION ALL SELECT DISTINCT a.doc_id FROM t a JOIN t b ON a.doc_id = b.doc_id AND b.pos = a.pos + 2 AND a.lexeme = 'one' AND b.lexeme = 'them' WHERE a.doc_id IN (SELECT doc_id FROM has WHERE lexeme = 'the')""")
+def keyword_web_stored(spark: SparkSession, d: str) -> DataFrame:
+    """A web query that a document may satisfy without any of its words; the stop word of its phrase leaves a distance of two."""
+    tree = inverted_index.web_tree('-the or "one of them"', frozenset({"of"}))
+    return inverted_index.matching(indexed(spark, d), tree).select(F.col("id").alias("doc_id"))
+
+
+@query(f"""WITH {SQL_POSITIONS},
+o AS (SELECT *, lag(lexeme) OVER (PARTITION BY doc_id ORDER BY pos) AS before, pos - lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS gap FROM t WHERE lexeme IN ('with', 'from')),
+r AS (SELECT doc_id, round(sum(0.1 / gap), 6) AS rank FROM o WHERE before <> lexeme GROUP BY doc_id)
+SELECT doc_id, rank FROM r WHERE doc_id NOT IN (SELECT a.doc_id FROM t a JOIN t b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE a.lexeme = 'in' AND b.lexeme = 'the')""")
+def cover_density_stored(spark: SparkSession, d: str) -> DataFrame:
+    """Cover density of two words from stored positions, of the documents without a certain phrase."""
+    index, words = indexed(spark, d), ["with", "from"]
+    own = inverted_index.matching(index, inverted_index.web_tree('with from -"in the"'))
+    ranks = fulltext.cover_density(inverted_index.occurrences(index, words, own), "ordinal", words)
+    return ranks.join(own, "ordinal").select(F.col("id").alias("doc_id"), r6("rank").alias("rank"))
+
+
 # ---- fusion and reranking ------------------------------------------------------------------------------------------
 
 FUSED = ("qid", "id", "source", "vector_rank", "keyword_rank")
