@@ -6,13 +6,12 @@ import re
 from functools import reduce
 from operator import and_, or_
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType
 
-# English words that carry no meaning of their own.
+from .english import stem
+
+# The English stop list that is published with the Snowball stemmers and used by full text in databases.
 STOP_WORDS = frozenset(
     "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs themselves "
     "what which who whom this that these those am is are was were be been being have has had having do does did doing a an the and but if or because as until while of "
@@ -28,73 +27,6 @@ def tokens(text: Column) -> Column:
 
 
 
-
-def _measure(stem: str) -> int:
-    kinds = "".join("v" if c in "aeiou" or c == "y" and k and stem[k - 1] not in "aeiou" else "c" for k, c in enumerate(stem))
-    return len(re.findall("v+c+", kinds))
-
-
-def _vowel(stem: str) -> bool:
-    return any(c in "aeiou" or c == "y" and k and stem[k - 1] not in "aeiou" for k, c in enumerate(stem))
-
-
-def _cvc(stem: str) -> bool:
-    return bool(re.search(r"(?:^|[^aeiou])[^aeiou][aeiouy][^aeiouwxy]$", stem)) and len(stem) > 2 or bool(re.fullmatch(r"[^aeiou][aeiouy][^aeiouwxy]", stem))
-
-
-# Suffix rules of Porter's published algorithm (steps 2, 3 and 4).
-_STEP2 = "ational:ate tional:tion enci:ence anci:ance izer:ize abli:able alli:al entli:ent eli:e ousli:ous ization:ize ation:ate ator:ate alism:al iveness:ive fulness:ful ousness:ous aliti:al iviti:ive biliti:ble"
-_STEP3 = "icate:ic ative: alize:al iciti:ic ical:ic ful: ness:"
-_STEP4 = "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize"
-
-
-def porter(word: str) -> str:
-    """The stem of an English word by Porter's published algorithm."""
-    if len(word) <= 2 or not word.isascii():
-        return word
-    w = word
-    for end, new in (("sses", "ss"), ("ies", "i"), ("ss", "ss"), ("s", "")):
-        if w.endswith(end):
-            w = w[: -len(end)] + new
-            break
-    if w.endswith("eed"):
-        w = w[:-1] if _measure(w[:-3]) > 0 else w
-    else:
-        for end in ("ed", "ing"):
-            if w.endswith(end) and _vowel(w[: -len(end)]):
-                w = w[: -len(end)]
-                if w.endswith(("at", "bl", "iz")):
-                    w += "e"
-                elif len(w) > 1 and w[-1] == w[-2] and w[-1] not in "aeioulsz":
-                    w = w[:-1]
-                elif _measure(w) == 1 and _cvc(w):
-                    w += "e"
-                break
-    if w.endswith("y") and _vowel(w[:-1]):
-        w = w[:-1] + "i"
-    for rules in (_STEP2, _STEP3):
-        pairs = sorted((r.split(":") for r in rules.split()), key=lambda r: -len(r[0]))
-        hit = next((r for r in pairs if w.endswith(r[0])), None)
-        if hit and _measure(w[: -len(hit[0])]) > 0:
-            w = w[: -len(hit[0])] + hit[1]
-    hit = next((e for e in sorted(_STEP4.split(), key=len, reverse=True) if w.endswith(e)), None)
-    if hit:
-        stem = w[: -len(hit)]
-        if _measure(stem) > 1 and (hit != "ion" or stem.endswith(("s", "t"))):
-            w = stem
-    if w.endswith("e") and (_measure(w[:-1]) > 1 or _measure(w[:-1]) == 1 and not _cvc(w[:-1])):
-        w = w[:-1]
-    if w.endswith("ll") and _measure(w) > 1:
-        w = w[:-1]
-    return w
-
-
-@pandas_udf(StringType())
-def stem(words: pd.Series) -> pd.Series:
-    known = {w: porter(w) for w in words.dropna().unique()}
-    return words.map(known)
-
-
 def postings(docs: DataFrame, key: str, text: str, config: str = "simple") -> DataFrame:
     """(key, lexeme, pos): one row per token, positions from 1. ``english`` leaves stop words out and stems the rest."""
     each = docs.select(key, F.posexplode(tokens(F.col(text))).alias("pos", "lexeme")).withColumn("pos", F.col("pos") + 1)
