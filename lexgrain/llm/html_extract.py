@@ -6,16 +6,16 @@ multiplication; paths whose fused ratio passes a threshold set by the page's own
 lowest element that holds the content nodes holds: its other blocks (short paragraphs, headings, list items) belong to it
 unless they are mostly links. Where article or main elements hold content, that element is looked for within them.
 
-What HTML itself names a menu, footer, sidebar or form does not count. Class and id names that say so decide only about parts
-without content of their own: a part of that name which holds most of the page's content, or, inside the article, content by its
-ratio, stays.
+What HTML itself names a menu, footer, sidebar or form does not count. Class and id names are one factor of the ratio of a part
+without content of its own: they weaken it, some more and some less, and a part of the article whose blocks stay as strong as the
+article's own is kept. Links do not count against headings, nor against anything within an article element.
 """
 
 from __future__ import annotations
 
 import html as _html
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +51,11 @@ HINTS = frozenset(
     "recommended recommendations widget widgets login search form pagination pager paywall toc skip hidden teaser teasers rail crumb crumbs subnav sidenav blogroll copyright colophon "
     "adbox adslot adsbygoogle outbrain taboola feedback rating ratings print tagcloud".split()
 )
+#: Those of them that are hardly ever part of an article; the others only weaken it.
+NEVER = frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promotion cookie cookies consent gdpr newsletter subscribe subscription signup sidebar sidebars nav navbar navigation "
+    "breadcrumb breadcrumbs comments commentlist disqus share sharing login paywall adbox adslot adsbygoogle outbrain taboola hidden".split()
+)
 #: ... where the other words of the name say nothing: "cookie-notice-box" names a notice, "rating-scale" does not name a rating.
 PLAIN = frozenset(
     "a an and the of to our your us my me it by in on at for with box block blocks wrap wrapper container content contents area section list item items bar panel column col row inner outer top bottom left right middle main "
@@ -63,89 +68,95 @@ OUTER_HINTS = frozenset("header head top bottom logo branding discussion discuss
 #: Layout classes name parts that an element has or lacks, not what it is.
 _LAYOUT = re.compile(r"\b(?:no|has|with|without|hide|show)[-_]\w+|\b\w+[-_](?:open|closed|enabled|disabled|on|off|layout|visible)\b", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-#: What an opening tag closes first, up to the given containers.
-IMPLIED = {
-    "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
-    "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}),
-}
 CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split()
 )
 
 
-@dataclass
-class _Element:
+#: (opening tags, what they close first, containers up to which they look for it).
+CLOSING = (
+    (CLOSES_P, frozenset({"p"}), frozenset("td th li dd button article section div".split())),
+    (frozenset({"li"}), frozenset({"li"}), frozenset("ul ol menu".split())),
+    (frozenset({"dt", "dd"}), frozenset({"dt", "dd"}), frozenset({"dl"})),
+    (frozenset({"tr"}), frozenset("tr td th".split()), frozenset({"table"})),
+    (frozenset({"td", "th"}), frozenset({"td", "th"}), frozenset("tr table".split())),
+    (frozenset({"option"}), frozenset({"option"}), frozenset({"select"})),
+)
+RULE = {tag: k for k, (tags, _, _) in enumerate(CLOSING) for tag in tags}
+MATTERS = frozenset().union(*(closed | until for _, closed, until in CLOSING))
+
+
+@dataclass(slots=True)
+class Element:
+    """An element of a page. Numbers go in the order of the start tags; ``last`` is the number of its last descendant."""
+
     tag: str
-    path: str
+    path: int
     number: int
-    out: bool
-    root: bool = False
-    header: bool = False
-    named: bool = False
+    parent: int
+    out: bool = False  # it or one around it does not count
+    root: int = 0  # the outermost article or main around it
+    article: bool = False  # it or one around it is an article
+    header: bool = False  # within a header of the article
+    hint: float = 1.0  # what its own name leaves of its ratio
+    last: int = 0
+    lowest: tuple[int, ...] = ()  # for each rule of CLOSING the lowest open element that it would close
 
 
-@dataclass
+@dataclass(slots=True)
 class Block:
-    path: str
-    chain: tuple[int, ...]
+    path: int
+    element: int
     text: str
     linked: int
-    out: bool
-    roots: tuple[int, ...] = ()
-    head: bool = False
-    named: tuple[int, ...] = ()  # elements around it whose names say that they are not the article
 
     @property
     def own(self) -> int:
         return len(self.text) - self.linked
 
 
-@dataclass
-class _State:
-    stack: list[_Element]
-    parts: list[str] = field(default_factory=list)
-    linked: int = 0
-    link: bool = False
-
-
-def _hinted(value: str, inside: bool) -> bool:
+def _hinted(value: str, inside: bool) -> float:
+    """What a class or id leaves of a part's ratio: 1 if it says nothing against it."""
+    out = 1.0
     for token in _CAMEL.sub("-", _LAYOUT.sub(" ", value)).lower().split():
         words = set(_WORD.findall(token))
         rest = words - HINTS
         if words & HINTS and rest <= PLAIN or not inside and words & OUTER_HINTS and rest - OUTER_HINTS <= PLAIN:
-            return True
-    return False
+            out = min(out, 1 / 4 if words & NEVER else 3 / 4)
+    return out
 
 
-def blocks(html: str) -> list[Block]:
-    """The blocks of a page in order: runs of text between the starts and ends of block elements, white space collapsed."""
-    state, out, number = _State([_Element("", "", 0, False)]), [], 0
+def parse(html: str) -> tuple[list[Element], list[Block]]:
+    """Elements and blocks of a page in order; a block is a run of text between the starts and ends of block elements, white space
+    collapsed. Work and memory grow with the page, however deep its elements nest."""
+    elements = [Element("", 0, 0, 0, lowest=(0,) * len(CLOSING))]
+    paths: dict[tuple[int, str], int] = {}
+    stack, open_, out = [0], dict[str, int](), list[Block]()
+    parts: list[str] = []
+    linked, link = 0, False
 
     def flush() -> None:
-        if state.parts:
-            text = " ".join(_html.unescape("".join(state.parts)).split())
+        nonlocal linked
+        if parts:
+            text = " ".join(_html.unescape("".join(parts)).split())
             if text:
-                s = state.stack
-                drop = any(e.out for e in s)
-                out.append(
-                    Block(
-                        s[-1].path, tuple(e.number for e in s), text, min(state.linked, len(text)), drop, tuple(e.number for e in s if e.root),
-                        any(e.header for e in s) and s[-1].tag not in HEADINGS, tuple(e.number for e in s if e.named),
-                    )
-                )
-        state.parts, state.linked = [], 0
+                out.append(Block(elements[stack[-1]].path, stack[-1], text, min(linked, len(text))))
+            parts.clear()
+        linked = 0
 
     def pop_to(k: int) -> None:
-        flush()
-        del state.stack[k:]
+        for e in stack[k:]:
+            elements[e].last = len(elements) - 1
+            open_[elements[e].tag] -= 1
+        del stack[k:]
 
     at = 0
     for m in _TOKEN.finditer(html):
         if m.start() > at:
             piece = html[at : m.start()]
-            state.parts.append(piece)
-            if state.link:
-                state.linked += len(piece.strip())
+            parts.append(piece)
+            if link:
+                linked += len(piece.strip())
         at = m.end()
         tag = m["tag"]
         if tag is None:
@@ -153,31 +164,21 @@ def blocks(html: str) -> list[Block]:
         tag = tag.lower()
         if tag in INLINE:
             if tag == "br":
-                state.parts.append(" ")
+                parts.append(" ")
             elif tag == "a":
-                state.link = not m["end"]
+                link = not m["end"]
             continue
-        stack = state.stack
+        flush()
         if m["end"]:
-            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
-            if k:
-                pop_to(k)
-                state.link = False
-            else:
-                flush()
+            if open_.get(tag):
+                pop_to(next(k for k in range(len(stack) - 1, 0, -1) if elements[stack[k]].tag == tag))
+                link = False
             continue
         if tag in VOID:
-            flush()
             continue
-        closing, until = ({"p"}, {"td", "th", "li", "dd", "button", "article", "section", "div"}) if tag in CLOSES_P else IMPLIED.get(tag, (None, None))
-        flush()
-        if closing:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in until:
-                    break
-                if stack[k].tag in closing:
-                    pop_to(k)
-        number += 1
+        rule = RULE.get(tag)
+        if rule is not None and (k := elements[stack[-1]].lowest[rule]):
+            pop_to(k)
         names, role, itemprop, drop = "", "", "", tag in BOILERPLATE
         attrs = m["attrs"]
         if attrs:
@@ -191,18 +192,30 @@ def blocks(html: str) -> list[Block]:
                     itemprop = value.lower()
                 elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
                     drop = True
-        root = tag in ("article", "main") or role in ("main", "article") or itemprop == "articlebody"
-        inside = any(e.root for e in stack)
-        drop |= role in ROLES or tag == "header" and not inside
-        named = tag not in ("html", "body", "main") and bool(names) and _hinted(names, inside)
-        stack.append(_Element(tag, f"{stack[-1].path}/{tag}", number, drop, root, tag == "header" and inside, named))
+        above, number, k = elements[stack[-1]], len(elements), len(stack)
+        inside = bool(above.root)
+        article = tag == "article" or role == "article" or itemprop == "articlebody"
+        hint = _hinted(names, inside) if names and tag not in ("html", "body", "main") else 1.0
+        lowest = above.lowest
+        if tag in MATTERS:
+            lowest = tuple(0 if tag in until else k if tag in closed and not low else low for low, (_, closed, until) in zip(lowest, CLOSING, strict=True))
+        elements.append(
+            Element(
+                tag, paths.setdefault((above.path, tag), len(paths) + 1), number, above.number, above.out or drop or role in ROLES or tag == "header" and not inside,
+                above.root or (number if article or tag == "main" or role == "main" else 0), above.article or article, above.header or tag == "header" and inside, hint, lowest=lowest,
+            )
+        )
+        stack.append(number)
+        open_[tag] = open_.get(tag, 0) + 1
     if at < len(html):
-        state.parts.append(html[at:])
+        parts.append(html[at:])
     flush()
-    return out
+    pop_to(1)
+    elements[0].last = len(elements) - 1
+    return elements, out
 
 
-def path_ratios(found: list[Block]) -> dict[str, float]:
+def path_ratios(found: list[Block]) -> dict[int, float]:
     """Fused ratio per path: text and punctuation per block, each smoothed over the blocks in page order."""
     index = {p: k for k, p in enumerate(dict.fromkeys(b.path for b in found))}
     of = np.array([index[b.path] for b in found])
@@ -219,84 +232,101 @@ def path_ratios(found: list[Block]) -> dict[str, float]:
     return {p: float(fused[k]) for p, k in index.items()}
 
 
-def _container(found: list[Block], content: np.ndarray) -> int:
-    """The lowest element that holds every content block. Elements that hold nothing but their own text (p, li, h1) are passed over."""
-    parents = {e for b in found for e in b.chain[:-1]}
-    common: tuple[int, ...] | None = None
-    for b, c in zip(found, content, strict=True):
-        if c:
-            own = b.chain if b.chain[-1] in parents else b.chain[:-1] or b.chain
-            n = len(own) if common is None else next((k for k, (x, y) in enumerate(zip(common, own)) if x != y), min(len(common), len(own)))
-            common = own[:n]
-    tags = next(b.path for b in found if common[-1] in b.chain).split("/")
-    while len(common) > 1 and tags[len(common) - 1] == "section":
-        common = common[:-1]  # sections are parts of an article
-    return common[-1]
+def _container(elements: list[Element], found: list[Block], content: np.ndarray) -> Element:
+    """The lowest element that holds every content block: that of the first and the last one. Elements that hold nothing but their
+    own text (p, li, h1) are passed over, and sections, which are parts of an article."""
+    holds = [False] * len(elements)
+    for b in found:
+        e = elements[b.element].parent
+        while e and not holds[e]:
+            holds[e] = True
+            e = elements[e].parent
+    own = [elements[found[k].element if holds[found[k].element] else elements[found[k].element].parent] for k in np.flatnonzero(content)[[0, -1]].tolist()]
+    at, last = own[0], own[1].number
+    while at.number and not at.number <= last <= at.last:
+        at = elements[at.parent]
+    while at.number and at.tag == "section":
+        at = elements[at.parent]
+    return at
 
 
 #: Share of the page's highest ratio from which a path is content.
 THRESHOLD = 0.5
+#: Share of a block of the article, by its ratio and the hint of its name, that keeps a named part of the article.
+NAMED = 0.3
+#: Share of the largest article's text that another one of the page needs.
+BESIDE = 0.1
+
+
+def _sums(elements: list[Element], found: list[Block], amount: list[float]) -> list[float]:
+    """The sum over the blocks within each element."""
+    out = [0.0] * len(elements)
+    for b, x in zip(found, amount, strict=True):
+        out[b.element] += x
+    for e in reversed(elements[1:]):
+        out[e.parent] += out[e.number]
+    return out
+
+
+def _strength(b: Block) -> float:
+    return b.own * (1 + len(_PUNCT.findall(b.text))) ** 0.5
 
 
 def extract(html: str | None, ratios=path_ratios) -> str:
     """The article's blocks joined by line feeds; empty for null, empty and contentless pages."""
     if not html:
         return ""
-    found = [b for b in blocks(html) if not b.out]
+    elements, every = parse(html)
+    found = [b for b in every if not elements[b.element].out]
     if not found:
         return ""
     whole = sum(b.own for b in found)
-    mass: dict[int, int] = {}
-    parts: dict[int, int] = {}
-    for b in found:
-        for e in b.named:
-            mass[e] = mass.get(e, 0) + b.own
-            parts[e] = parts.get(e, 0) + 1
-    # a name does not count where the page has little else
-    true_names = {e for e, m in mass.items() if m < whole and (2 * m <= whole or parts[e] < 3)}
-    named = np.array([not true_names.isdisjoint(b.named) for b in found])
+    mass, parts = _sums(elements, found, [b.own for b in found]), _sums(elements, found, [1] * len(found))
+    # by name no article; a name does not count where the page has little else
+    hint = [1.0] * len(elements)
+    for e in elements[1:]:
+        m = mass[e.number]
+        hint[e.number] = min(hint[e.parent], e.hint if m < whole and (2 * m <= whole or parts[e.number] < 3) else 1.0)
+    named = np.array([hint[b.element] < 1 for b in found])
     if not named.all():
-        outside = [b for b, x in zip(found, named, strict=True) if not x]
-        fused = ratios(outside)
+        fused = ratios([b for b, x in zip(found, named, strict=True) if not x])
         each = np.array([0.0 if x else fused[b.path] for b, x in zip(found, named, strict=True)])
     else:
         each = np.zeros(len(found))
+    root = np.array([elements[b.element].root for b in found])
+    head = np.array([elements[b.element].header and elements[b.element].tag not in HEADINGS for b in found])
     top = each.max()
     if top <= 0:
-        return "\n".join(b.text for b, x in zip(found, named, strict=True) if b.roots and not b.head and not x)
+        return "\n".join(b.text for b, r, h, x in zip(found, root, head, named, strict=True) if r and not h and not x)
     content = each >= THRESHOLD * top
-    weight: dict[int, int] = {}
-    for b, c in zip(found, content, strict=True):
-        if c:
-            for e in b.roots:
-                weight[e] = weight.get(e, 0) + b.own
-    if not weight:
-        held = [b for b, x in zip(found, named, strict=True) if b.roots and not x]
-        if 2 * sum(b.own for b in held) > whole:  # short articles next to one long notice
-            for b in held:
-                for e in b.roots:
-                    weight[e] = weight.get(e, 0) + b.own
-    if weight:
+    own = np.array([b.own for b in found])
+    weight = np.bincount(root, own * content, len(elements))
+    weight[0] = 0
+    if not weight.any():
+        held = (root > 0) & ~named
+        if 2 * own[held].sum() > whole:  # short articles next to one long notice
+            weight = np.bincount(root[held], own[held], len(elements))
+    if weight.any():
         # the outermost article elements with a fair share; teasers of other articles have little text
-        most = max(weight.values())
-        chosen = {e for e, w in weight.items() if w >= 0.3 * most}
-        inside = np.array([bool(chosen & set(b.roots)) for b in found])
+        inside = (weight >= BESIDE * weight.max())[root] & (root > 0)
     else:
-        container = _container(found, content)
-        inside = np.array([container in b.chain for b in found])
-    # a part of the article with a name of the list stays if its text is content by the ratios of the whole article
-    if (inside & named).any():
-        within = ratios([b for b, i in zip(found, inside, strict=True) if i])
-        least = THRESHOLD * max(within.values())
-        full: dict[int, int] = {}
-        for b, i in zip(found, inside & named, strict=True):
-            if i and within[b.path] >= least and not weight.keys().isdisjoint(b.roots):
-                for e in b.named:
-                    full[e] = full.get(e, 0) + b.own
-        named = np.array([any(e in true_names and 2 * full.get(e, 0) <= mass[e] for e in b.named) for b in found])
+        held = _container(elements, found, content)
+        inside = np.array([held.number <= b.element <= held.last for b in found])
+    # a named part of the article stays if, hint and all, its blocks are as strong as the article's
+    if (inside & named).any() and weight.any():
+        strength = np.array([_strength(b) for b in found])
+        plain = np.sort(strength[inside & ~named])[::-1]
+        typical = plain[np.searchsorted(np.cumsum(plain), plain.sum() / 2)] if plain.sum() else 0.0
+        total, n = _sums(elements, found, strength.tolist()), _sums(elements, found, [1] * len(found))
+        weak = [False] * len(elements)
+        for e in elements[1:]:
+            own_hint = e.hint < 1 and hint[e.number] < 1 and e.root and n[e.number]
+            weak[e.number] = weak[e.parent] or bool(own_hint) and total[e.number] / n[e.number] * e.hint < NAMED * typical
+        named &= ~inside | np.array([weak[b.element] for b in found])
     keep = []
-    for b, c, i, x in zip(found, content, inside, named, strict=True):
-        if i and not x and not b.head and (c or b.linked <= 0.6 * len(b.text)):
+    for b, c, i, x, h in zip(found, content, inside, named, head, strict=True):
+        e = elements[b.element]
+        if i and not x and not h and (c or e.article or e.tag in HEADINGS or b.linked <= 0.6 * len(b.text)):
             keep.append(b.text)
     return "\n".join(keep)
 

@@ -98,3 +98,31 @@ def test_names_of_parts_do_not_drop_sections_of_the_article():
 
 def test_formulas_stay_in_their_sentence():
     assert h.extract("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> be given, here.</p></article>") == "Let x=2 be given, here."
+
+
+def test_deep_and_long_pages_take_time_in_proportion():
+    import time
+    import tracemalloc
+
+    for page in ("<div>x, " * 100_000, "<article>" * 100_000 + "x, y.", "<blockquote>x" * 50_000, "<p>x<table><tr><td>" * 20_000, "<ul><li>x, " * 50_000 + "</p>" * 50_000, '<div class="reply">x, ' * 50_000):
+        start = time.process_time()
+        h.extract(page)
+        assert time.process_time() - start < 6, page[:30]
+    tracemalloc.start()
+    h.extract("<div>x, " * 100_000)
+    assert tracemalloc.get_traced_memory()[1] < 150e6
+    tracemalloc.stop()
+
+
+def test_linked_headings_lists_and_quotations_of_the_article_stay():
+    long = "This part of the article says something, at length, and with commas; it goes on. " * 2
+    inner = f'<h1>T</h1><h2><a href="#x">Anchored heading</a></h2><p>{long}</p><ul><li><a href="#1">First reference</a></li><li><a href="#2">Second reference</a></li></ul><blockquote class="reply"><p>{long}</p></blockquote><div class="print"><p>{long}</p></div><div class="recommended">{long}</div>'
+    want = ["T", "Anchored heading", long.strip(), "First reference", "Second reference", *[long.strip()] * 3]
+    assert h.extract(PAGE % f"<article>{inner}</article>").split("\n") == want
+    assert "Anchored heading" in h.extract(PAGE % f"<div id=content>{inner}</div>")
+
+
+def test_shorter_articles_beside_one_stay():
+    long = "A sentence of the long article, with commas. "
+    page = PAGE % f"<article><h1>A</h1><p>{long * 20}</p></article><article><h2>B</h2><p>{long * 4}</p></article>"
+    assert h.extract(page).split("\n") == ["A", (long * 20).strip(), "B", (long * 4).strip()]
