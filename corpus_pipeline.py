@@ -66,8 +66,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         if k == len(STAGES) - 1:
             return stage(spark, docs, sf_dir)
-        with temporary():
-            docs = stored(stage(spark, docs, sf_dir), name)
+        with temporary() as keep:
+            docs = keep(stored(stage(spark, docs, sf_dir), name))
         if k:
             discard(before)
         before = docs

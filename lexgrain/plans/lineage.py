@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,7 +31,8 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-_SCOPES: list[list[tuple[SparkSession, str]]] = []
+#: Open scopes of this thread of the driver, the outermost first; each holds the folders that were stored within it.
+_SCOPES: ContextVar[tuple[dict[str, SparkSession], ...]] = ContextVar("scopes", default=())
 
 
 def _file_system(spark: SparkSession, name: str):
@@ -57,28 +59,42 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     files, path = _file_system(spark, folder)
     df.write.option("compression", "zstd").parquet(folder)
     files.deleteOnExit(path)
-    for scope in _SCOPES:
-        scope.append((spark, folder))
+    for scope in _SCOPES.get():
+        scope[folder] = spark
     return spark.read.schema(df.schema).parquet(folder)
 
 
 def discard(*tables: DataFrame) -> None:
     """Remove the files behind tables made by :func:`stored`; nothing may read them afterwards."""
     for df in tables:
-        for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        for name in _folders(df):
             files, path = _file_system(df.sparkSession, name)
             files.delete(path, True)
 
 
+def _folders(df: DataFrame) -> set[str]:
+    return {f.rpartition("/")[0] for f in df.inputFiles()}
+
+
 @contextmanager
-def temporary() -> Iterator[None]:
-    """At its end, removes the tables that were stored within it, but for the last one: the result that was made of the others."""
-    made: list[tuple[SparkSession, str]] = []
-    _SCOPES.append(made)
+def temporary() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """At its end, removes the tables that were stored within it, but for those given to the function it yields.
+
+    Scopes belong to the thread that opens them: what other threads store meanwhile is theirs.
+    """
+    made: dict[str, SparkSession] = {}
+
+    def keep(df: DataFrame) -> DataFrame:
+        for folder in _folders(df):
+            for own in [f for f in made if folder.endswith(f.rpartition("/")[2])]:
+                del made[own]
+        return df
+
+    token = _SCOPES.set((*_SCOPES.get(), made))
     try:
-        yield
+        yield keep
     finally:
-        _SCOPES.remove(made)
-        for spark, folder in made[:-1]:
+        _SCOPES.reset(token)
+        for folder, spark in made.items():
             files, path = _file_system(spark, folder)
             files.delete(path, True)
