@@ -204,16 +204,6 @@ def linked(a: np.ndarray, b: np.ndarray, num: int = NUM, den: int = DEN) -> bool
     return den * common >= num * (len(a) + len(b) - common)
 
 
-def _of_class(rows: DataFrame, words: int) -> DataFrame:
-    """(cls, n, text) of the rows whose text is of the class that their id stands for; an id that is not ``sure`` has several texts."""
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ok = [s or t is not None and set_id(shingles(t, words)) == c for c, t, s in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3)), strict=True)]
-        return batch.select([0, 1, 2]).filter(pa.array(ok, pa.bool_()))
-
-    return map_batches(rows.select("cls", "n", "text", "sure"), run, "cls long, n int, text string")
-
-
 def _suffix_filtered(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, an, b, bn) whose sets can share enough, by the sizes of their parts."""
     one = classes.select(F.col("cls").alias("a"), F.col("n").alias("an"), F.col("parts").alias("ap"))
@@ -278,7 +268,8 @@ class _Join:
 
 def _prepared(docs: DataFrame, key: str, text: str, words: int, num: int, den: int) -> _Join:
     spark = docs.sparkSession
-    src = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    # rows go by their id and the hash of their text: of many texts under one id each is met by its own class only
+    src = docs.select(F.struct(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("h")).alias("id"), F.col(text).alias("text"))
     signed = stored(_signatures(src, "id", "text", words), "signatures")
     rows = signed.where("slice is null").select("id", "cls", "n", "parts")
     table = _rarity(signed.where("slice is not null").select("slice", "counts"))
@@ -287,11 +278,11 @@ def _prepared(docs: DataFrame, key: str, text: str, words: int, num: int, den: i
 
     # one text per class that meets another; classes are named by (cls, n)
     named = rows.where("n > 0").groupBy("cls", "n").agg(F.min("id").alias("id"), F.min("parts").alias("parts"))
-    several = rows.groupBy("id").agg(F.min(F.struct("cls", "n")).eqNullSafe(F.max(F.struct("cls", "n"))).alias("sure")).withColumnRenamed("id", "sid")
     wanted = stored(named.join(met.select("cls", "n").distinct(), ["cls", "n"], "left_semi"), "wanted")
-    asked = wanted.select("cls", "n", "id").join(several, F.col("id").eqNullSafe(F.col("sid"))).drop("sid")
-    texts = stored(_of_class(src.join(asked.withColumnRenamed("id", "wid"), F.col("id").eqNullSafe(F.col("wid"))), words).dropDuplicates(["cls", "n"]), "texts")
-    return _Join(rows.select("id", "cls", "n"), wanted, met, texts, words, num, den)
+    asked = wanted.select("cls", "n", F.col("id.key").alias("wkey"), F.col("id.h").alias("wh"))
+    same = F.col("id.key").eqNullSafe(F.col("wkey")) & (F.col("id.h") == F.col("wh"))
+    texts = stored(src.join(asked, same).select("cls", "n", "text").dropDuplicates(["cls", "n"]), "texts")
+    return _Join(rows.select(F.col("id.key").alias("id"), "cls", "n"), wanted, met, texts, words, num, den)
 
 
 def components(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:

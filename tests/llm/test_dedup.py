@@ -227,3 +227,29 @@ def test_vectors_empty_and_all_equal(spark):
     assert embedding_neardup.near_duplicates(vectors(spark, []).limit(0)).count() == 0
     rows = sorted(map(tuple, embedding_neardup.near_duplicates(vectors(spark, [[1, 2, 3]] * 5)).collect()))
     assert rows == [(k, 4, 0, k == 0) for k in range(5)]
+
+
+def test_many_texts_of_one_id_and_of_none(spark):
+    """Near copies and others that share an id, or have none: as many rows as texts are met, each by its own class."""
+    import time
+
+    base = [f"w{k}" for k in range(60)]
+    near = [" ".join(base[:k] + [f"x{k}"] + base[k + 1 :]) for k in range(60)]
+    far = [" ".join(f"y{k}_{j}" for j in range(9)) for k in range(200)]
+    rows = [(7, t) for t in near + far] + [(None, t) for t in near[:20] + far[:20]]
+    found = ngram_jaccard.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(found) == len(rows) and all(r.component_id == 7 for r in found)
+    many = [(3, f"{t} {k}") for k in range(80) for t in near + far]  # 20,800 texts of one id
+    frame = spark.createDataFrame(many, "doc_id long, text string").repartition(8).cache()
+    frame.count()
+    start = time.perf_counter()
+    assert ngram_jaccard.components(frame).where("component_id = 3").count() == len(many)
+    assert time.perf_counter() - start < 120
+    frame.unpersist()
+
+
+def test_one_very_long_text(spark):
+    long = " ".join(f"v{k}" for k in range(300_000))
+    rows = [(1, long), (2, long + " end"), (3, "a b c d e f")]
+    got = sorted(map(tuple, ngram_jaccard.components(docs(spark, rows)).collect()))
+    assert got == [(1, 299_996, 1), (2, 299_997, 1), (3, 2, 3)]
