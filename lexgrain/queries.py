@@ -7,13 +7,14 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import ports
 from .functions import celex, dates, english, fulltext, text
-from .operators import citations, dml, documents, evaluation, graph, inverted_index, metadata, reports, retrieval, vector_graph
+from .operators import citations, dml, documents, evaluation, graph, inverted_index, metadata, patterns, reports, retrieval, vector_graph
 from .plans.lineage import scratch, shared_dir, stored
 from .plans.sizes import broadcast_if_small
 from .sources.readers import table
@@ -832,6 +833,85 @@ def triples_ask(spark: SparkSession, d: str) -> DataFrame:
     return metadata.exists_chain(t, t.where("p = 'id'").select(F.col("o").alias("entity")), "country", "label")
 
 
+def legal_graph(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as works, their lines as expressions with manifestations and items, suppliers as judges, nations as concepts with labels
+    in two languages; stored by predicate."""
+    o, line, s, n = (table(spark, d, t) for t in ("orders", "lineitem", "supplier", "nation"))
+    name = lambda prefix, *c: F.concat(F.lit(prefix), *[F.col(x).cast("string") if not x.startswith("-") else F.lit("-") for x in c])
+    rows = lambda df, *po: df.select("s", F.inline(F.array(*[F.struct(F.lit(p).alias("p"), o.alias("o"), F.lit(lang).cast("string").alias("lang")) for p, o, lang in po])))
+    work = o.withColumn("s", name("w", "o_orderkey"))
+    works = rows(work, ("celex", F.concat(F.date_format("o_orderdate", "'6'yyyy'CJ'"), F.lpad(F.col("o_orderkey").cast("string"), 7, "0")), None), ("year", F.date_format("o_orderdate", "yyyy"), None), ("type", F.col("o_orderstatus"), None))
+    e = line.withColumn("s", name("e", "l_orderkey", "-", "l_linenumber", "-", "l_partkey", "-", "l_suppkey"))
+    expressions = rows(e, ("belongs", name("w", "l_orderkey"), None), ("language", F.when(F.col("l_returnflag") == "R", "FRA").otherwise("ENG"), None))
+    m = e.where("l_quantity > 10").withColumn("e", F.col("s")).withColumn("s", F.concat(F.lit("m"), "e"))
+    manifestations = rows(m, ("manifests", F.col("e"), None), ("format", F.when(F.col("l_linestatus") == "O", "fmx4").otherwise("html"), None))
+    items = rows(m.where("l_discount > 0.02").withColumn("m", F.col("s")).withColumn("s", F.concat(F.lit("i"), "m")), ("item", F.col("m"), None))
+    judged = rows(line.withColumn("s", name("w", "l_orderkey")).where("l_linenumber = 1"), ("judge", name("j", "l_suppkey"), None), ("cites", name("w", "l_partkey"), None))
+    judges = rows(s.withColumn("s", name("j", "s_suppkey")), ("name", F.col("s_name"), None), ("country", name("n", "s_nationkey"), None))
+    labels = rows(n.withColumn("s", name("n", "n_nationkey")), ("label", F.col("n_name"), "en"), ("label", F.lower("n_name"), "fr"))
+    every = reduce(DataFrame.unionByName, (works, expressions, manifestations, items, judged, judges, labels))
+    return patterns.store(every.where("o IS NOT NULL"), f"{scratch(spark, 'triples')}/graph")
+
+
+SQL_CELEX = "'6' || strftime(o_orderdate, '%Y') || 'CJ' || lpad(CAST(o_orderkey AS VARCHAR), 7, '0')"
+T = patterns.Triple
+
+
+@query(f"SELECT DISTINCT {SQL_CELEX} AS celex FROM orders WHERE year(o_orderdate) = 1996 AND o_orderstatus = 'F'")
+def pattern_year_list(spark: SparkSession, d: str) -> DataFrame:
+    """Identifiers of the works of a year and type, with a filter on their beginning."""
+    found = patterns.match(legal_graph(spark, d), T("?w", "celex", "?celex"), T("?w", "year", "1996"), T("?w", "type", "F"))
+    return found.where(F.col("celex").startswith("61996CJ")).select("celex").distinct()
+
+
+@query(f"""WITH w AS (SELECT o_orderkey, {SQL_CELEX} AS celex, o_orderdate FROM orders), j AS (SELECT l_orderkey, l_suppkey, l_partkey FROM lineitem WHERE l_linenumber = 1)
+SELECT celex, 'case_year' AS field, strftime(o_orderdate, '%Y') AS val FROM w
+UNION ALL SELECT celex, 'judge', s_name FROM w JOIN j ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey
+UNION ALL SELECT celex, 'country_origin', n_name FROM w JOIN j ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey
+UNION ALL SELECT w.celex, 'cites', c.celex FROM w JOIN j ON l_orderkey = w.o_orderkey JOIN w c ON c.o_orderkey = l_partkey""")
+def pattern_fields(spark: SparkSession, d: str) -> DataFrame:
+    """A union of branches of up to four triples for every work: scalars, names, labels of one language, identifiers of cited works."""
+    g, w = legal_graph(spark, d), T("?w", "celex", "?celex")
+    branches = {
+        "case_year": (T("?w", "year", "?val"),),
+        "judge": (T("?w", "judge", "?j"), T("?j", "name", "?val")),
+        "country_origin": (T("?w", "judge", "?j"), T("?j", "country", "?c"), T("?c", "label", "?val", "en")),
+        "cites": (T("?w", "cites", "?cw"), T("?cw", "celex", "?val")),
+    }
+    return patterns.union(*[patterns.match(g, w, *b).select("celex", F.lit(f).alias("field"), "val") for f, b in branches.items()])
+
+
+SQL_EXPRESSIONS = "'e' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey"
+
+
+@query(f"""SELECT {SQL_CELEX} AS celex FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag <> 'R' AND l_quantity > 10 AND l_discount > 0.02)""")
+def pattern_english_items(spark: SparkSession, d: str) -> DataFrame:
+    """The works with an item of a manifestation of an English expression: five triples, asked for all works at once."""
+    g = legal_graph(spark, d)
+    works = patterns.match(g, T("?w", "celex", "?celex"))
+    chain = (T("?e", "belongs", "?w"), T("?e", "language", "ENG"), T("?m", "manifests", "?e"), T("?i", "item", "?m"))
+    return patterns.holds(works, g, *chain).select("celex")
+
+
+@query(f"""WITH m AS (SELECT {SQL_CELEX} AS celex, 'm' || {SQL_EXPRESSIONS} AS m, CASE WHEN l_linestatus = 'O' THEN 'fmx4' ELSE 'html' END AS format FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_returnflag <> 'R' AND l_quantity > 10)
+SELECT celex, coalesce(min(m) FILTER (WHERE format = 'fmx4') || '/DOC_1', '') AS url, count(*) AS n FROM m GROUP BY celex""")
+def pattern_manifestations(spark: SparkSession, d: str) -> DataFrame:
+    """The first Formex manifestation of each work's English expressions, if there is one, and how many manifestations it has."""
+    found = patterns.match(legal_graph(spark, d), T("?w", "celex", "?celex"), T("?e", "belongs", "?w"), T("?e", "language", "ENG"), T("?m", "manifests", "?e"), T("?m", "format", "?mt"))
+    first = F.min(F.when(F.col("mt") == "fmx4", F.col("m")))
+    return found.groupBy("celex").agg(F.coalesce(F.concat(first, F.lit("/DOC_1")), F.lit("")).alias("url"), F.count("*").alias("n"))
+
+
+@query(f"""WITH w AS (SELECT o_orderkey, {SQL_CELEX} AS celex FROM orders)
+SELECT w.celex, c.celex AS cited, s_name AS judge FROM w JOIN lineitem l ON l.l_linenumber = 1 AND l.l_orderkey = w.o_orderkey JOIN w c ON c.o_orderkey = l.l_partkey LEFT JOIN lineitem k ON k.l_linenumber = 1 AND k.l_orderkey = c.o_orderkey LEFT JOIN supplier ON s_suppkey = k.l_suppkey""")
+def pattern_citations(spark: SparkSession, d: str) -> DataFrame:
+    """Cited works with their identifiers, and optionally the judge of the cited one."""
+    g = legal_graph(spark, d)
+    cited = patterns.match(g, T("?w", "celex", "?celex"), T("?w", "cites", "?cw"), T("?cw", "celex", "?cited"))
+    judge = patterns.match(g, T("?cw", "judge", "?j"), T("?j", "name", "?judge"))
+    return patterns.optional(cited, judge).select("celex", "cited", "judge")
+
+
 # ---- data changes --------------------------------------------------------------------------------------------------
 
 
