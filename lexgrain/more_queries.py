@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import ports
 from .functions import fulltext
 from .operators import documents, evaluation, graph, metadata, retrieval
-from .plans.lineage import shared_dir
+from .plans.lineage import scratch, shared_dir
 from .plans.sizes import broadcast_if_small
 from .queries import (
     SQL_ARMS,
@@ -33,6 +33,7 @@ from .queries import (
 )
 from .sources import readers, writers
 from .sources.readers import table
+from .streaming import stateful
 from .streaming.incremental import windowed_counts
 
 # ---- retrieval from end to end -------------------------------------------------------------------------------------
@@ -253,3 +254,39 @@ def stream_event_counts(spark: SparkSession, d: str) -> DataFrame:
     put = lambda batch, _: batch.write.mode("overwrite").parquet(f"{base}/counts")
     counts.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{base}/counts")
+
+
+def _source(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """A table as a stream, in batches of one file where it has several."""
+    path, schema = f"{d}/{name}.parquet", table(spark, d, name).schema
+    one = table(spark, d, name).inputFiles()[0].rpartition("/")[2] == f"{name}.parquet"
+    return stateful.files(spark, d, schema, f"{name}.parquet", 1) if one else stateful.files(spark, path, schema, "*.parquet", 1)
+
+
+@query("SELECT click_id, min(client_id) AS client_id, min(arrived_at) AS arrived_at FROM clicks WHERE arrived_at IS NOT NULL GROUP BY click_id")
+def stream_deduplicated(spark: SparkSession, d: str) -> DataFrame:
+    """Clicks indexed once each by a stream that remembers keys for a while and never reads its target; run twice on one checkpoint."""
+    base = scratch(spark, "stream")
+    for _ in range(2):
+        own = stateful.deduplicated(_source(spark, d, "clicks").select("click_id", "client_id", "arrived_at"), "arrived_at", "60 days", "click_id")
+        stateful.append(own, f"{base}/index", f"{base}/state").awaitTermination()
+    return spark.read.parquet(f"{base}/index").withColumn("arrived_at", F.col("arrived_at").cast("timestamp_ntz"))
+
+
+@query("""WITH f AS (SELECT sale_id, flag, shipped_at, row_number() OVER (PARTITION BY sale_id ORDER BY shipped_at DESC, flag) AS k, count(*) OVER (PARTITION BY sale_id) AS n FROM sales s JOIN sale_lines l USING (sale_id) WHERE l.shipped_at >= s.sold_at AND l.shipped_at <= s.sold_at + INTERVAL 30 DAY)
+SELECT sale_id, flag AS feedback, n FROM f WHERE k = 1""")
+def stream_log_feedback(spark: SparkSession, d: str) -> DataFrame:
+    """Sales as a log and the flags of their lines as feedback, joined as streams; then the latest feedback of each."""
+    base = scratch(spark, "stream")
+    log, feedback = _source(spark, d, "sales").select("sale_id", "sold_at"), _source(spark, d, "sale_lines").select("sale_id", "flag", "shipped_at")
+    stateful.append(stateful.with_feedback(log, feedback, "sale_id", "sold_at", "shipped_at", "30 days", "60 days"), f"{base}/log", f"{base}/state").awaitTermination()
+    latest = F.min(F.struct((-F.unix_micros("shipped_at")).alias("t"), "flag"))
+    return spark.read.parquet(f"{base}/log").groupBy("sale_id").agg(latest["flag"].alias("feedback"), F.count("*").alias("n"))
+
+
+@query("SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2 HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 2 DAY FROM events)")
+def stream_closed_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Daily counts of events, appended once each when their day is closed: all but the last days."""
+    base = scratch(spark, "stream")
+    stateful.append(stateful.closed_windows(_source(spark, d, "events").select("ts", "event_type"), "ts", "event_type", "1 day", "2 days"), f"{base}/counts", f"{base}/state").awaitTermination()
+    return spark.read.parquet(f"{base}/counts")
