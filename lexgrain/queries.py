@@ -1009,4 +1009,4 @@ def stream_incremental_index(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{base}/index").select("doc_id", "lang")
 
 
-from . import more_queries  # noqa: E402, F401  registers its queries
+from . import file_queries, more_queries  # noqa: E402, F401  they register their queries
