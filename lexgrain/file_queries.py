@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import celex, text
-from .operators import documents, evaluation, retrieval
+from .operators import documents, evaluation, reports, retrieval
 from .plans.lineage import scratch
+from .plans.order import partitions
 from .queries import SQL_EDGES, _plain, docs, edges, query
 from .sources import readers, writers
 from .sources.readers import table
@@ -79,6 +80,37 @@ def appended_rows(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def by_bucket(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Mentions by what they cite, and parts as decisions, in buckets of the same keys."""
+    path = scratch(spark, "bucketed")
+    name = f"lexgrain_{path.rpartition('-')[2]}"
+    own = edges(spark, d).select(F.col("dst").alias("celex"), "src", "source")
+    mentions = writers.bucketed(own, f"{name}_mentions", f"{path}/mentions", partitions(spark), "celex")
+    decisions = writers.bucketed(table(spark, d, "part").select(F.col("p_partkey").alias("celex"), "p_brand"), f"{name}_decisions", f"{path}/decisions", partitions(spark), "celex")
+    return mentions, decisions
+
+
+@query(f"WITH {SQL_EDGES} SELECT p_partkey AS celex, p_brand, count(*) AS mentions, count(*) FILTER (WHERE source = 'text') AS from_text FROM raw JOIN part ON p_partkey = dst WHERE dst IS NOT NULL AND src <> dst GROUP BY 1, 2")
+def bucketed_join(spark: SparkSession, d: str) -> DataFrame:
+    """Mentions of each decision: joined and grouped where the buckets lie."""
+    mentions, decisions = by_bucket(spark, d)
+    both = mentions.join(decisions.hint("merge"), "celex")
+    return both.groupBy("celex", "p_brand").agg(F.count("*").alias("mentions"), F.count_if(F.col("source") == "text").alias("from_text"))
+
+
+@query("SELECT lang, count(*) AS n_rows, true AS near_texts, true AS near_sizes FROM documents GROUP BY lang")
+def sketched_report(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct texts and lengths by language from sketches that were kept per source in two parts, held against exact counts: within 4 %."""
+    path, own = f"{scratch(spark, 'sketches')}/kept", docs(spark, d).withColumn("size", F.length("text"))
+    for part in ("doc_id % 2 = 0", "doc_id % 2 <> 0 OR doc_id IS NULL"):
+        reports.sketches(own.where(part), ["lang", "source"], "text", "size").write.mode("append").parquet(path)
+    near = reports.merged_sketches(spark.read.parquet(path), ["lang"], "text", "size")
+    exact = own.groupBy("lang").agg(F.countDistinct("text").alias("texts"), F.countDistinct("size").alias("sizes"))
+    both = near.join(exact.withColumnRenamed("lang", "_lang"), F.col("lang").eqNullSafe(F.col("_lang")))
+    within = lambda a, b: F.abs(F.col(a) - F.col(b)) <= F.greatest(0.04 * F.col(b), F.lit(1.0))
+    return both.select("lang", "n_rows", within("text", "texts").alias("near_texts"), within("size", "sizes").alias("near_sizes"))
+
+
 # ---- arrays and suffixes -------------------------------------------------------------------------------------------
 
 

@@ -36,3 +36,17 @@ def largest(rows: DataFrame, document: str, top: int = 10) -> DataFrame:
 def ratio(part: Column, whole: Column) -> Column:
     """part / max(whole, 1)."""
     return part / F.greatest(whole, F.lit(1))
+
+
+#: Logarithm of a sketch's registers: 16,384 of them estimate distinct counts with a standard error of 0.8 %.
+LG_REGISTERS = 14
+
+
+def sketches(df: DataFrame, by: list[str], *columns: str) -> DataFrame:
+    """(by..., n_rows, a sketch of each column's distinct values) per group: small rows that are kept, and merged with those of rows that come later."""
+    return df.groupBy(*by).agg(F.count("*").alias("n_rows"), *[F.hll_sketch_agg(F.col(c), F.lit(LG_REGISTERS)).alias(c) for c in columns])
+
+
+def merged_sketches(kept: DataFrame, by: list[str], *columns: str) -> DataFrame:
+    """(by..., n_rows, approximate distinct counts) from kept sketches alone; the rows they were made of are not read again."""
+    return kept.groupBy(*by).agg(F.sum("n_rows").alias("n_rows"), *[F.hll_sketch_estimate(F.hll_union_agg(c)).alias(c) for c in columns])

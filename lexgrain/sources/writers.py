@@ -22,6 +22,18 @@ def replace_partitions(df: DataFrame, path: str, *by: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, path: str, buckets: int, *key: str) -> DataFrame:
+    """``df`` as table ``name`` at ``path`` in ``buckets`` files by a hash of ``key``, each sorted by it.
+
+    Tables in as many buckets of the same keys join, and group by them, without an exchange; a lookup of a key reads one file, and of
+    that the row groups whose minima, maxima and bloom filter allow it. Choose ``buckets`` for the table's size: a file is one task.
+    """
+    blooms = {f"parquet.bloom.filter.enabled#{k}": "true" for k in key}
+    dealt = df.repartition(buckets, *key)  # the same hash: each task writes one bucket
+    dealt.write.bucketBy(buckets, *key).sortBy(*key).options(path=path, **blooms).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 CURRENT = "_CURRENT"
 
 
