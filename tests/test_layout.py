@@ -10,10 +10,9 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def files_read(df):
-    run = df._jdf.queryExecution()
-    run.toRdd().count()
-    return run.executedPlan().collectLeaves().apply(0).metrics().get("numFiles").get().value()
+def tasks(df):
+    """Tasks that the scan of a small table takes: one a file, by the cost of opening one."""
+    return df._jdf.queryExecution().toRdd().getNumPartitions()
 
 
 def test_buckets_join_and_group_without_an_exchange_and_are_pruned(spark):
@@ -24,7 +23,7 @@ def test_buckets_join_and_group_without_an_exchange_and_are_pruned(spark):
     assert len(mentions.inputFiles()) == n
     key = mentions.first().celex
     one = mentions.where(F.col("celex") == key)
-    assert files_read(one) == 1 and files_read(mentions.where("source = 'text'")) == n
+    assert tasks(one) == 1 and tasks(mentions.where("source = 'text'")) == n
 
 
 def test_sketches_are_merged_within_their_error(spark):
