@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import ports
 from .functions import fulltext
 from .operators import documents, evaluation, graph, metadata, retrieval
-from .plans.lineage import scratch, shared_dir
+from .plans.lineage import scratch, shared_dir, stored
 from .plans.sizes import broadcast_if_small
 from .queries import (
     SQL_ARMS,
@@ -144,7 +144,7 @@ b AS (SELECT g.qid, count(*) FILTER (WHERE rank <= 10) / count(*) AS r FROM g LE
 SELECT a.qid, round(a.r, 6) AS old, round(b.r, 6) AS new, CASE WHEN b.r > a.r THEN 'improved' WHEN b.r < a.r THEN 'REGRESSED' ELSE '' END AS flag FROM a JOIN b USING (qid)""")
 def eval_multi_query(spark: SparkSession, d: str) -> DataFrame:
     """Case recall of a question alone against it and its variants fused; three questions in turn are variants of the first."""
-    hits = retrieved(spark, d)
+    hits = stored(retrieved(spark, d), "hits")
     gold = label_gold(spark, d).where("qid % 150 = 0").select("qid", "case_id").distinct()
     base = evaluation.score_cases(evaluation.case_ranking(hits.where("qid % 150 = 0")), gold)
     variant = broadcast_if_small(questions(spark, d).select("qid", F.expr("qid div 150 * 150").alias("question")))

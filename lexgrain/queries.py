@@ -176,6 +176,16 @@ def vector_topk_graph(spark: SparkSession, d: str) -> DataFrame:
     return vector_graph.search(questions(spark, d), path, 10).select("qid", "id", r6("score").alias("score"), "rank")
 
 
+@query("SELECT arm, count(*) AS n_questions, true AS reached FROM embeddings, (VALUES ('graph'), ('lists')) a(arm) WHERE vec_id % 50 = 0 GROUP BY arm")
+def vector_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each approximate arm finds nine of ten of the exact ten nearest, over every question of the table."""
+    exact = stored(retrieval.vector_arm(corpus(spark, d), questions(spark, d), 10).select("qid", "id"), "exact")
+    found = [f(spark, d).select(F.lit(arm).alias("arm"), "qid", "id") for arm, f in (("graph", vector_topk_graph), ("lists", vector_topk_index))]
+    hits = found[0].unionByName(found[1]).join(exact, ["qid", "id"]).groupBy("arm").agg(F.count("*").alias("hits"))
+    every = exact.agg(F.countDistinct("qid").alias("n_questions"), F.count("*").alias("n"))
+    return hits.join(every, F.lit(True)).select("arm", "n_questions", (F.col("hits") >= 0.9 * F.col("n")).alias("reached"))
+
+
 # ---- full text -----------------------------------------------------------------------------------------------------
 
 
@@ -382,7 +392,7 @@ def multi_query_rrf(spark: SparkSession, d: str) -> DataFrame:
 
 def injected(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Pool, scores by position (quality labels stand in for a reranker), and authority (length)."""
-    pool = retrieval.fuse_rrf(arms(spark, d))
+    pool = stored(retrieval.fuse_rrf(arms(spark, d)), "pool")
     labels = table(spark, d, "labels").select(F.col("doc_id").alias("id"), "quality")
     scores = pool.join(labels, "id").select("qid", F.col("pool_rank").alias("position"), F.col("quality").cast("double").alias("score"))
     return pool, scores, docs(spark, d).select(F.col("doc_id").alias("id"), F.col("n_chars").alias("authority"))
@@ -712,7 +722,8 @@ def eval_case_probe(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scores(spark: SparkSession, d: str, *ks: int) -> list[DataFrame]:
-    rank, gold = evaluation.case_ranking(retrieved(spark, d)), label_gold(spark, d).select("qid", "case_id").distinct()
+    hits = retrieved(spark, d)
+    rank, gold = evaluation.case_ranking(stored(hits, "hits") if len(ks) > 1 else hits), label_gold(spark, d).select("qid", "case_id").distinct()
     return [evaluation.score_cases(rank, gold, k=k) for k in ks]
 
 
