@@ -6,12 +6,16 @@ The stemmer is Python; it sees each distinct word of a batch once (:func:`stem`)
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf, pandas_udf
 from pyspark.sql.types import StringType
 
 # Fixed values of the published algorithm: words with stems of their own, words that stay or stop early, beginnings that
@@ -119,6 +123,20 @@ def stem(words: pd.Series) -> pd.Series:
     return words.map(known)
 
 
+def lexeme_arrays(stop: frozenset[str]) -> Callable[[Column], Column]:
+    """Arrays of tokens -> arrays of stems, with nulls in the places of stop words. Each distinct token of a batch is stemmed once."""
+
+    @arrow_udf("array<string>")
+    def lexemes(tokens: pa.Array) -> pa.Array:
+        every = tokens.flatten().dictionary_encode()
+        stems = pa.array([None if w is None or w in stop else snowball(w) for w in every.dictionary.to_pylist()], pa.string())
+        size = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy()
+        ends = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32))
+        return pa.ListArray.from_arrays(ends, stems.take(every.indices))
+
+    return lexemes
+
+
 def stem_table(lexemes: DataFrame, lexeme: str = "lexeme") -> DataFrame:
     """(lexeme, stem) of the distinct lexemes: a table to join, or to keep beside an index."""
     return lexemes.select(F.col(lexeme).alias("lexeme")).where("lexeme IS NOT NULL").distinct().withColumn("stem", stem("lexeme"))

@@ -28,14 +28,15 @@ BITS = 10
 WEIGHT = fulltext.UNIFORM_WEIGHT
 
 
-def write(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", first: int = 0, lexemes: Callable[[DataFrame], DataFrame] | None = None) -> None:
+def write(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", first: int = 0, lexemes: Callable[[Column], Column] | None = None) -> None:
     """Append ``docs`` (key, text) to the index under ``path``, numbered from ``first`` on. Null texts have no lexemes; repeated keys are
-    documents of their own. ``lexemes`` may map the rows (ordinal, pos, lexeme) to what is indexed."""
+    documents of their own. ``lexemes`` may map arrays of tokens to what is indexed in their places; nulls are left out."""
     ordinal = F.monotonically_increasing_id() + F.lit(first)
-    cut = stored(docs.select(ordinal.alias("ordinal"), F.col(key).alias("id"), fulltext.tokens(F.col(text)).alias("ts")), "tokens")
-    cut.select("ordinal", "id", F.size("ts").alias("n_tokens")).write.mode("append").parquet(f"{path}/documents")
-    each = cut.select("ordinal", F.posexplode("ts").alias("pos", "lexeme")).withColumn("pos", F.col("pos") + 1)
-    each = (lexemes(each) if lexemes else each).select("lexeme", F.shiftright("ordinal", BITS).alias("block"), F.expr(f"int(ordinal & {(1 << BITS) - 1})").alias("place"), "pos")
+    ts = fulltext.tokens(F.col(text))
+    cut = stored(docs.select(ordinal.alias("ordinal"), F.col(key).alias("id"), (lexemes(ts) if lexemes else ts).alias("ts")).withColumn("n_tokens", F.size("ts")), "tokens")
+    cut.select("ordinal", "id", "n_tokens").write.mode("append").parquet(f"{path}/documents")
+    each = cut.select("ordinal", F.posexplode("ts").alias("pos", "lexeme")).where("lexeme IS NOT NULL").withColumn("pos", F.col("pos") + 1)
+    each = each.select("lexeme", F.shiftright("ordinal", BITS).alias("block"), F.expr(f"int(ordinal & {(1 << BITS) - 1})").alias("place"), "pos")
     # both groupings keep the ranges: one shuffle
     own = each.repartitionByRange("lexeme", "block").groupBy("lexeme", "block", "place").agg(F.sort_array(F.collect_list("pos")).alias("ps"))
     rows = own.groupBy("lexeme", "block").agg(F.sort_array(F.collect_list(F.struct("place", "ps"))).alias("of")).select(
@@ -47,7 +48,7 @@ def write(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", f
     discard(cut)
 
 
-def add(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", lexemes: Callable[[DataFrame], DataFrame] | None = None) -> None:
+def add(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", lexemes: Callable[[Column], Column] | None = None) -> None:
     """Append new documents, in blocks of their own; what is stored stays as it is."""
     last = docs.sparkSession.read.parquet(f"{path}/documents").agg(F.max("ordinal")).first()[0]
     write(docs, path, key, text, 0 if last is None else ((last >> BITS) + 1) << BITS, lexemes)

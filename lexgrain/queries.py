@@ -266,10 +266,6 @@ def postings_english(spark: SparkSession, d: str) -> DataFrame:
     return fulltext.postings(docs(spark, d), "doc_id", "text", "english").groupBy("lexeme").agg(F.count("*").alias("n"))
 
 
-def english_lexemes(rows: DataFrame) -> DataFrame:
-    return rows.where(~F.col("lexeme").isin(*sorted(fulltext.STOP_WORDS))).withColumn("lexeme", english.stem("lexeme"))
-
-
 @query(f"""WITH {SQL_POSITIONS}, words AS (SELECT DISTINCT lexeme FROM t WHERE lexeme NOT IN ({_sql_list(' '.join(sorted(fulltext.STOP_WORDS)))})), {SQL_STEMS},
 p AS MATERIALIZED (SELECT doc_id, pos, stem FROM t JOIN st USING (lexeme) WHERE stem IN ('erin', 'end', 'reli', 'ly'))
 SELECT doc_id FROM documents WHERE (doc_id IN (SELECT doc_id FROM p WHERE stem = 'erin') AND doc_id NOT IN (SELECT doc_id FROM p WHERE stem = 'end'))
@@ -277,7 +273,7 @@ SELECT doc_id FROM documents WHERE (doc_id IN (SELECT doc_id FROM p WHERE stem =
 def keyword_english_stored(spark: SparkSession, d: str) -> DataFrame:
     """A web query over a stored index of English lexemes: every form of a word answers, stop words leave their distance."""
     path = scratch(spark, "inverted")
-    inverted_index.write(docs(spark, d), path, lexemes=english_lexemes)
+    inverted_index.write(docs(spark, d), path, lexemes=english.lexeme_arrays(fulltext.STOP_WORDS))
     tree = inverted_index.web_tree('erins -ending or "rely the ly"', fulltext.STOP_WORDS, english.snowball)
     return inverted_index.matching(inverted_index.read(spark, path), tree).select(F.col("id").alias("doc_id"))
 

@@ -62,3 +62,9 @@ def test_stem_table(spark):
     words = spark.createDataFrame([("running",), ("running",), ("runs",), (None,)], "lexeme string")
     assert sorted(map(tuple, english.stem_table(words).collect())) == [("running", "run"), ("runs", "run")]
     assert re.fullmatch("[a-z ]+", " ".join(STOP_WORDS))
+
+
+def test_lexeme_arrays(spark):
+    rows = spark.createDataFrame([(["the", "cats", "of", "cats"],), (None,), ([],), (["running", None],)], "ts array<string>")
+    got = [r.x for r in rows.select(english.lexeme_arrays(STOP_WORDS)(F.col("ts")).alias("x")).collect()]
+    assert [list(x or []) for x in got] == [[None, "cat", None, "cat"], [], [], ["run", None]]
