@@ -256,11 +256,15 @@ def stream_event_counts(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{base}/counts")
 
 
+#: Files of a batch: each batch costs a round of every partition's state.
+FILES = 64
+
+
 def _source(spark: SparkSession, d: str, name: str) -> DataFrame:
-    """A table as a stream, in batches of one file where it has several."""
+    """A table as a stream, in batches of FILES files where it has more."""
     path, schema = f"{d}/{name}.parquet", table(spark, d, name).schema
     one = table(spark, d, name).inputFiles()[0].rpartition("/")[2] == f"{name}.parquet"
-    return stateful.files(spark, d, schema, f"{name}.parquet", 1) if one else stateful.files(spark, path, schema, "*.parquet", 1)
+    return stateful.files(spark, d, schema, f"{name}.parquet", FILES) if one else stateful.files(spark, path, schema, "*.parquet", FILES)
 
 
 @query("SELECT click_id, min(client_id) AS client_id, min(arrived_at) AS arrived_at FROM clicks WHERE arrived_at IS NOT NULL GROUP BY click_id")
