@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 from . import ports
 from .functions import fulltext
-from .operators import documents, evaluation, graph, metadata, retrieval
+from .operators import documents, evaluation, graph, kept_ranks, metadata, retrieval
 from .plans.lineage import scratch, shared_dir, stored
 from .plans.sizes import broadcast_if_small
 from .queries import (
     SQL_ARMS,
     SQL_COS,
     SQL_EDGES,
+    SQL_GRAPH,
     SQL_HITS_20,
     SQL_MERGED,
     SQL_POOL,
@@ -294,3 +295,20 @@ def stream_closed_windows(spark: SparkSession, d: str) -> DataFrame:
     base = scratch(spark, "stream")
     stateful.append(stateful.closed_windows(_source(spark, d, "events").select("ts", "event_type"), "ts", "event_type", "1 day", "2 days"), f"{base}/counts", f"{base}/state").awaitTermination()
     return spark.read.parquet(f"{base}/counts")
+
+
+# ---- kept ranks ----------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH RECURSIVE {SQL_GRAPH}, s AS MATERIALIZED (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS share FROM w),
+x AS (SELECT id, 0 AS t, 1.0::DOUBLE AS v FROM n UNION ALL SELECT id, max(t) + 1, sum(v) FROM
+  (SELECT s.dst AS id, x.t, 0.85 * s.share * x.v AS v FROM x JOIN s ON s.src = x.id UNION ALL SELECT id, t, 1.0 FROM x) WHERE t < 200 GROUP BY id),
+last AS (SELECT id, v FROM x WHERE t = 200) SELECT id, round(1000 * v / (SELECT sum(v) FROM last), 6) AS pagerank FROM last""")
+def pagerank_refreshed(spark: SparkSession, d: str) -> DataFrame:
+    """Ranks kept of the lines shipped until 30 days before the last one, refreshed by what the later lines change. The SQL ranks all lines afresh."""
+    line = table(spark, d, "lineitem")
+    last = line.agg(F.max("l_shipdate")).first()[0]
+    early = line.where(F.col("l_shipdate") <= F.date_sub(F.lit(last), 30)) if last is not None else line
+    before, after = (stored(graph.weighted(merged(spark, d, lines)), "graph") for lines in (early, line))
+    kept = kept_ranks.refresh(kept_ranks.solve(before, tolerance=1e-11), kept_ranks.changes(before, after), tolerance=1e-11)
+    return kept.ranks().select("id", r6(F.col("pagerank") * 1000).alias("pagerank"))

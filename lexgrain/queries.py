@@ -73,9 +73,9 @@ def arms(spark: SparkSession, d: str, k: int = retrieval.PER_ARM) -> DataFrame:
     return retrieval.merge_arms(vector, keyword)
 
 
-def edges(spark: SparkSession, d: str) -> DataFrame:
-    """Mentions between parts that follow each other in an order: src, dst, source, rel."""
-    line = table(spark, d, "lineitem")
+def edges(spark: SparkSession, d: str, line: DataFrame | None = None) -> DataFrame:
+    """Mentions between parts that follow each other in an order: src, dst, source, rel; of some lines only, if given."""
+    line = table(spark, d, "lineitem") if line is None else line
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate", "l_discount", "l_tax")
     out = line.select(
         F.col("l_partkey").alias("src"), F.lead("l_partkey").over(order).alias("dst"),
@@ -84,8 +84,8 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
     return out.where(F.col("dst").isNotNull() & (F.col("src") != F.col("dst")))
 
 
-def merged(spark: SparkSession, d: str) -> DataFrame:
-    return citations.merge_edges(edges(spark, d))
+def merged(spark: SparkSession, d: str, line: DataFrame | None = None) -> DataFrame:
+    return citations.merge_edges(edges(spark, d, line))
 
 
 def citing_text(spark: SparkSession, d: str) -> DataFrame:
