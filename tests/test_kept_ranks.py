@@ -59,13 +59,13 @@ def test_refreshed_equals_afresh(spark):
 
 def test_work_grows_with_the_change(spark):
     """A change in one of many parts of a graph leaves the others alone."""
-    edges = {(f"p{p:03d}-{i}", f"p{p:03d}-{j}"): 1.0 for p in range(40) for i, j in [(0, 1), (1, 2), (2, 0), (0, 2)]}
+    edges = {(f"p{p:03d}-{i}", f"p{p:03d}-{j}"): 1.0 for p in range(40) for i, j in [(0, 1), (1, 2), (0, 2)]}
     kept = kept_ranks.solve(frame(spark, edges), **LOOSE)
-    change = spark.createDataFrame([("p007-1", "p007-0", 1.0)], SCHEMA)
+    change = spark.createDataFrame([("p007-1", "p007-3", 1.0)], SCHEMA)
     again = kept_ranks.refresh(kept, change, **LOOSE)
-    near(ranks(again), dense(edges | {("p007-1", "p007-0"): 1.0}))
+    near(ranks(again), dense(edges | {("p007-1", "p007-3"): 1.0}))
     old = {r.id: (r.x, r.r) for r in kept.scores.collect()}
-    assert {r.id for r in again.scores.collect() if (r.x, r.r) != old[r.id]} == {"p007-0", "p007-1", "p007-2"}
+    assert {r.id for r in again.scores.collect() if (r.x, r.r) != old.get(r.id)} == {"p007-2", "p007-3"}
     assert 0 < again.pushed < kept.pushed / 2
 
 
