@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import ports
 from .functions import fulltext
@@ -250,7 +251,7 @@ def published_versions(spark: SparkSession, d: str) -> DataFrame:
 def stream_event_counts(spark: SparkSession, d: str) -> DataFrame:
     """Daily counts of the events as a stream that reads all files once; every result replaces the one before."""
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    source = spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d).withColumn("ts", F.col("ts").cast("timestamp"))
+    source = stateful.files(spark, *_files(spark, d, "events")).withColumn("ts", F.col("ts").cast("timestamp"))
     counts = windowed_counts(source, "ts", "event_type", "1 day", "365 days")
     put = lambda batch, _: batch.write.mode("overwrite").parquet(f"{base}/counts")
     counts.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
@@ -261,11 +262,15 @@ def stream_event_counts(spark: SparkSession, d: str) -> DataFrame:
 FILES = 64
 
 
+def _files(spark: SparkSession, d: str, name: str) -> tuple[str, StructType, str]:
+    """Folder, schema and pattern of the files of a table."""
+    folder, pattern = readers.table_files(spark, d, name)
+    return folder, table(spark, d, name).schema, pattern
+
+
 def _source(spark: SparkSession, d: str, name: str) -> DataFrame:
     """A table as a stream, in batches of FILES files where it has more."""
-    path, schema = f"{d}/{name}.parquet", table(spark, d, name).schema
-    one = table(spark, d, name).inputFiles()[0].rpartition("/")[2] == f"{name}.parquet"
-    return stateful.files(spark, d, schema, f"{name}.parquet", FILES) if one else stateful.files(spark, path, schema, "*.parquet", FILES)
+    return stateful.files(spark, *_files(spark, d, name), FILES)
 
 
 @query("SELECT click_id, min(client_id) AS client_id, min(arrived_at) AS arrived_at FROM clicks WHERE arrived_at IS NOT NULL GROUP BY click_id")

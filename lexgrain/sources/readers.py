@@ -12,6 +12,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def table_files(spark: SparkSession, folder: str, name: str) -> tuple[str, str]:
+    """(folder, pattern) of the files of a table, for a stream: it may be one file or a folder of files."""
+    one = table(spark, folder, name).inputFiles()[0].rpartition("/")[2] == f"{name}.parquet"
+    return (folder, f"{name}.parquet") if one else (f"{folder}/{name}.parquet", "*.parquet")
+
+
 def jsonl(spark: SparkSession, path: str) -> DataFrame:
     """One document per line; missing keys get their defaults, malformed lines are left out."""
     raw = spark.read.schema(JSONL + ", _bad string").option("columnNameOfCorruptRecord", "_bad").json(path)
