@@ -149,6 +149,21 @@ def test_maximal_repeats_have_all_occurrences_and_diverse_left_ends():
     assert not any(s.startswith(b"bcd") for _, s in found)
 
 
+def test_runs_cover_what_the_groups_cover_and_do_not_multiply():
+    rng, length = random.Random(5), 5
+    for _ in range(30):
+        contexts = [bytes(rng.choice(b"ab") for _ in range(rng.randint(5, 30))) for _ in range(rng.randint(1, 6))]
+        starts = [len(c) - length + 1 for c in contexts]
+        groups = {(i, at) for n, found in suffix_dedup.maximal_repeats(contexts, starts, length) for i, o in found for at in range(o, o + n)}
+        runs = suffix_dedup.covered_runs(contexts, starts, length)
+        assert {(i, at) for i, o, n in runs for at in range(o, o + n)} == groups
+    # prefixes of one string, each a repeat within the longer ones: groups have the square of their number, runs one each
+    nested = [b"".join(bytes([65 + k]) for k in range(20 + m)) + bytes([200 + m]) for m in range(30)]
+    assert sum(len(o) for _, o in suffix_dedup.maximal_repeats(nested, [1] * 30, 10)) > 400
+    assert len(suffix_dedup.covered_runs(nested, [1] * 30, 10)) == 30
+    assert suffix_dedup.covered_runs([], [], 10) == []
+
+
 def test_removed_passages_keep_characters_whole(spark):
     common = "é" * 150
     rows = [(1, "ä" + common + "ö one"), (2, "ü" + common + "ß two"), (3, None), (4, "alone")]
