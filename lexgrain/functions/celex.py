@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ RELATION_CUES: dict[str, list[str]] = {
     ],
     "see": ["see, in particular", "see to that effect", "see also", "(see", "see "],
 }
+_CUES = [(name, p) for name, phrases in RELATION_CUES.items() for p in phrases]
 # Id suffixes of documents that belong to a decision, and their kinds.
 KINDS = {"_SUM": "summary", "_RES": "resolution", "_INF": "info"}
 #: Two-digit years from here on are of the 1900s.
@@ -49,13 +52,19 @@ def is_judgment_text(celex: Column) -> Column:
 
 def relation(window: Column) -> tuple[Column, Column]:
     """(relation type, cue) of the first cue, in the order of RELATION_CUES, found in a text window; else cites and null."""
-    low = F.lower(window)
-    kind, cue = F.lit("cites"), F.lit(None).cast("string")
-    for name, phrases in reversed(RELATION_CUES.items()):
-        for p in reversed(phrases):
-            hit = low.contains(p)
-            kind, cue = F.when(hit, name).otherwise(kind), F.when(hit, p.strip()).otherwise(cue)
-    return kind, cue
+    return named(first_cue(F.lower(window)))
+
+
+def first_cue(low: Column) -> Column:
+    """The number, from 1, of the first cue in the order of RELATION_CUES in a lower-cased window, or null."""
+    (_, first), *rest = _CUES
+    return reduce(lambda c, k: c.when(low.contains(rest[k][1]), k + 2), range(len(rest)), F.when(low.contains(first), 1))
+
+
+def named(cue: Column) -> tuple[Column, Column]:
+    """(relation type, cue) of a cue's number: cites and null where it is null."""
+    kinds, phrases = (F.array(*map(F.lit, x)) for x in zip(*((name, p.strip()) for name, p in _CUES), strict=True))
+    return F.when(cue.isNull(), "cites").otherwise(F.element_at(kinds, cue)), F.when(cue.isNotNull(), F.element_at(phrases, cue))
 
 
 def pinpoint(text: Column) -> Column:
