@@ -19,6 +19,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.sizes import bounded_bytes
+
 BLOCK_BYTES = 1 << 20
 #: Questions that are broadcast, at most.
 MOST_BYTES = 64 << 20
@@ -84,6 +86,7 @@ def packed(df: DataFrame, key: str, vector: str, group: str | None = None) -> Da
         if held:
             yield from flush()
 
+    bounded_bytes(df.sparkSession)
     kind = src.schema["id"].dataType.simpleString()
     return src.mapInArrow(run, f"part long, d int, ids array<{kind}>, x binary")
 
@@ -177,6 +180,7 @@ def search(pairs: DataFrame, k: int, metric: str = "cosine", exclude_self: bool
         if held:
             yield from first_ranks(held, k, metric).to_batches(max_chunksize=100_000)
 
+    bounded_bytes(pairs.sparkSession)  # a pair is two blocks
     of = lambda c: pairs.schema[c].dataType.elementType.simpleString()
     found = pairs.select("qids", "qd", "q", "ids", "d", "x").mapInArrow(run, f"qid {of('qids')}, id {of('ids')}, score double")
     first = F.col("score").desc() if metric == "cosine" else F.col("score").asc()

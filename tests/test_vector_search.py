@@ -107,3 +107,17 @@ def test_first_ranks_break_ties_by_the_least_id():
     rows = {(r["qid"], r["id"]) for r in s.first_ranks(found, 2, "cosine").to_pylist()}
     assert rows == {("a", 8), ("a", 3), ("b", 1), ("b", 2), (None, 7)}
     assert {r["id"] for r in s.first_ranks(found, 1, "l2").to_pylist()} == {3, 1, 7}
+
+
+def test_pairs_of_blocks_reach_a_task_a_few_at_a_time(spark):
+    """A batch of up to 10,000 pairs would hold 20 GB."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(key)
+    blocks = spark.range(64, numPartitions=1).select(F.lit(0).alias("qids"), F.repeat(F.lit("x"), s.BLOCK_BYTES).cast("binary").alias("x"))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    s.nearest(table(spark, np.ones((3, 2), dtype=np.float32)), table(spark, np.ones((1, 2), dtype=np.float32)).toDF("qid", "query_vector"), 1)
+    assert blocks.mapInArrow(sizes, "n long").agg(F.max("n")).first()[0] <= 36 << 20
