@@ -4,26 +4,33 @@ Documents are numbered in the order of their files; BLOCK consecutive numbers ar
 documents of one block as arrays: their places in the block, occurrences and positions, with the block's largest number of
 occurrences. The rows are dealt by ranges of (lexeme, block), so that files and their row groups hold few lexemes each and a filter
 on lexemes reads only theirs; Parquet's second format stores the ascending numbers as packed differences. A lexeme of a third of
-all documents is many rows, and no row grows beyond its block.
+all documents is many rows, and no row grows beyond its block. Lists are made where documents are read; only a block whose
+tokens exceed HELD bytes has several rows for a lexeme.
 
 Tables under a path: ``documents`` (ordinal, id, n_tokens) and ``postings`` (lexeme, block, n, most, places, counts, positions).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 from operator import and_, or_
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fulltext
 from ..plans.lineage import discard, stored
+from ..plans.sizes import bounded_bytes
 
 #: Documents of a block: a power of two.
 BITS = 10
+#: Bytes of tokens that a task holds of an incomplete block.
+HELD = 64 << 20
 #: An occurrence counts so much.
 WEIGHT = fulltext.UNIFORM_WEIGHT
 
@@ -33,17 +40,10 @@ def write(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", f
     documents of their own. ``lexemes`` may map arrays of tokens to what is indexed in their places; nulls are left out."""
     ordinal = F.monotonically_increasing_id() + F.lit(first)
     ts = fulltext.tokens(F.col(text))
-    cut = stored(docs.select(ordinal.alias("ordinal"), F.col(key).alias("id"), (lexemes(ts) if lexemes else ts).alias("ts")).withColumn("n_tokens", F.size("ts")), "tokens")
-    cut.select("ordinal", "id", "n_tokens").write.mode("append").parquet(f"{path}/documents")
-    each = cut.select("ordinal", F.posexplode("ts").alias("pos", "lexeme")).where("lexeme IS NOT NULL").withColumn("pos", F.col("pos") + 1)
-    each = each.select("lexeme", F.shiftright("ordinal", BITS).alias("block"), F.expr(f"int(ordinal & {(1 << BITS) - 1})").alias("place"), "pos")
-    # both groupings keep the ranges: one shuffle
-    own = each.repartitionByRange("lexeme", "block").groupBy("lexeme", "block", "place").agg(F.sort_array(F.collect_list("pos")).alias("ps"))
-    rows = own.groupBy("lexeme", "block").agg(F.sort_array(F.collect_list(F.struct("place", "ps"))).alias("of")).select(
-        "lexeme", "block", F.size("of").alias("n"), F.array_max(F.transform("of", lambda d: F.size(d["ps"]))).alias("most"),
-        F.transform("of", lambda d: d["place"]).alias("places"), F.transform("of", lambda d: F.size(d["ps"])).alias("counts"), F.transform("of", lambda d: d["ps"]).alias("positions"),
-    )
-    sorted_ = rows.sortWithinPartitions("lexeme", F.col("most").desc(), "block")
+    cut = stored(_lists(docs.select(ordinal.alias("ordinal"), F.col(key).alias("id"), (lexemes(ts) if lexemes else ts).alias("ts"))), "lists")
+    cut.where("docs IS NOT NULL").select(F.inline("docs")).write.mode("append").parquet(f"{path}/documents")
+    rows = cut.where("lexeme IS NOT NULL").select("lexeme", "block", "n", "most", "places", "counts", "positions")
+    sorted_ = rows.repartitionByRange("lexeme", "block").sortWithinPartitions("lexeme", F.col("most").desc(), "block")
     sorted_.write.mode("append").options(**{"parquet.writer.version": "PARQUET_2_0", "parquet.block.size": str(8 << 20), "compression": "zstd"}).parquet(f"{path}/postings")
     discard(cut)
 
@@ -54,6 +54,74 @@ def add(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", lex
     write(docs, path, key, text, 0 if last is None else ((last >> BITS) + 1) << BITS, lexemes)
 
 
+def _postings_of(docs: pa.Table, block_bits: int) -> tuple[list[str], list[pa.Array]]:
+    """The columns of ``postings`` for (ordinal, id, ts), ascending ordinals."""
+    ordinal, ts = docs["ordinal"].to_numpy(), docs["ts"].combine_chunks()
+    size = pc.fill_null(pc.list_value_length(ts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    token = ts.flatten().dictionary_encode()
+    known = pc.is_valid(token.indices).to_numpy(zero_copy_only=False)
+    code = pc.fill_null(token.indices, 0).to_numpy(zero_copy_only=False).astype(np.int64)[known]
+    doc = np.repeat(np.arange(len(size)), size)[known]
+    pos = (np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + 1)[known].astype(np.int32)
+    lists = ((ordinal >> block_bits) - (ordinal[:1] >> block_bits))[doc] * max(1, len(token.dictionary)) + code
+    bits = len(doc).bit_length()
+    placed = np.sort(lists << bits | np.arange(len(doc)))  # by list; documents and positions ascend in it
+    order, lists = placed & ((1 << bits) - 1), placed >> bits
+    doc = doc[order]
+    new_list = np.append(True, lists[1:] != lists[:-1])[: len(doc)]
+    new_doc = new_list | np.append(True, doc[1:] != doc[:-1])[: len(doc)]
+    at, heads = np.flatnonzero(new_doc), np.flatnonzero(new_list)
+    counts = np.diff(np.append(at, len(doc))).astype(np.int32)
+    first = np.flatnonzero(new_list[at])
+    ends = pa.array(np.append(first, len(at)), pa.int32())
+    most = np.maximum.reduceat(counts, first) if len(first) else counts
+    positions = pa.ListArray.from_arrays(pa.array(np.append(at, len(doc)), pa.int32()), pa.array(pos[order]))
+    places = pa.array((ordinal[doc[at]] & ((1 << block_bits) - 1)).astype(np.int32))
+    return ["lexeme", "block", "n", "most", "places", "counts", "positions"], [
+        token.dictionary.take(pa.array(code[order][heads])), pa.array(ordinal[doc[heads]] >> block_bits), pa.array(np.diff(np.append(first, len(at))).astype(np.int32)), pa.array(most),
+        *(pa.ListArray.from_arrays(ends, x) for x in (places, pa.array(counts), positions)),
+    ]
+
+
+def _lists(docs: DataFrame) -> DataFrame:
+    """Rows of two kinds from (ordinal, id, ts), ascending ordinals in a partition: those of ``postings``; and, beside nulls, arrays of
+    documents (ordinal, id, n_tokens). A token is no row of its own.
+
+    A task holds the rows of a block until it is complete; one of more than HELD bytes has several rows for a lexeme.
+    """
+    block_bits, most = BITS, HELD
+
+    def rows(docs: pa.Table) -> Iterator[pa.RecordBatch]:
+        size = pc.fill_null(pc.list_value_length(docs["ts"].combine_chunks()), 0)
+        own = pa.StructArray.from_arrays([docs["ordinal"].combine_chunks(), docs["id"].combine_chunks(), size.cast(pa.int32())], names=["ordinal", "id", "n_tokens"])
+        every = pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own)
+        names, cols = _postings_of(docs, block_bits)
+        for k in range(0, len(cols[0]), 10_000):
+            some = [c.slice(k, 10_000) for c in cols]
+            yield pa.RecordBatch.from_arrays([*some, pa.nulls(len(some[0]), every.type)], names=[*names, "docs"])
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(1, c.type) for c in cols), every], names=[*names, "docs"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            one = pa.Table.from_batches([batch])
+            held = one if held is None else pa.concat_tables([held, one])
+            block = held["ordinal"].to_numpy() >> block_bits
+            done = len(held) if held.nbytes > most else int(np.searchsorted(block, block[-1]))
+            if done:
+                yield from rows(held.slice(0, done))
+                held = held.slice(done) if done < len(held) else None
+        if held is not None:
+            yield from rows(held)
+
+    bounded_bytes(docs.sparkSession)
+    kind = docs.schema["id"].dataType.simpleString()
+    postings = "lexeme string, block long, n int, most int, places array<int>, counts array<int>, positions array<array<int>>"
+    return docs.mapInArrow(run, f"{postings}, docs array<struct<ordinal: bigint, id: {kind}, n_tokens: int>>")
+
+
 @dataclass(frozen=True)
 class Index:
     documents: DataFrame

@@ -1,6 +1,7 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,3 +128,29 @@ def test_empty_tables(spark):
     x.add(none, path)
     index = x.read(spark, path)
     assert x.matching(index, x.Not(x.word("a"))).collect() == [] and x.top_by_term(index, {1: "a"}, 3).collect() == []
+
+
+def shuffled_rows(spark):
+    gateway = spark.sparkContext._gateway
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+def test_lists_of_a_block_are_shuffled_and_not_its_tokens(spark, monkeypatch):
+    monkeypatch.setattr(x, "BITS", 10)
+    docs = spark.range(0, 3000, 1, 2).select(F.col("id").alias("doc_id"), F.repeat(F.lit("the of a "), 50).alias("text"))
+    path, before = scratch(spark, "inverted"), shuffled_rows(spark)
+    x.write(docs, path)
+    assert shuffled_rows(spark) - before <= 45_000  # of 450,000 tokens; other tests' stages may be counted late
+    lists = x.read(spark, path).postings
+    assert lists.count() == lists.select("lexeme", "block").distinct().count() == 12  # two blocks a part
+    assert lists.agg(F.sum("n"), F.sum(F.aggregate("counts", F.lit(0), lambda a, c: a + c)), F.max("most")).first()[:] == (9000, 450_000, 50)
+
+
+def test_postings_of_documents_in_two_blocks_with_a_left_out_token():
+    ts = [["a", None, "b", "a"], [], ["b"]]
+    names, cols = x._postings_of(pa.table({"ordinal": [1023, 1024, 1025], "id": ["p", "q", "r"], "ts": pa.array(ts, pa.list_(pa.string()))}), 10)
+    got = pa.table(dict(zip(names, cols, strict=True))).to_pylist()
+    assert sorted((r["lexeme"], r["block"], r["n"], r["most"], r["places"], r["counts"], r["positions"]) for r in got) == [
+        ("a", 0, 1, 2, [1023], [2], [[1, 4]]), ("b", 0, 1, 1, [1023], [1], [[3]]), ("b", 1, 1, 1, [1], [1], [[1]]),
+    ]
