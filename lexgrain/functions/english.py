@@ -123,13 +123,24 @@ def stem(words: pd.Series) -> pd.Series:
     return words.map(known)
 
 
+#: Stems that a task remembers between batches.
+KNOWN = 300_000
+
+
 def lexeme_arrays(stop: frozenset[str]) -> Callable[[Column], Column]:
-    """Arrays of tokens -> arrays of stems, with nulls in the places of stop words. Each distinct token of a batch is stemmed once."""
+    """Arrays of tokens -> arrays of stems, with nulls in the places of stop words. A task stems each distinct token once while it remembers it."""
+    known: dict[str, str | None] = {}
 
     @arrow_udf("array<string>")
     def lexemes(tokens: pa.Array) -> pa.Array:
         every = tokens.flatten().dictionary_encode()
-        stems = pa.array([None if w is None or w in stop else snowball(w) for w in every.dictionary.to_pylist()], pa.string())
+        words = every.dictionary.to_pylist()
+        if len(known) > KNOWN:
+            known.clear()
+        for w in words:
+            if w not in known:
+                known[w] = None if w is None or w in stop else snowball(w)
+        stems = pa.array([known[w] for w in words], pa.string())
         size = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy()
         ends = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32))
         return pa.ListArray.from_arrays(ends, stems.take(every.indices))

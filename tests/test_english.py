@@ -68,3 +68,14 @@ def test_lexeme_arrays(spark):
     rows = spark.createDataFrame([(["the", "cats", "of", "cats"],), (None,), ([],), (["running", None],)], "ts array<string>")
     got = [r.x for r in rows.select(english.lexeme_arrays(STOP_WORDS)(F.col("ts")).alias("x")).collect()]
     assert [list(x or []) for x in got] == [[None, "cat", None, "cat"], [], [], ["run", None]]
+
+
+def test_a_token_of_several_batches_is_stemmed_once(spark, monkeypatch):
+    import pyarrow as pa
+
+    asked, whole = [], english.snowball
+    monkeypatch.setattr(english, "snowball", lambda w: asked.append(w) or whole(w))
+    stems = english.lexeme_arrays(frozenset({"the"})).func
+    for _ in range(3):
+        assert stems(pa.array([["the", "ponies"], [], ["ponies"]])).to_pylist() == [[None, "poni"], [], ["poni"]]
+    assert asked == ["ponies"]
