@@ -16,8 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.lineage import cut, discard, stored
-from ..plans.order import partitions
+from ..plans.lineage import discard, stored
+from ..plans.order import held
 from ..plans.sizes import MOST_ROWS, broadcast_if_small
 from .graph import DAMPING, nodes
 
@@ -46,11 +46,11 @@ def with_shares(edges: DataFrame) -> DataFrame:
 
 
 def _cells(edges: DataFrame, cell: int) -> tuple[DataFrame, DataFrame]:
-    """The edges placed by (src, at), and (id, cells) of the sources of more than ``cell`` edges."""
+    """The edges held by (src, at), and (id, cells) of the sources of more than ``cell`` edges."""
     many = stored(edges.groupBy(F.col("src").alias("id")).count().where(F.col("count") > cell).select("id", F.ceil(F.col("count") / cell).cast("int").alias("cells")), "hubs")
     at = F.pmod(F.xxhash64("dst"), F.coalesce("cells", F.lit(1))).cast("int")
     dealt = edges.join(broadcast_if_small(many), F.col("src") == F.col("id"), "left").select("src", at.alias("at"), "dst", "share")
-    return cut(dealt.repartition(partitions(edges.sparkSession), "src", "at")), broadcast_if_small(many)
+    return held(dealt, "src", "at"), broadcast_if_small(many)
 
 
 def _settled(touched: DataFrame, edges: DataFrame, total: int, damping: float, tolerance: float, few: int, cell: int) -> tuple[DataFrame, int]:
@@ -81,6 +81,8 @@ def _settled(touched: DataFrame, edges: DataFrame, total: int, damping: float, t
     for _ in range(0, MOST_ROUNDS, ROUNDS):
         n = now.where(active).count()
         if not n:
+            if placed is not None:
+                placed[0].unpersist()
             return now, now.agg(F.sum("n")).first()[0] or 0
         small = n <= few
         if not small and placed is None:
