@@ -101,6 +101,21 @@ def test_repeated_strings(spark, monkeypatch, most):
     assert got == brute.repeats(rows, 400)
 
 
+def test_frequent_strings_are_looked_at_in_runs_first(spark):
+    """Each start of each context of a frequent key was a row; the count grew faster than the table."""
+    r = random.Random(5)
+    shared = bytes(r.choices(b"abcdefgh", k=430))
+    rows = [(1, k, k, 600, 0, 100, bytes([128 + k]) * 40 + shared + bytes([128 + k]) * 29, True, 100) for k in range(50)]
+    contexts = spark.createDataFrame(rows, "key long, hc long, cls long, n long, lo long, starts long, content binary, hot boolean, anchor long")
+    found, (each, _, _, alone) = suffix_dedup._covered_parts(contexts, 400)
+    got = {}
+    for x in found.collect():
+        got.setdefault(x.cls, set()).update(range(x.start, x.start + x.bytes))
+    assert got == {k: set(range(40, 470)) for k in range(50)}
+    assert each.count() + alone.count() < 50 * 100 * 0.7
+    suffix_dedup.discard(each, alone)
+
+
 @pytest.mark.parametrize("most", [256, 3])
 def test_repeat_groups_have_every_occurrence(spark, monkeypatch, most):
     monkeypatch.setattr(suffix_dedup, "MOST", most)
