@@ -74,12 +74,16 @@ def blocks(batches: Iterator[pa.RecordBatch], rows: int = BLOCK) -> Iterator[lis
 
 
 def open_ranges(ends: list[tuple], merge) -> list[tuple]:
-    """(part, what earlier ranges leave open for its first key) from (part, first key, last key, what its last key leaves): one row a range."""
+    """(part, what earlier ranges leave open for its first key, else None) from (part, first key, last key, what its last key leaves).
+
+    There is one row for every range, so that joins with it are planned alike, whether a key goes on over ranges or not.
+    """
     out, key, left = [], None, None
     for part, first, last, own in sorted(ends, key=lambda e: e[0]):
-        if key is not None and first == key:
-            out.append((part, left))
-            own = merge(left, own) if last == first else own
+        goes_on = key is not None and first == key
+        out.append((part, left if goes_on else None))
+        if goes_on and last == first:
+            own = merge(left, own)
         key, left = last, own
     return out
 
@@ -268,7 +272,7 @@ def pushed_features(points: DataFrame, probes: DataFrame, windows: tuple[int, in
         ends.setdefault(r.part, {})[r.mark] = (r.client, tuple(r[3:]))
     left = open_ranges([(p, e[1][0], e[2][0], e[2][1]) for p, e in ends.items()], _added)
     fields = [*counters, "click_at", "click_id"]
-    carried = spark.createDataFrame([(p, *x) for p, x in left], ", ".join(["part int", *(f"_{f} long" for f in fields)]))
+    carried = spark.createDataFrame([(p, *(x or [None] * (N + 2))) for p, x in left], ", ".join(["part int", *(f"_{f} long" for f in fields)]))
     both = scanned.where("mark = 0").join(F.broadcast(carried), "part", "left")
     ours = F.col("open") & F.col("_v0").isNotNull()
     later = F.greatest(F.struct("click_at", "click_id"), F.struct(F.col("_click_at").alias("click_at"), F.col("_click_id").alias("click_id")))
